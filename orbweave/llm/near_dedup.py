@@ -265,7 +265,7 @@ def _tree_edges(sets: DataFrame, trees: int, need: int, node_limit: int) -> Data
     for depth in range(DEPTH + 1):
         sizes = cut(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
         heavy = sizes.where(F.col("c") > node_limit)
-        n_heavy = heavy.count()
+        n_heavy, in_heavy = heavy.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
         leaf = sizes if depth == DEPTH else sizes.where(F.col("c") <= node_limit)
         here = nodes.join(leaf, "key")
         if depth == DEPTH and n_heavy:  # inseparable documents: every two blocks of the node meet once
@@ -284,9 +284,11 @@ def _tree_edges(sets: DataFrame, trees: int, need: int, node_limit: int) -> Data
         if not n_heavy or depth == DEPTH:
             break
         spread = F.array(*[F.pmod(F.xxhash64("key", F.lit(b)), F.lit(TOKENS)).cast("int") for b in range(BRANCHES)])
+        nodes = cut(nodes.join(small(heavy.select("key"), n_heavy), "key"))
+        # From here on only the sketches of documents in heavy nodes move.
+        sets = cut(sets.join(small(nodes.select("rep").distinct(), in_heavy), "rep", "left_semi"))
         nodes = cut(
-            nodes.join(heavy.select("key"), "key")
-            .join(sets.select("rep", "sketch"), "rep")
+            nodes.join(sets.select("rep", "sketch"), "rep")
             .select("rep", "key", "sketch", F.explode(spread).alias("p"))
             .select("rep", F.xxhash64("key", "p", _token("sketch", "p")).alias("key"))
         )
