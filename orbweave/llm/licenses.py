@@ -90,6 +90,22 @@ def _count(text: Column) -> Column:
     return (F.size(parts) - F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0) - F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)).cast("long")
 
 
+def _share(t: Template) -> Column:
+    """Share of the template's anchors at its best start whose key phrase holds; null without one."""
+    anchors = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(i).alias("p")) for w, i in t.anchors])
+    starts = F.flatten(F.transform("hits", lambda h: F.transform(F.filter(anchors, lambda p: p["w"] == h["w"]), lambda p: h["i"] - p["p"])))
+    votes = F.transform(F.array_distinct(starts), lambda s: F.struct(s.alias("s"), F.size(F.filter(starts, lambda x: x == s)).alias("n")))
+    key_at = F.lit(t.key_at)
+    holds = F.filter(
+        votes,
+        lambda c: (c["n"] >= VOTES)
+        & (c["s"] + key_at >= 0)
+        & (F.slice("w", F.greatest(c["s"] + key_at + 1, F.lit(1)), F.lit(len(t.key))) == _strings(t.key)),
+    )
+    best = F.array_max(F.transform(holds, lambda c: c["n"]))
+    return F.when(F.col("hits").isNotNull() & F.arrays_overlap("own", _strings(t.key)), F.round(best / F.lit(len(t.anchors)), 6))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """License labels of every text.
 
@@ -124,16 +140,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "hits",
         F.filter(F.transform("w", lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda h: F.array_contains("chosen", h["w"])),
     )
-    found, shares = [], []
-    for t in templates:
-        anchors = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(i).alias("p")) for w, i in t.anchors])
-        starts = F.flatten(F.transform("hits", lambda h, a=anchors: F.transform(F.filter(a, lambda p: p["w"] == h["w"]), lambda p: h["i"] - p["p"])))
-        votes = F.transform(F.array_distinct(starts), lambda s, v=starts: F.struct(s.alias("s"), F.size(F.filter(v, lambda x: x == s)).alias("n")))
-        holds = lambda c, t=t: (c["n"] >= VOTES) & (c["s"] + t.key_at >= 0) & (F.slice("w", F.greatest(c["s"] + t.key_at + 1, F.lit(1)), len(t.key)) == _strings(t.key))
-        best = F.array_max(F.transform(F.filter(votes, holds), lambda c: c["n"]))
-        share = F.when(F.col("hits").isNotNull() & F.arrays_overlap("own", _strings(t.key)), F.round(best / F.lit(len(t.anchors)), 6))
-        shares.append(share)
-        found.append(t.label)
+    found, shares = [t.label for t in templates], [_share(t) for t in templates]
     rows = rows.withColumn("shares", F.when(F.col("hits").isNotNull(), F.array(*shares)))
     own = F.filter(F.transform("shares", lambda s, k: F.when(s.isNotNull(), F.element_at(_strings(found), k + 1))), lambda x: x.isNotNull())
     rows = rows.withColumn("all", F.sort_array(F.array_distinct(F.concat("base", F.coalesce(own, F.array().cast("array<string>"))))))

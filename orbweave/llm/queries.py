@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("near_dedup",)
+MODULES = ("near_dedup", "substring_dedup", "mixture", "quality", "licenses", "packing")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

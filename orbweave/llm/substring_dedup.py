@@ -69,6 +69,14 @@ def _order(key: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.nda
     return order, np.flatnonzero(turn)
 
 
+def _spans(b: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """First offsets and spans of the runs of equal buckets."""
+    if not len(b):
+        return np.zeros(0, dtype=np.int64), []
+    first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+    return first, list(zip(first.tolist(), [*first[1:].tolist(), len(b)], strict=True))
+
+
 def _spread(doc: np.ndarray, buckets: int) -> np.ndarray:
     """What ``pmod(xxhash64(doc), buckets)`` gives in SQL."""
     return np.mod(wb.xxhash64_long(doc).view(np.int64), buckets).astype(np.int32)
@@ -79,17 +87,16 @@ def _by_doc(doc: np.ndarray, pos: np.ndarray, buckets: int) -> pa.RecordBatch:
     b = _spread(doc, buckets)
     order = np.lexsort((pos, doc, b))
     b, doc, pos = b[order], doc[order], pos[order]
-    first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, dtype=np.int64)
-    ends = np.append(first[1:], len(b))
+    first, spans = _spans(b)
     n = len(first)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(b[first] if n else np.zeros(0, dtype=np.int32)),
+            pa.array(b[first]),
             pa.array(np.ones(n, dtype=np.int8)),
             pa.array([None] * n, type=pa.binary()),
             pa.array([None] * n, type=pa.binary()),
-            pa.array([doc[s:e].tobytes() for s, e in zip(first, ends, strict=True)], type=pa.binary()),
-            pa.array([pos[s:e].tobytes() for s, e in zip(first, ends, strict=True)], type=pa.binary()),
+            pa.array([doc[s:e].tobytes() for s, e in spans], type=pa.binary()),
+            pa.array([pos[s:e].tobytes() for s, e in spans], type=pa.binary()),
         ],
         schema=_ENTRY,
     )
@@ -101,12 +108,10 @@ def _by_key(key: np.ndarray, more: np.ndarray | None, doc: np.ndarray, pos: np.n
     order = np.argsort(b, kind="stable")
     b, key, doc, pos = b[order], key[order], doc[order], pos[order]
     more = more[order] if more is not None else None
-    first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, dtype=np.int64)
-    ends = np.append(first[1:], len(b))
-    spans = list(zip(first, ends, strict=True))
+    first, spans = _spans(b)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(b[first] if len(b) else np.zeros(0, dtype=np.int32)),
+            pa.array(b[first]),
             pa.array(np.zeros(len(first), dtype=np.int8)),
             pa.array([key[s:e].tobytes() for s, e in spans], type=pa.binary()),
             pa.array([more[s:e].tobytes() if more is not None else None for s, e in spans], type=pa.binary()),
