@@ -307,7 +307,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     ready(spark)
-    buckets = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     period = period_for(window)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     by_bucket = lambda frame: frame.repartition("bucket").sortWithinPartitions("bucket", "kind")
