@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("language", "near_dedup", "substring_dedup", "mixture", "quality", "licenses", "packing")
+MODULES = ("language", "near_dedup", "substring_dedup", "mixture", "quality", "licenses", "packing", "embedding_dedup")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
