@@ -324,6 +324,30 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return source.mapInArrow(_predicted(model), f"id {kind}, lang_pred string, score double, n_words long")
 
 
+def _keeping(model: Model, text_col: str, lang_col: str, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at_lang = batch.schema.get_field_index(lang_col)
+            for at, texts in wb.blocks(batch, text=text_col, limit=1 << 20):
+                names, score, _ = label_texts(model, texts)
+                part = batch.slice(at, len(texts))
+                lang = pa.array([a if a is not None else b for a, b in zip(part.column(at_lang).to_pylist(), names, strict=True)], type=pa.string())
+                columns = [lang if k == at_lang else c for k, c in enumerate(part.columns)]
+                stay = pa.array(np.array([n != UNDETERMINED for n in names]) & (score >= least))
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(stay)
+
+    return run
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows whose text has a language: not ``und``, and a mean posterior of at least ``least``.
+
+    All columns stay as they are, but a null language becomes the predicted one. Null and empty texts go.
+    """
+    ready(docs.sparkSession)
+    return docs.mapInArrow(_keeping(model, text_col, lang_col, least), docs.schema)
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every row of ``documents``; rows of remainder 2 are held out of the fit."""
     docs = table(spark, sf_dir, "documents")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from orbweave.llm.runtime import cut, ready, table
 
 MOST = 3
-WORDS_PER_SHARD = 20_000_000
+WORDS_PER_SHARD = 4_000_000
 DOCS_PER_BLOCK = 256
 SEED = "mix-1"
 _SPACES = "\\x20\\x09-\\x0D"

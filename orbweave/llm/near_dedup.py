@@ -322,6 +322,18 @@ def _confirmed(source: DataFrame, members: DataFrame, n_members: int, width: int
     return components(links) if n_split else links.select(F.col("a").alias("node"), F.col("b").alias("component")).distinct()
 
 
+def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, the one of the smallest id; all columns stay.
+
+    Rows that repeat an id are one document and one of them stays. Null and wordless texts stay.
+    """
+    found = cut(near_duplicates(docs, percent, id_col=id_col, text_col=text_col).select("id", "kept"))
+    gone = found.where(~F.col("kept")).select(F.col("id").alias("_gone")).distinct()
+    left = docs.join(small(gone, gone.count()), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    repeated = found.where("id is not null").groupBy("id").count().where("count > 1")
+    return left.dropDuplicates([id_col]) if repeated.limit(1).count() else left
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents`` at a Jaccard similarity of 0.85 over 5-word shingles."""
     found = near_duplicates(table(spark, sf_dir, "documents"), percent=85)

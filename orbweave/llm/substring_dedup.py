@@ -265,6 +265,7 @@ def _cut_out(window: int):
         texts = left.column("text")
         variant = _variants(ids, texts)
         n_words, n_removed, digest, kept = [], [], [], []
+        rest = left.column("rest") if "rest" in left.column_names else None
         for i, x in enumerate(ids):
             text = texts[i].as_py()
             words = (text or "").encode().split()
@@ -285,22 +286,23 @@ def _cut_out(window: int):
             n_removed.append(gone)
             digest.append(hashlib.sha256(left_over).hexdigest())
             kept.append(left_over.decode() if gone else None)
-        return pa.table(
-            [left.column("id"), pa.array(n_words, type=pa.int64()), pa.array(n_removed, type=pa.int64()), pa.array(digest, type=pa.string()), pa.array(kept, type=pa.string())],
-            names=["id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-        )
+        columns = [left.column("id"), pa.array(n_words, type=pa.int64()), pa.array(n_removed, type=pa.int64()), pa.array(digest, type=pa.string()), pa.array(kept, type=pa.string())]
+        names = ["id", "n_words", "n_removed", "kept_sha256", "kept_text"]
+        if rest is not None:
+            columns, names = [*columns, texts, rest], [*names, "text", "rest"]
+        return pa.table(columns, names=names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Words of every document that no run of ``window`` words shares with a document of a smaller id.
 
     Returns ``id``, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text``: the kept words
     joined by one space, null if nothing was removed. One row per input row. Null texts count as
     no words; they and texts shorter than the window are never cut. Rows of one id never cut each
-    other, and rows with a null id neither cut nor are cut. Other columns are not read. Runs are
-    judged on the input. Equality is that of 96-bit fingerprints of the word sequence.
+    other, and rows with a null id neither cut nor are cut. Other columns are not read, unless ``carry``
+    adds the text and, as the struct ``rest``, the whole row. Runs are judged on the input. Equality is that of 96-bit fingerprints of the word sequence.
 
     The text is shuffled once by document bucket (both later scans of it reuse the exchange);
     anchors, about a fifth of the words, move as packed entries.
@@ -310,15 +312,33 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     period = period_for(window)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    others = [F.col(c) for c in docs.columns if c != text_col]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*others).alias("rest")] if carry else []))
     by_bucket = lambda frame: frame.repartition("bucket").sortWithinPartitions("bucket", "kind")
     anchors = source.mapInArrow(_anchors(window, period, buckets), _ENTRY_DDL)
     shared = by_bucket(anchors).mapInArrow(_decide(_settle_shared, False, buckets), _ENTRY_DDL).select("bucket", "doc", "pos")
-    placed = source.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"), "id", "text")
+    placed = rows.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"), *rows.columns)
     held = placed.groupBy("bucket")
     runs = held.cogroup(shared.groupBy("bucket")).applyInArrow(_runs(window, period, buckets), _ENTRY_DDL)
     later = by_bucket(runs).mapInArrow(_decide(_settle_later, True, buckets), _ENTRY_DDL).select("bucket", "doc", "pos")
+    carried = ", text string, rest " + dict(rows.dtypes)["rest"] if carry else ""
     return held.cogroup(later.groupBy("bucket")).applyInArrow(
-        _cut_out(window), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+        _cut_out(window), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string" + carried
+    )
+
+
+def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with repeated runs cut out of the texts; rows that lose all their words go.
+
+    A cut text is its kept words joined by one space, and ``length_col``, where there is one, its
+    new length; other texts and columns stay as they are.
+    """
+    found = remove_repeats(docs, window, id_col, text_col, carry=True).where("n_removed < n_words or n_removed = 0")
+    text = F.coalesce("kept_text", "text")
+    size = F.when(F.col("kept_text").isNull(), F.col(f"rest.{length_col}")).otherwise(F.char_length("kept_text")) if length_col in docs.columns else None
+    kinds = dict(docs.dtypes)
+    return found.select(
+        *[text.alias(c) if c == text_col else size.cast(kinds[c]).alias(c) if c == length_col else F.col(f"rest.{c}").alias(c) for c in docs.columns]
     )
 
 
