@@ -8,40 +8,66 @@ else a tokenizer takes for white space stays inside a word and is its own busine
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 from orbweave.llm.wordblocks import ramp
 
 #: Words held at once; the cache starts anew beyond.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 700_000
+
+#: Words of a-z and lower-case Latin-1 letters: no normaliser changes them and no pattern splits them.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_STOPS = b".,"
 
 
 class WordTokens(dict):
-    """word bytes -> code; ids of code c are ``flat[begin[c]:begin[c + 1]]``. Code 0 is ``end``."""
+    """word bytes -> code; ids of code c are ``flat[begin[c]:begin[c + 1]]``. Code 0 is ``end``.
+
+    For byte-level BPE that lower-cases, splits letters from other signs and normalises to NFC. Words
+    are looked up in lower case, a stop after a letter by itself, and plain words skip the normaliser.
+    """
 
     def __init__(self, path: str, end: int, splitter: str = "<|endoftext|>"):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.splitter, self.split_id, self.end = splitter, self.tokenizer.token_to_id(splitter), end
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.fresh: list[bytes] = []
+        self.fresh: list[bytes | tuple[int, int]] = []
         self.begin = np.array([0, 1], dtype=np.int64)
         self.flat = np.array([self.end], dtype=np.uint32)
 
     def __missing__(self, word: bytes) -> int:
+        parts = None
+        if len(word) > 1 and word[-1] in _STOPS and 97 <= word[-2] <= 122:
+            parts = self[word[:-1]], self[word[-1:]]
         code = len(self) + 1
         self[word] = code
-        self.fresh.append(word)
+        self.fresh.append(parts or word)
         return code
 
-    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
+    def _encode_plain(self, words: list[bytes]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            found = self.plain.encode(b" ".join(part).decode(), add_special_tokens=False)
+            ids = np.array(found.ids, dtype=np.uint32)
+            cuts = np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1)).tolist()
+            out += [ids[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def _encode_any(self, words: list[bytes]) -> list[np.ndarray]:
         mark = self.splitter.encode()
         out: list[np.ndarray] = []
         for at in range(0, len(words), 512):
@@ -56,6 +82,21 @@ class WordTokens(dict):
             out += [ids[s:e] for s, e in zip(starts, ends, strict=True)]
         return out
 
+    def _learn(self) -> None:
+        """Append the ids of the fresh words, in the order of their codes."""
+        fresh, self.fresh = self.fresh, []
+        plain = [_PLAIN.fullmatch(w) is not None if isinstance(w, bytes) else None for w in fresh]
+        quick = iter(self._encode_plain([w for w, p in zip(fresh, plain, strict=True) if p]))
+        slow = iter(self._encode_any([w for w, p in zip(fresh, plain, strict=True) if p is False]))
+        old = len(self.begin) - 1
+        new: list[np.ndarray] = []
+        ids_of = lambda c: new[c - old] if c >= old else self.flat[self.begin[c] : self.begin[c + 1]]
+        for w, p in zip(fresh, plain, strict=True):
+            new.append(next(quick) if p else next(slow) if p is False else np.concatenate((ids_of(w[0]), ids_of(w[1]))))
+        lengths = np.fromiter((len(x) for x in new), dtype=np.int64, count=len(new))
+        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(lengths)))
+        self.flat = np.concatenate((self.flat, *new))
+
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``, and the offsets of the texts."""
         if len(self) > CACHED_WORDS:
@@ -63,16 +104,12 @@ class WordTokens(dict):
         codes: list[int] = []
         count = np.zeros(len(texts), dtype=np.int64)
         for i, t in enumerate(texts):
-            words = t.split()
+            words = (t if b"<|" in t else t.lower()).split()  # special tokens are told by their case
             codes += map(self.__getitem__, words)
             codes.append(0)
             count[i] = len(words) + 1
         if self.fresh:
-            new = self._encode(self.fresh)
-            self.fresh = []
-            lengths = np.fromiter((len(x) for x in new), dtype=np.int64, count=len(new))
-            self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(lengths)))
-            self.flat = np.concatenate((self.flat, *new))
+            self._learn()
         code = np.array(codes, dtype=np.int64)
         lengths = self.begin[code + 1] - self.begin[code]
         out = self.flat[np.repeat(self.begin[code], lengths) + ramp(lengths)]
