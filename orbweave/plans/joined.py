@@ -1,2 +1,193 @@
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+"""Join queries: equi, range, nearest, as-of, and what is built on them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from orbweave.functions import domain, geo
+from orbweave.operators import ais, digest, events, tracking
+from orbweave.operators.joins import bracket, nearest, range_join
+from orbweave.plans.common import Registry
+from orbweave.sources import fixtures as fx
+
+R = Registry()
+QUERIES, ORACLES = R.queries, R.oracles
+
+
+@R.add("j4_semi_links", "SELECT track_id, count(*) AS n FROM obs WHERE track_id IN (SELECT track_id FROM obs WHERE scene_id = 'S1-2024-01-09') GROUP BY track_id")
+def j4(spark, d):
+    o = fx.observations(spark, d)
+    return o.join(o.where("scene_id = 'S1-2024-01-09'").select("track_id").distinct(), "track_id", "left_semi").groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add("j5_anti_events", "SELECT obs_id FROM obs WHERE scene_id NOT IN (SELECT scene_id FROM scenes WHERE clear < 0.5)", "scenes")
+def j5(spark, d):
+    return fx.observations(spark, d).join(fx.scenes(spark, d).where("clear < 0.5").select("scene_id"), "scene_id", "left_anti").select("obs_id")
+
+
+@R.add("j6_scene_counts", "SELECT s.scene_id, coalesce(c.n, 0) AS n_tanks FROM scenes s LEFT JOIN (SELECT scene_id, count(*) AS n FROM obs WHERE cls = 'storage-tank' GROUP BY 1) c ON s.scene_id = c.scene_id", "scenes")
+def j6(spark, d):
+    c = fx.observations(spark, d).where("cls = 'storage-tank'").groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_tanks"))
+    return fx.scenes(spark, d).select("scene_id").join(c, "scene_id", "left").withColumn("n_tanks", F.coalesce("n_tanks", F.lit(0)).cast("long"))
+
+
+@R.add("j7_site_overview", "SELECT s.site, s.title, coalesce(c.n, 0) AS n, m.top FROM sites s LEFT JOIN (SELECT site, count(*) AS n FROM obs GROUP BY 1) c ON s.site = c.site LEFT JOIN (SELECT site, round(max(value), 6) AS top FROM obs GROUP BY 1) m ON s.site = m.site", "obs sites")
+def j7(spark, d):
+    c = fx.observations(spark, d).groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("value"), 6).alias("top"))
+    return fx.sites(spark, d).join(F.broadcast(c), "site", "left").select("site", "title", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "top")
+
+
+_NEAR = """p AS (SELECT o.obs_id, a.mmsi, epoch(date_trunc('second', o.time))::BIGINT AS t, epoch(date_trunc('second', a.time))::BIGINT AS r, a.lat, a.lon FROM obs o JOIN ais a
+ ON abs(epoch(date_trunc('second', a.time))::BIGINT - epoch(date_trunc('second', o.time))::BIGINT) <= 3600 AND a.lat BETWEEN o.lat - CAST(0.25 AS DOUBLE) AND o.lat + CAST(0.25 AS DOUBLE) AND a.lon BETWEEN o.lon - CAST(0.25 AS DOUBLE) AND o.lon + CAST(0.25 AS DOUBLE) WHERE o.cls = 'vessel')"""
+
+
+@R.add("j8_reports_near", f"WITH {_NEAR} SELECT obs_id, count(*) AS n, count(DISTINCT mmsi) AS ships FROM p GROUP BY obs_id", "obs ais")
+def j8(spark, d):
+    return _pairs(spark, d).groupBy("obs_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("r_mmsi").alias("ships"))
+
+
+def _pairs(spark, d):
+    from orbweave.operators.joins import interval_join
+
+    o = fx.observations(spark, d).where("cls = 'vessel'").select("obs_id", F.unix_seconds(F.col("time").cast("timestamp")).alias("t"), "lat", "lon")
+    r = fx.positions(spark, d).select("mmsi", F.unix_seconds(F.col("time").cast("timestamp")).alias("t"), "lat", "lon")
+    return interval_join(o, r, "t", "t", ais.WINDOW_S, "lat", "lon", ais.PAD_DEG)
+
+
+@R.add("j9_two_sided_asof", f"WITH {_NEAR} SELECT obs_id, mmsi, max(r) FILTER (r <= t) AS before, min(r) FILTER (r > t) AS after FROM p GROUP BY 1, 2", "obs ais")
+def j9(spark, d):
+    return bracket(_pairs(spark, d), ["obs_id", "r_mmsi"], "t", "r_t", F.col("r_t")).withColumnRenamed("r_mmsi", "mmsi")
+
+
+_XY = """c AS (SELECT site, avg(lat) AS lat0, avg(lon) AS lon0 FROM obs WHERE cls = 'vessel' AND length_m >= 60 GROUP BY site),
+v AS (SELECT o.*, round((lon - CAST(56.1 AS DOUBLE)) * 111320.0::DOUBLE * cos(radians(CAST(26.1 AS DOUBLE))), 3) AS x, round((lat - CAST(26.1 AS DOUBLE)) * 110540.0::DOUBLE, 3) AS y FROM obs o WHERE cls = 'vessel')"""
+
+
+@R.add("j10_range_pairs", f"WITH {_XY} SELECT a.obs_id AS a, b.obs_id AS b, round(sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)), 1) AS metres FROM v a JOIN v b ON a.scene_id = b.scene_id AND a.obs_id < b.obs_id WHERE sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) <= 120")
+def j10(spark, d):
+    return range_join(_local(spark, d), _local(spark, d), ["scene_id"], "x", "y", 120.0, F.col("l_obs_id") < F.col("r_obs_id")).select(
+        F.col("l_obs_id").alias("a"), F.col("r_obs_id").alias("b"), F.round("distance", 1).alias("metres")
+    )
+
+
+def _local(spark, d):
+    o = fx.observations(spark, d).where("cls = 'vessel'")
+    x, y = geo.local_x(F.col("lon"), F.lit(26.1), F.lit(56.1)), geo.local_y(F.col("lat"), F.lit(26.1))
+    return o.select("obs_id", "scene_id", "site", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@R.add("j12_nearest_past", f"WITH {_XY} SELECT a.obs_id, round(min(sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2))), 1) AS metres FROM v a LEFT JOIN v b ON a.site = b.site AND b.scene_id < a.scene_id WHERE a.scene_id LIKE '%-09' GROUP BY 1")
+def j12(spark, d):
+    v = _local(spark, d)
+    late = v.where("scene_id like '%-09'")
+    n = nearest(late, v.select("scene_id", "site", "x", "y"), ["site"], "x", "y", ["obs_id"], F.col("r_scene_id") < F.col("scene_id"))
+    return n.select("obs_id", F.round("nearest", 1).alias("metres"))
+
+
+@R.add("j14_medium_neighbours", f"WITH {_XY} SELECT a.obs_id, count(*) AS n FROM v a JOIN v b ON a.scene_id = b.scene_id AND a.obs_id <> b.obs_id WHERE a.length_m >= 250 AND b.length_m BETWEEN 100 AND 220 AND sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) <= 15000 GROUP BY a.obs_id")
+def j14(spark, d):
+    v = _local(spark, d).join(fx.observations(spark, d).select("obs_id", "length_m"), "obs_id")
+    big, medium = v.where("length_m >= 250"), v.where("length_m between 100 and 220")
+    return range_join(big, medium, ["scene_id"], "x", "y", 15000.0).groupBy(F.col("l_obs_id").alias("obs_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add("e8_fat_hulls", "SELECT obs_id, round(length_m / greatest(width_m, 1), 2) AS aspect FROM obs WHERE cls = 'vessel' AND length_m >= 120 AND width_m >= CAST(0.1 AS DOUBLE) * length_m")
+def e8b(spark, d):
+    wide = fx.observations(spark, d).withColumn("width_m", F.col("width_m") * 3)
+    return events.fat_hulls(wide).select("obs_id", F.round(F.col("aspect") * 3, 2).alias("aspect"))
+
+
+_STS = """c AS (SELECT site, avg(lat) AS lat0, avg(lon) AS lon0 FROM obs WHERE cls = 'vessel' AND length_m >= 60 GROUP BY site),
+v AS (SELECT o.*, CASE WHEN width_m < length_m THEN width_m ELSE length_m / 6 END AS beam, (lon - lon0) * 111320.0::DOUBLE * cos(radians(lat0)) AS x, (lat - lat0) * 110540.0::DOUBLE AS y FROM obs o JOIN c ON o.site = c.site WHERE cls = 'vessel' AND length_m >= 60),
+r AS (SELECT scene_id, max(length_m) / 2 + 2 * max(beam) + 60 AS reach FROM v GROUP BY scene_id),
+n AS (SELECT scene_id, count(*) AS n FROM obs WHERE cls = 'vessel' GROUP BY scene_id),
+p AS (SELECT a.obs_id AS obs_a, b.obs_id AS obs_b, a.scene_id, b.x - a.x AS dx, b.y - a.y AS dy, radians(a.axis_deg) AS th, a.length_m AS la, b.length_m AS lb, a.beam AS ba, b.beam AS bb,
+ least(fmod(abs(a.axis_deg - b.axis_deg), 180), 180 - fmod(abs(a.axis_deg - b.axis_deg), 180)) AS diff FROM v a JOIN v b ON a.scene_id = b.scene_id AND a.obs_id < b.obs_id JOIN r ON r.scene_id = a.scene_id
+ WHERE sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) <= reach AND NOT coalesce(a.underway <> b.underway, false)),
+q AS (SELECT *, abs(dx * cos(th) - dy * sin(th)) - (ba + bb) / 2 AS gap FROM p WHERE diff <= 25 AND abs(dx * sin(th) + dy * cos(th)) <= greatest(la, lb) / 2)"""
+
+
+@R.add("e8_sts_candidates", f"WITH {_STS} SELECT substr(sha1(concat('sts|', least(CAST(obs_a AS VARCHAR), CAST(obs_b AS VARCHAR)), '|', greatest(CAST(obs_a AS VARCHAR), CAST(obs_b AS VARCHAR)))), 1, 16) AS event_id, q.scene_id, obs_a, obs_b, round(sqrt(dx * dx + dy * dy), 1) AS separation_m, round(greatest(gap, 0), 1) AS gap_m, round(diff, 1) AS axis_diff_deg, round(CAST(least(greatest(0.45::DOUBLE + CASE WHEN least(la, lb) >= 150 THEN 0.15::DOUBLE ELSE 0 END - CASE WHEN n.n > 40 THEN 0.2::DOUBLE ELSE 0 END - CASE WHEN coalesce(s.clear, 1.0) >= 0.85 THEN 0 ELSE 0.1::DOUBLE END, 0.15), 0.9) AS DOUBLE), 2) AS severity FROM q JOIN n ON n.scene_id = q.scene_id JOIN scenes s ON s.scene_id = q.scene_id WHERE gap <= 60", "scenes")
+def e8(spark, d):
+    return events.sts_candidates(fx.observations(spark, d), fx.scenes(spark, d))
+
+
+_UNUSUAL = """k AS (SELECT scene_id, site, row_number() OVER (PARTITION BY site ORDER BY time, scene_id) - 1 AS look, count(*) OVER (PARTITION BY site) AS looks FROM scenes WHERE coalesce(clear, 1.0) >= 0.85),
+c AS (SELECT site, avg(lat) AS lat0, avg(lon) AS lon0 FROM obs GROUP BY site),
+v AS (SELECT obs_id, o.site, look, looks, length_m, underway, CASE cls WHEN 'storage-tank' THEN 'tank' ELSE cls END AS family, CASE cls WHEN 'vessel' THEN 300.0::DOUBLE WHEN 'aircraft' THEN 60.0::DOUBLE WHEN 'vehicle' THEN 25.0::DOUBLE END AS h,
+ (lon - lon0) * 111320.0::DOUBLE * cos(radians(lat0)) AS x, (lat - lat0) * 110540.0::DOUBLE AS y FROM obs o JOIN k ON o.scene_id = k.scene_id JOIN c ON o.site = c.site WHERE cls <> 'storage-tank'),
+f AS (SELECT a.obs_id, a.site, a.family, a.look AS looks, a.h, a.length_m, a.underway, count(*) AS history, min(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS d2, sum(CASE WHEN pow(b.x - a.x, 2) + pow(b.y - a.y, 2) <= 9 * a.h * a.h THEN exp(-(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) / (2 * a.h * a.h)) ELSE 0 END) / a.look AS rate
+ FROM v a JOIN v b ON a.site = b.site AND a.family = b.family AND b.look < a.look WHERE a.looks > 6 AND a.look >= greatest(6, a.looks - 3) AND NOT coalesce(a.underway, false) GROUP BY ALL)"""
+
+
+@R.add("e9_unusual_locations", f"WITH {_UNUSUAL} SELECT substr(sha1(concat('unusual|', CAST(obs_id AS VARCHAR))), 1, 16) AS event_id, obs_id, site, family, looks, round(rate, 4) AS expected_per_look, round(sqrt(d2), 0) AS nearest_past_m, round(least(0.35::DOUBLE + 0.15::DOUBLE * least(sqrt(d2) / (10 * h), 1) + CASE WHEN family = 'vessel' AND length_m >= 150 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN family = 'aircraft' THEN 0.1::DOUBLE ELSE 0 END - CASE WHEN underway IS NULL AND family = 'vessel' THEN 0.1::DOUBLE ELSE 0 END, 0.85), 2) AS severity FROM f WHERE history >= 30 AND rate < 0.02", "scenes")
+def e9(spark, d):
+    return events.unusual_locations(fx.observations(spark, d), fx.scenes(spark, d))
+
+
+@R.add("e1_arrivals", "WITH b AS (SELECT o.site, o.cls, min(o.time) AS base FROM obs o JOIN scenes s ON o.scene_id = s.scene_id WHERE coalesce(s.clear, 1.0) >= 0.85 GROUP BY 1, 2), f AS (SELECT site, track_id, arg_min(struct_pack(cls := cls, length_m := length_m, scene_id := scene_id, time := time), (time, obs_id)) AS r FROM obs WHERE cls IN ('vessel', 'aircraft') GROUP BY 1, 2), a AS (SELECT f.site, r.scene_id AS scene_id, track_id, r.cls AS cls, r.length_m AS length_m FROM f JOIN b ON b.site = f.site AND b.cls = f.r.cls WHERE f.r.time > b.base), t AS (SELECT *, row_number() OVER (PARTITION BY site, scene_id ORDER BY length_m DESC, track_id) AS place, count(*) OVER (PARTITION BY site, scene_id) AS n FROM a) SELECT substr(sha1(concat('arrival|', track_id)), 1, 16) AS event_id, site, scene_id, 'arrival' AS kind, track_id, round(CAST(CASE WHEN cls = 'vessel' THEN CASE WHEN length_m >= 250 THEN 0.85 WHEN length_m >= 150 THEN 0.6 WHEN length_m >= 80 THEN 0.45 ELSE 0.25 END ELSE 0.6 END AS DOUBLE), 2) AS severity, 1 AS n FROM t WHERE place <= 4 UNION ALL SELECT substr(sha1(concat('arrival|rollup|', site, '|', scene_id)), 1, 16), site, scene_id, 'arrivals', NULL, round(least(0.3::DOUBLE + 0.02::DOUBLE * n, 0.6::DOUBLE), 2), n FROM t WHERE place = 1 AND n > 4", "scenes")
+def e1(spark, d):
+    o = fx.observations(spark, d)
+    s = fx.scenes(spark, d).where(events.clear_look(F.col("clear"))).select("scene_id")
+    base = o.join(s, "scene_id", "left_semi").groupBy("site", "cls").agg(F.min("time").alias("base"))
+    first = F.struct("cls", "length_m", "scene_id", "time")
+    seen = o.where("cls in ('vessel', 'aircraft')").groupBy("site", "track_id").agg(F.min_by(first, F.struct("time", "obs_id")).alias("r")).select("site", "track_id", "r.*")
+    return events.rollup(seen.join(base, ["site", "cls"]).where("time > base"), "arrival")
+
+
+@R.add("x1_match_reports")
+def x1(spark, d):
+    """Order of equal weights and dead reckoning chains make this a rows-only query; its parts have SQL."""
+    return ais.match(fx.observations(spark, d), fx.positions(spark, d))
+
+
+@R.add("t1_likelihood_pairs", """WITH q AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY time, obs_id) AS k, CASE cls WHEN 'storage-tank' THEN 'tank' ELSE cls END AS family, epoch_us(time) / 1e6 AS t, 15 + CAST(0.05 AS DOUBLE) * length_m AS sigma, CASE WHEN source = 'sentinel-1' THEN greatest(40.0::DOUBLE, CAST(0.25 AS DOUBLE) * length_m) ELSE greatest(20.0::DOUBLE, CAST(0.1 AS DOUBLE) * length_m) END AS ls FROM obs),
+p AS (SELECT a.obs_id AS a, b.obs_id AS b, b.t - a.t AS dt, sqrt(a.sigma * a.sigma + b.sigma * b.sigma) AS s, sqrt(pow((b.lon - a.lon) * 111320.0::DOUBLE * cos(radians((a.lat + b.lat) / 2)), 2) + pow((b.lat - a.lat) * 110574.0::DOUBLE, 2)) AS d,
+ CASE WHEN coalesce(a.underway, false) OR coalesce(b.underway, false) THEN 0.1::DOUBLE ELSE CAST(map {'vessel': 0.4, 'aircraft': 0.7, 'vehicle': 0.4, 'tank': 0.99}[a.family] AS DOUBLE) END AS ps, CAST(map {'vessel': 18.0, 'aircraft': 300.0, 'vehicle': 40.0, 'tank': 0.0}[a.family] AS DOUBLE) AS vmax,
+ CAST(map {'vessel': 5.0, 'aircraft': 20.0, 'vehicle': 1.0, 'tank': 3650.0}[a.family] AS DOUBLE) * 86400 AS tau, CAST(map {'vessel': 400.0, 'aircraft': 80.0, 'vehicle': 25.0, 'tank': 120.0}[a.family] AS DOUBLE) AS spread,
+ b.length_m - a.length_m AS dl, sqrt(a.ls * a.ls + b.ls * b.ls) AS ls, least(fmod(abs(a.axis_deg - b.axis_deg), 180), 180 - fmod(abs(a.axis_deg - b.axis_deg), 180)) AS ax FROM q a JOIN q b ON a.site = b.site AND a.family = b.family AND a.k = 1 AND b.k = 2),
+r AS (SELECT *, ps * exp(-d * d / (2 * s * s)) / (2 * pi() * s * s) + (1 - ps) * CASE WHEN vmax > 0 AND d <= least(vmax * dt, 4 * sqrt(4e8::DOUBLE)) + 2 * s THEN 1 / (pi() * pow(least(vmax * dt, 4 * sqrt(4e8::DOUBLE)) + 2 * s, 2)) ELSE 0 END AS base, exp(-dt / tau) AS keep FROM p),
+l AS (SELECT a, b, CASE WHEN dt > 0 THEN base * 4e8::DOUBLE * least(spread * exp(-dl * dl / (2 * ls * ls)) / (sqrt(2 * pi()) * ls), 20) * CASE WHEN d <= 3 * s THEN ps * least(180 * exp(-ax * ax / 128) / (sqrt(2 * pi()) * 8), 15) + 1 - ps ELSE 1 END * least(greatest(keep / greatest(1 - keep, 1e-6::DOUBLE), 0.02::DOUBLE), 50) ELSE 0 END AS lr FROM r)
+SELECT a, b, round(log10(greatest(lr, 1e-12::DOUBLE)), 4) AS log_lr FROM l""")
+def t1(spark, d):
+    """Pairs of every track's first sighting with every second one of the site and family, without velocity or course."""
+    return _likelihoods(spark, d).select("a", "b", F.round(F.log10(F.greatest("lr", F.lit(1e-12))), 4).alias("log_lr"))
+
+
+def _likelihoods(spark, d):
+    from pyspark.sql import Window
+
+    o = fx.observations(spark, d)
+    w = Window.partitionBy("track_id").orderBy("time", "obs_id")
+    gsd = domain.gsd_of(F.lit(None).cast("double"), F.col("source"))
+    q = o.select(
+        "obs_id", "site", domain.family(F.col("cls")).alias("family"), (F.unix_micros(F.col("time").cast("timestamp")) / F.lit(1e6)).alias("t"), "lat", "lon",
+        F.col("length_m").alias("length"), F.col("axis_deg").alias("axis"), F.lit(None).cast("double").alias("course"), "underway",
+        domain.position_sigma(gsd, F.col("length_m")).alias("sigma"), domain.length_sigma(F.col("source"), gsd, F.col("length_m")).alias("length_sigma"), F.row_number().over(w).alias("k"),
+    )
+    last = q.where("k = 1").select(*[F.col(c).alias(f"a_{c}") for c in q.columns], *[F.lit(None).cast("double").alias(f"a_{v}") for v in ("vx", "vy", "v_sigma")])
+    new = q.where("k = 2").select(*[F.col(c).alias(f"b_{c}") for c in q.columns])
+    pairs = last.join(new, (F.col("a_site") == F.col("b_site")) & (F.col("a_family") == F.col("b_family")))
+    return pairs.select(F.col("a_site").alias("site"), F.col("a_obs_id").alias("a"), F.col("b_obs_id").alias("b"), tracking.likelihood_ratio(4e8).alias("lr"))
+
+
+@R.add("t2_link_marginals", "WITH l AS (SELECT site, obs_id AS a, track_id AS b, value / 10 AS lr FROM obs WHERE cls = 'aircraft') SELECT a, round(lr / (1 + sum(lr) OVER (PARTITION BY site, a) + sum(lr) OVER (PARTITION BY site, b) - lr + 1e-12::DOUBLE), 6) AS p FROM l")
+def t2(spark, d):
+    l = fx.observations(spark, d).where("cls = 'aircraft'").select("site", F.col("obs_id").alias("a"), F.col("track_id").alias("b"), (F.col("value") / 10).alias("lr"))
+    return tracking.link_probability(l, ["site"], "b", "a").select("a", F.round("p", 6).alias("p"))
+
+
+@R.add("t4_tracks")
+def t4(spark, d):
+    """Assignment is global per scene, so rows only."""
+    return tracking.build_tracks(fx.observations(spark, d), 4e8).drop("misses")
+
+
+@R.add("e3_track_events", "WITH t AS (SELECT *, sqrt(pow((lon - lag(lon) OVER w) * 111320.0::DOUBLE * cos(radians((lat + lag(lat) OVER w) / 2)), 2) + pow((lat - lag(lat) OVER w) * 110574.0::DOUBLE, 2)) AS step, epoch_us(time) / 1e6 - lag(epoch_us(time) / 1e6) OVER w AS gap FROM obs WINDOW w AS (PARTITION BY site, track_id ORDER BY time, obs_id)), s AS (SELECT site, track_id, arg_max(cls, (time, obs_id)) AS cls, count(*) AS n, round(median(CASE WHEN gap > 0 AND gap <= 259200 THEN step / gap END), 2) AS v, round((epoch_us(max(time)) / 1e6 - epoch_us(min(time)) / 1e6) / 86400, 2) AS dwell, round(median(length_m), 1) AS length_m FROM t GROUP BY 1, 2) SELECT substr(sha1(concat('loiter|', track_id, '|', CAST(n AS VARCHAR))), 1, 16) AS event_id, site, track_id, 'loitering' AS kind, round(0.35::DOUBLE + CASE WHEN length_m >= 150 THEN 0.15::DOUBLE ELSE 0 END, 2) AS severity, dwell AS value FROM s WHERE cls = 'vessel' AND dwell >= 14 AND coalesce(v, 0) < 0.3 AND n >= 3 UNION ALL SELECT substr(sha1(concat('fast|', track_id)), 1, 16), site, track_id, 'fast_vessel', 0.5::DOUBLE, round(v * CAST(1.944 AS DOUBLE), 1) FROM s WHERE cls = 'vessel' AND v > 12")
+def e3(spark, d):
+    return events.track_events(tracking.track_summary(fx.observations(spark, d), ["site", "track_id"]))
+
+
+@R.add("b2_brief", "WITH k AS (SELECT DISTINCT site, cls FROM obs), c AS (SELECT scene_id, cls, count(*) AS n FROM obs GROUP BY 1, 2), t AS (SELECT s.site, k.cls, s.time, coalesce(c.n, 0) AS n FROM scenes s JOIN k ON s.site = k.site LEFT JOIN c ON c.scene_id = s.scene_id AND c.cls = k.cls WHERE coalesce(nullif(s.clear, 0), 1.0) >= 0.85), m AS (SELECT site, cls, median(n) FILTER (time < TIMESTAMP '2024-01-15') AS a, median(n) FILTER (time >= TIMESTAMP '2024-01-15') AS b FROM t GROUP BY 1, 2) SELECT site, concat('## ', site, chr(10), string_agg(concat('**', cls, '** ', coalesce(printf('%.1f', a), '-'), ' -> ', coalesce(printf('%.1f', b), '-')), '; ' ORDER BY concat('**', cls, '** '))) AS brief FROM m GROUP BY site", "scenes")
+def b2(spark, d):
+    return digest.markdown(digest.class_counts(fx.observations(spark, d), fx.scenes(spark, d), F.lit("2024-01-15").cast("date")))
