@@ -36,6 +36,12 @@ TEMPLATES = (
 #: Phrases of the base labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
+# Words too common in any prose to be looked up.
+COMMON = frozenset("a an and any are as at by except following for free from in into is it may modify not of on or person published software source terms that the this to under use with without you work obtain copy form code file files forms distribute provided conditions purpose redistribute either".split())
+
+#: One word of each phrase; a text without any has no phrase.
+_PHRASE_WORDS = frozenset(("cc", "public", "reserved"))
+
 #: Anchors a template has at most, and votes at one start that make it a candidate.
 ANCHORS = 8
 VOTES = 2
@@ -66,9 +72,10 @@ def index() -> tuple[tuple[str, ...], tuple[Template, ...]]:
     made, used = [], set()
     for label, words, key in texts:
         at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        rank = sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))[:ANCHORS]
-        # Key words are always among the anchors, so a lone key phrase in its context can vote.
-        rank = sorted(set(rank) | set(range(at, at + len(key))))
+        rare = [i for i in range(len(words)) if words[i] not in COMMON and (len(words[i]) > 1 or not words[i].isalpha())]
+        rank = sorted(rare, key=lambda i: (-idf[words[i]], i))[:ANCHORS]
+        # The key phrase's own rare words are always among the anchors.
+        rank = sorted(set(rank) | {i for i in range(at, at + len(key)) if i in rare})
         anchors = tuple((words[i], i) for i in rank)
         used |= {w for w, _ in anchors}
         made.append(Template(label, words, key, at, anchors))
@@ -84,26 +91,36 @@ def _phrase_pattern() -> str:
     return f"(?<![^{_BREAK}])(?i:{joined})(?![^{_BREAK}])"
 
 
+def _size(parts: Column) -> Column:
+    """Words among the parts between breaks; only the first and the last part can be empty."""
+    ends = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    return (F.size(parts) - ends).cast("long")
+
+
 def _count(text: Column) -> Column:
-    """Words of a text, from its parts between breaks."""
-    parts = F.split(text, f"[{_BREAK}]+")
-    return (F.size(parts) - F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0) - F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)).cast("long")
-
-
-def _share(t: Template) -> Column:
-    """Share of the template's anchors at its best start whose key phrase holds; null without one."""
-    anchors = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(i).alias("p")) for w, i in t.anchors])
-    starts = F.flatten(F.transform("hits", lambda h: F.transform(F.filter(anchors, lambda p: p["w"] == h["w"]), lambda p: h["i"] - p["p"])))
-    votes = F.transform(F.array_distinct(starts), lambda s: F.struct(s.alias("s"), F.size(F.filter(starts, lambda x: x == s)).alias("n")))
-    key_at = F.lit(t.key_at)
-    holds = F.filter(
-        votes,
-        lambda c: (c["n"] >= VOTES)
-        & (c["s"] + key_at >= 0)
-        & (F.slice("w", F.greatest(c["s"] + key_at + 1, F.lit(1)), F.lit(len(t.key))) == _strings(t.key)),
-    )
-    best = F.array_max(F.transform(holds, lambda c: c["n"]))
-    return F.when(F.col("hits").isNotNull() & F.arrays_overlap("own", _strings(t.key)), F.round(best / F.lit(len(t.anchors)), 6))
+    return _size(F.split(text, f"[{_BREAK}]+"))
+
+
+def _votes(templates: tuple[Template, ...]) -> Column:
+    """Votes (template, start) of every hit: its place less the posting's."""
+    postings = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("t"), F.lit(i).alias("p")) for k, t in enumerate(templates) for w, i in t.anchors])
+    own = lambda h: F.transform(F.filter(postings, lambda p: p["w"] == h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("s")))
+    return F.flatten(F.transform("hits", own))
+
+
+def _verified(templates: tuple[Template, ...]) -> Column:
+    """Candidates with enough votes whose key phrase stands where the start puts it, as (template, share of anchors)."""
+    numbers = lambda values: F.array(*[F.lit(v) for v in values])
+    key_at, length, anchors = numbers(t.key_at for t in templates), numbers(len(t.key) for t in templates), numbers(len(t.anchors) for t in templates)
+    keys = F.array(*[F.lit(" ".join(t.key)) for t in templates])
+    counted = F.transform(F.array_distinct("votes"), lambda v: F.struct(v["t"].alias("t"), v["s"].alias("s"), F.size(F.filter("votes", lambda x: x == v)).alias("n")))
+
+    def holds(c: Column) -> Column:
+        start = c["s"] + F.get(key_at, c["t"])
+        phrase = F.array_join(F.slice("w", F.greatest(start + 1, F.lit(1)), F.get(length, c["t"])), " ")
+        return (c["n"] >= VOTES) & (start >= 0) & (phrase == F.get(keys, c["t"]))
+
+    return F.transform(F.filter(counted, holds), lambda c: F.struct(c["t"].alias("t"), F.round(c["n"] / F.get(anchors, c["t"]), 6).alias("share")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,8 +138,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     words, templates = index()
     pattern = _phrase_pattern()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    rows = rows.withColumn("places", F.regexp_extract_all("t", F.lit(pattern), F.lit(0)))
-    rows = rows.withColumn("n_words", _count(F.col("t"))).withColumn("n_base", F.size("places").cast("long"))
+    # One split of the text serves the word count and the look-up; what follows runs for few rows.
+    rows = rows.withColumn("parts", F.split(F.lower("t"), f"[{_BREAK}]+"))
+    rows = rows.withColumn("own", F.array_intersect("parts", _strings(sorted({*words, *_PHRASE_WORDS}))))
+    some_phrase = F.arrays_overlap("own", _strings(sorted(_PHRASE_WORDS)))
+    rows = rows.withColumn("places", F.when(some_phrase, F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("n_words", _size(F.col("parts"))).withColumn("n_base", F.size("places").cast("long"))
     some = F.col("n_base") > 0
     rows = rows.withColumn("between", F.when(some, F.split("t", pattern)))
     label = lambda x: F.coalesce(*[F.when(F.startswith(F.lower(x), F.lit(p.split()[0])), F.lit(name)) for p, name in PHRASES])
@@ -132,19 +153,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         .withColumn("last_word", F.when(some, F.col("n_words") - _count(F.element_at("between", -1)) - _count(F.element_at("places", -1))))
         .withColumn("base", base)
     )
-    lowered = F.filter(F.split(F.lower("t"), f"[{_BREAK}]+"), lambda w: w != "")
-    rows = rows.withColumn("own", F.array_intersect(F.split(F.lower("t"), f"[{_BREAK}]+"), _strings(words)))
-    rows = rows.withColumn("w", F.when(F.size("own") >= VOTES, lowered))
-    rows = rows.withColumn("chosen", F.when(F.size("own") >= VOTES, F.slice(F.filter(_strings(words), lambda x: F.array_contains("own", x)), 1, LOOKED_UP)))
+    licence = F.array_intersect("own", _strings(words))
+    rows = rows.withColumn("licence", F.when(F.size("own") >= VOTES, licence))
+    known = F.coalesce(F.size("licence") >= VOTES, F.lit(False))
+    rows = rows.withColumn("w", F.when(known, F.filter("parts", lambda w: w != "")))
+    rows = rows.withColumn("chosen", F.when(known, F.slice(F.filter(_strings(words), lambda x: F.array_contains("licence", x)), 1, LOOKED_UP)))
     rows = rows.withColumn(
         "hits",
         F.filter(F.transform("w", lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda h: F.array_contains("chosen", h["w"])),
     )
-    found, shares = [t.label for t in templates], [_share(t) for t in templates]
-    rows = rows.withColumn("shares", F.when(F.col("hits").isNotNull(), F.array(*shares)))
-    own = F.filter(F.transform("shares", lambda s, k: F.when(s.isNotNull(), F.element_at(_strings(found), k + 1))), lambda x: x.isNotNull())
-    rows = rows.withColumn("all", F.sort_array(F.array_distinct(F.concat("base", F.coalesce(own, F.array().cast("array<string>"))))))
-    best = F.array_max("shares")
+    rows = rows.withColumn("votes", _votes(templates)).withColumn("found", _verified(templates))
+    labels = _strings(t.label for t in templates)
+    own = F.coalesce(F.transform("found", lambda c: F.get(labels, c["t"])), F.array().cast("array<string>"))
+    rows = rows.withColumn("all", F.sort_array(F.array_distinct(F.concat("base", own))))
+    best = F.array_max(F.transform("found", lambda c: c["share"]))
     return rows.select(
         "id",
         "n_words",
