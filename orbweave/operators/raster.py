@@ -19,18 +19,23 @@ def composite(pixels: DataFrame, key: list[str], bands: list[str], how: str = "m
     return pixels.groupBy(*key).agg(*[f(b).alias(b) for b in bands])
 
 
-def robust_z(pixels: DataFrame, column: str, floor: float, mask: Column | None = None, least: int = 100) -> DataFrame:
-    """``column`` against its own median and MAD over the mask, as ``z_<column>``; 0 if fewer than ``least`` pixels.
+def robust_z(pixels: DataFrame, floors: dict[str, float], masks: dict[str, Column] | None = None, least: int = 100) -> DataFrame:
+    """Columns against their own median and MAD over their masks, as ``z_<column>``; 0 if fewer than ``least`` pixels.
 
-    Two aggregates of one row each are joined back; the pixels are not shuffled.
+    Two aggregates of one row each serve all columns and are joined back; the pixels are not shuffled.
     """
-    own = F.when(mask, F.col(column)) if mask is not None else F.col(column)
-    middle = pixels.agg(F.median(own).alias("_med"), F.count(own).alias("_n"))
+    masks = masks or {}
+    own = lambda name, v: F.when(masks[name], v) if name in masks else v
+    middle = pixels.agg(*[F.median(own(n, F.col(n))).alias(f"_med_{n}") for n in floors], *[F.count(own(n, F.col(n))).alias(f"_n_{n}") for n in floors])
     rows = pixels.crossJoin(F.broadcast(middle))
-    gap = F.abs(F.col(column) - F.col("_med"))
-    spread = rows.agg((F.median(F.when(mask, gap) if mask is not None else gap) * MAD).alias("_mad"))
-    z = F.when(F.col("_n") < least, 0.0).otherwise((F.col(column) - F.col("_med")) / F.greatest("_mad", F.lit(floor)))
-    return rows.crossJoin(F.broadcast(spread)).withColumn(f"z_{column}", z).drop("_med", "_n", "_mad")
+    gap = {n: F.abs(F.col(n) - F.col(f"_med_{n}")) for n in floors}
+    spread = rows.agg(*[(F.median(own(n, gap[n])) * MAD).alias(f"_mad_{n}") for n in floors])
+    rows = rows.crossJoin(F.broadcast(spread))
+    z = {
+        f"z_{n}": F.when(F.col(f"_n_{n}") < least, 0.0).otherwise((F.col(n) - F.col(f"_med_{n}")) / F.greatest(F.col(f"_mad_{n}"), F.lit(floor)))
+        for n, floor in floors.items()
+    }
+    return rows.withColumns(z).drop(*[f"_{what}_{n}" for n in floors for what in ("med", "n", "mad")])
 
 
 def with_indices(pixels: DataFrame) -> DataFrame:
@@ -55,9 +60,7 @@ FLOORS = {"d_mndwi": 0.03, "d_ndvi": 0.03, "d_nbr": 0.03, "d_br": 0.01, "d_swir1
 
 def optical_change(pixels: DataFrame, k: float = 3.0) -> DataFrame:
     """Change class of every pixel, first rule that holds: water, burn, vegetation, bright surface, other; null if none."""
-    rows = with_indices(pixels)
-    for name, floor in FLOORS.items():
-        rows = robust_z(rows, name, floor, F.col("both") if name == "d_mndwi" else F.col("land"))
+    rows = robust_z(with_indices(pixels), FLOORS, {n: F.col("both" if n == "d_mndwi" else "land") for n in FLOORS})
     c = F.col
     water_b, water_a = c("mndwi_b") > 0.1, c("mndwi_a") > 0.1
     cva = F.sqrt((c("z_d_red") * c("z_d_red") + c("z_d_nir") * c("z_d_nir") + c("z_d_swir16") * c("z_d_swir16") + c("z_d_swir22") * c("z_d_swir22")) / 4)
@@ -75,7 +78,7 @@ def optical_change(pixels: DataFrame, k: float = 3.0) -> DataFrame:
 def radar_change(pixels: DataFrame, before: str, after: str, k: float = 3.0) -> DataFrame:
     """Log-ratio change of a radar band: at least 3 dB and beyond k spreads, up or down."""
     ratio = F.when((F.col(before) > 0) & (F.col(after) > 0), F.lit(10.0) * F.log10(F.try_divide(F.col(after), F.col(before))))
-    rows = robust_z(pixels.withColumn("db", F.coalesce(ratio, F.lit(0.0))), "db", 0.5)
+    rows = robust_z(pixels.withColumn("db", F.coalesce(ratio, F.lit(0.0))), {"db": 0.5})
     up, down = (F.col("db") >= 3) & (F.col("z_db") > k), (F.col("db") <= -3) & (F.col("z_db") < -k)
     return rows.withColumn("change", F.when(up, "radar_increase").when(down, "radar_decrease"))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,19 +44,34 @@ def similar(rows: DataFrame, vector: str, example: DataFrame, top: int) -> DataF
 
 
 def whitener(rows: DataFrame, vector: str, dims: int, ridge: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and whitening matrix; sums of products are aggregated in the cluster, 64 x 64 numbers come back."""
-    x = [F.get(vector, F.lit(i)).cast("double") for i in range(dims)]
-    wide = rows.select(*[c.alias(f"x{i}") for i, c in enumerate(x)])
-    sums = wide.agg(F.count(F.lit(1)), *[F.sum(f"x{i}") for i in range(dims)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(dims) for j in range(i, dims)]).first()
-    n, mean = sums[0], np.array(sums[1 : dims + 1]) / sums[0]
-    gram = np.zeros((dims, dims))
-    gram[np.triu_indices(dims)] = sums[dims + 1 :]
-    gram = np.triu(gram) + np.triu(gram, 1).T
-    value, axis = np.linalg.eigh(gram / n - np.outer(mean, mean))
+    """Mean and whitening matrix. Partitions sum their own products, the sums meet by position, dims^2 numbers come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 + dims + dims * dims)
+        for batch in batches:
+            x = np.array(batch.column(0).to_pylist(), dtype=np.float64).reshape(-1, dims)
+            sums += np.concatenate(([len(x)], x.sum(axis=0), (x.T @ x).ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["place", "v"])
+
+    parts = rows.where(F.col(vector).isNotNull()).select(vector).mapInArrow(run, "place long, v double")
+    sums = np.array([r["v"] for r in parts.groupBy("place").agg(F.sum("v").alias("v")).orderBy("place").collect()])
+    n, mean = sums[0], sums[1 : dims + 1] / sums[0]
+    value, axis = np.linalg.eigh(sums[dims + 1 :].reshape(dims, dims) / n - np.outer(mean, mean))
     sd = np.sqrt(np.maximum(value, 0))
     return mean, axis / (sd + sd.max() * ridge)
 
 
+def whitened(rows: DataFrame, key: str, vector: str, mean: np.ndarray, axes: np.ndarray) -> DataFrame:
+    """``key`` and the whitened vector of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = (np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(-1, len(mean)) - mean) @ axes
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), type=pa.list_(pa.float64()))], names=[key, vector])
+
+    return rows.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, {vector} array<double>")
+
+
 def changed(before: DataFrame, after: DataFrame, key: str, vector: str, k: float = 3.0, least: float = 0.15) -> DataFrame:
     """Cosine distance of a cell's two vectors, its robust z over all cells, and whether it changed."""
     rows = before.select(key, F.col(vector).alias("a")).join(after.select(key, F.col(vector).alias("b")), key)

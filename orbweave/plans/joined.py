@@ -34,7 +34,7 @@ def j6(spark, d):
 @R.add("j7_site_overview", "SELECT s.site, s.title, coalesce(c.n, 0) AS n, m.top FROM sites s LEFT JOIN (SELECT site, count(*) AS n FROM obs GROUP BY 1) c ON s.site = c.site LEFT JOIN (SELECT site, round(max(value), 6) AS top FROM obs GROUP BY 1) m ON s.site = m.site", "obs sites")
 def j7(spark, d):
     c = fx.observations(spark, d).groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("value"), 6).alias("top"))
-    return fx.sites(spark, d).join(F.broadcast(c), "site", "left").select("site", "title", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "top")
+    return fx.sites(spark, d).select("site", "title").join(F.broadcast(c), "site", "left").select("site", "title", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "top")
 
 
 _NEAR = """p AS (SELECT o.obs_id, a.mmsi, epoch(date_trunc('second', o.time))::BIGINT AS t, epoch(date_trunc('second', a.time))::BIGINT AS r, a.lat, a.lon FROM obs o JOIN ais a
@@ -117,7 +117,7 @@ c AS (SELECT site, avg(lat) AS lat0, avg(lon) AS lon0 FROM obs GROUP BY site),
 v AS (SELECT obs_id, o.site, look, looks, length_m, underway, CASE cls WHEN 'storage-tank' THEN 'tank' ELSE cls END AS family, CASE cls WHEN 'vessel' THEN 300.0::DOUBLE WHEN 'aircraft' THEN 60.0::DOUBLE WHEN 'vehicle' THEN 25.0::DOUBLE END AS h,
  (lon - lon0) * 111320.0::DOUBLE * cos(radians(lat0)) AS x, (lat - lat0) * 110540.0::DOUBLE AS y FROM obs o JOIN k ON o.scene_id = k.scene_id JOIN c ON o.site = c.site WHERE cls <> 'storage-tank'),
 f AS (SELECT a.obs_id, a.site, a.family, a.look AS looks, a.h, a.length_m, a.underway, count(*) AS history, min(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS d2, sum(CASE WHEN pow(b.x - a.x, 2) + pow(b.y - a.y, 2) <= 9 * a.h * a.h THEN exp(-(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) / (2 * a.h * a.h)) ELSE 0 END) / a.look AS rate
- FROM v a JOIN v b ON a.site = b.site AND a.family = b.family AND b.look < a.look WHERE a.looks > 6 AND a.look >= greatest(6, a.looks - 3) AND NOT coalesce(a.underway, false) GROUP BY ALL)"""
+ FROM v a JOIN v b ON a.site = b.site AND a.family = b.family AND b.look < a.look WHERE a.looks > 6 AND a.look >= greatest(6, a.looks - 3) AND NOT coalesce(a.underway, false) GROUP BY a.obs_id, a.site, a.family, a.look, a.h, a.length_m, a.underway)"""
 
 
 @R.add("e9_unusual_locations", f"WITH {_UNUSUAL} SELECT substr(sha1(concat('unusual|', CAST(obs_id AS VARCHAR))), 1, 16) AS event_id, obs_id, site, family, looks, round(rate, 4) AS expected_per_look, round(sqrt(d2), 0) AS nearest_past_m, round(least(0.35::DOUBLE + 0.15::DOUBLE * least(sqrt(d2) / (10 * h), 1) + CASE WHEN family = 'vessel' AND length_m >= 150 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN family = 'aircraft' THEN 0.1::DOUBLE ELSE 0 END - CASE WHEN underway IS NULL AND family = 'vessel' THEN 0.1::DOUBLE ELSE 0 END, 0.85), 2) AS severity FROM f WHERE history >= 30 AND rate < 0.02", "scenes")
