@@ -22,9 +22,11 @@ from orbweave.llm import wordblocks as wb
 from orbweave.llm.runtime import ready, table
 
 UNDETERMINED = "und"
-#: Bounds of the labelled sample the model is fitted on: documents, and words of each.
-SAMPLE_DOCS = 2000
+#: Bounds of the labelled sample the model is fitted on: documents (twice that at most), words of a
+#: spliced sequence, and words of each document's excerpt, from which its pieces and the lexicon come.
+SAMPLE_DOCS = 1500
 SAMPLE_WORDS = 160
+EXCERPT_WORDS = 240
 #: Frequent words of each language in the lexicon.
 LEXICON = 400
 #: Hashed features, and passes of the optimiser over the sample.
@@ -187,13 +189,20 @@ def posteriors(emission: np.ndarray, transitions: np.ndarray, count: np.ndarray)
     return out / out.sum(axis=1, keepdims=True), forward
 
 
+def _excerpt(text: bytes, rng: np.random.Generator) -> bytes:
+    """A run of at most ``EXCERPT_WORDS`` words from a random place of a training text."""
+    words = text.split()
+    s = int(rng.integers(max(len(words) - EXCERPT_WORDS, 0) + 1))
+    return b" ".join(words[s : s + EXCERPT_WORDS])
+
+
 def fit(texts: list[bytes], langs: list[str], sample_words: int = SAMPLE_WORDS, passes: int = PASSES) -> Model:
     """Fit on labelled texts; sequences splice pieces of two texts, so switches are seen too."""
     labels = sorted(set(langs))
     y_of = {x: i for i, x in enumerate(labels)}
-    words = Words(texts)
-    begin = np.cumsum(words.count) - words.count
     rng = np.random.Generator(np.random.PCG64(5))
+    words = Words([_excerpt(t, rng) for t in texts])
+    begin = np.cumsum(words.count) - words.count
     doc_label = np.array([y_of[x] for x in langs])
     of_word = np.repeat(doc_label, words.count)
     # Lexicon: each language's words by how far their count there exceeds that elsewhere.
@@ -247,8 +256,8 @@ def fit(texts: list[bytes], langs: list[str], sample_words: int = SAMPLE_WORDS,
         # Pair marginals: the forward message, the transition, and what the next posterior says of its label.
         a = np.exp(model.transitions)
         before = forward[:-1][~last[:-1]]
-        pair = before[:, :, None] * a * (p[1:][~last[:-1]] / (before @ a))[:, None, :]
-        flow = (pair.sum(axis=0) - seen) / len(at) + 1e-4 * model.transitions
+        pairs = a * (before.T @ (p[1:][~last[:-1]] / (before @ a)))
+        flow = (pairs - seen) / len(at) + 1e-4 * model.transitions
         for parameter, g, m1, m2, rate in ((model.weights, grad, moments[0], moments[1], 0.15), (model.transitions, flow, moments[2], moments[3], 0.1)):
             m1 += 0.1 * (g - m1)
             m2 += 0.01 * (g * g - m2)
