@@ -25,9 +25,9 @@ def r2(spark, d):
     return _grid(spark, d).select("row", "col", F.round("red_b", 6).alias("red"), F.round("nir_a", 6).alias("nir"))
 
 
-@R.add("r4_multilook", f"WITH {_GRID}, s AS (SELECT \"row\" + i AS \"row\", col + j AS col, sum(red_b) AS s, count(*) AS c FROM g, range(-2, 3) a(i), range(-2, 3) b(j) GROUP BY 1, 2) SELECT g.\"row\", g.col, round(s / c, 6) AS red_b FROM g JOIN s ON g.\"row\" = s.\"row\" AND g.col = s.col WHERE c > 12.5", "pix")
+@R.add("r4_multilook", f"WITH {_GRID}, s AS (SELECT \"row\" + i AS \"row\", col + j AS col, sum(red_b) AS s, count(*) AS c FROM g, range(-2, 3) a(i), range(-2, 3) b(j) GROUP BY 1, 2) SELECT g.\"row\", g.col, round(s / c, 9) AS red_b FROM g JOIN s ON g.\"row\" = s.\"row\" AND g.col = s.col WHERE c > 12.5", "pix")
 def r4(spark, d):
-    return raster.multilook(_grid(spark, d), "red_b").withColumn("red_b", F.round("red_b", 6))
+    return raster.multilook(_grid(spark, d), "red_b").withColumn("red_b", F.round("red_b", 9))
 
 
 @R.add("r5_robust_z", f"WITH {_GRID}, m AS (SELECT median(red_a - red_b) AS med FROM g), s AS (SELECT median(abs(red_a - red_b - med)) * CAST({MAD} AS DOUBLE) AS mad FROM g, m) SELECT \"row\", col, round((red_a - red_b - med) / greatest(mad, 0.01), 4) AS z FROM g, m, s", "pix")
