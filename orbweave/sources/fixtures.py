@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbweave.sources.paths import share_package
+
 SITE_BOX = (56.0, 26.0, 56.21, 26.21)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

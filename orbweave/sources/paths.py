@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package when it was found through the driver's ``sys.path``."""
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        environment["PYTHONPATH"] = f"{root}:{known}" if known else root
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Use the session's ``spark.checkpoint.dir``; only where none is set, a local one."""
     context = spark.sparkContext
