@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from orbweave.llm.graph import components
 from orbweave.llm.near_dedup import _forest
-from orbweave.llm.runtime import cut, ready, small, table
+from orbweave.llm.runtime import cut, ready, table, tidy
 from orbweave.llm.sortedgroups import whole_groups
 
 BLOCKS = 4
@@ -76,7 +76,7 @@ def _packed(dtype: str):
                 vectors = [None if v is None else v.tobytes() for v in _rows(part.column(1), dtype)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, type=pa.binary())], names=["id", "vector"])
 
-    return run
+    return tidy(run)
 
 
 def _units(raw: list[bytes], dtype: str) -> np.ndarray:
@@ -102,7 +102,7 @@ def _slabs(dtype: str, threshold: float):
                         [ids, pa.array(np.full(n, d, dtype=np.int32)), pa.array(np.full(n, b, dtype=np.int32)), pa.array(slab)], names=["id", "dims", "block", "slab"]
                     )
 
-    return run
+    return tidy(run)
 
 
 def _verified(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray, za: np.ndarray, zb: np.ndarray, block: int, bounds, most, threshold: float) -> np.ndarray:
@@ -156,7 +156,7 @@ def _joined(dtype: str, threshold: float):
                     np.minimum.at(root, labels, ids)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit]), pa.array(root[labels[hit]])], names=["id", "n", "root"])
 
-    return run
+    return tidy(run)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", tile: int = TILE) -> DataFrame:

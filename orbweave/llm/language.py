@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import wordblocks as wb
-from orbweave.llm.runtime import ready, table
+from orbweave.llm.runtime import ready, table, tidy
 
 UNDETERMINED = "und"
 #: Bounds of the labelled sample the model is fitted on: documents (twice that at most), words of a
@@ -293,7 +293,7 @@ def _predicted(model: Model):
                     [batch.column(0).slice(at, len(texts)), pa.array(names), pa.array(score), pa.array(count)], names=["id", "lang_pred", "score", "n_words"]
                 )
 
-    return run
+    return tidy(run)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -345,7 +345,7 @@ def _keeping(model: Model, text_col: str, lang_col: str, least: float):
                 stay = pa.array(np.array([n != UNDETERMINED for n in names]) & (score >= least))
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(stay)
 
-    return run
+    return tidy(run)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

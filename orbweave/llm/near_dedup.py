@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from orbweave.llm import wordblocks as wb
 from orbweave.llm.graph import components
-from orbweave.llm.runtime import cut, ready, small, table
+from orbweave.llm.runtime import cut, ready, small, table, tidy
 from orbweave.llm.sortedgroups import whole_groups
 
 TOKENS = 64
@@ -85,7 +85,7 @@ def _sketches(width: int, id_type: str):
                     names=["id", "n", "s1", "s2", "sketch"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _forest(labels: np.ndarray, i: int, near: np.ndarray) -> None:
@@ -133,7 +133,7 @@ def _node_links(need: int):
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 def exact_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -195,7 +195,7 @@ def _exact(width: int, percent: int):
             moved = out != ids
             yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(out[moved])], names=["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 def near_duplicates(

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import wordblocks as wb
-from orbweave.llm.runtime import cut, ready, table
+from orbweave.llm.runtime import cut, ready, table, tidy
 from orbweave.llm.wordtokens import WordTokens
 
 CAPACITY = 4096
@@ -93,7 +93,7 @@ def _tokenised(path: str, end: int, capacity: int):
         if items:
             yield _bins(items, capacity)
 
-    return run
+    return tidy(run)
 
 
 def _merged(capacity: int):
@@ -110,7 +110,7 @@ def _merged(capacity: int):
         if items:
             yield _bins(items, capacity)
 
-    return run
+    return tidy(run)
 
 
 def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

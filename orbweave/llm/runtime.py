@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +16,13 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+#: Bytes of one Arrow batch between the JVM and a Python worker; texts differ too much for a bound on rows.
+BATCH_BYTES = 8 << 20
+
+
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package when it was found through the driver's ``sys.path``."""
+    """Let Python workers import this package when it was found through the driver's ``sys.path``, and bound batches by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     environment = spark.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     known = environment.get("PYTHONPATH", "")
@@ -21,6 +30,38 @@ def ready(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = f"{root}:{known}" if known else root
 
 
+def release() -> None:
+    """Give freed memory back to the system; a reused worker would keep it through the stages that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc
+
+
+def tidy(run):
+    """``run`` over the batches of a task, with ``release`` at its end."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return whole
+
+
+def tidy_group(run):
+    """``run`` over one cogroup, with ``release`` at its end."""
+
+    def whole(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(key, left, right)
+        release()
+        return out
+
+    return whole
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Write the frame to the shared checkpoint folder and go on from there.
 

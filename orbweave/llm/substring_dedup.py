@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import wordblocks as wb
-from orbweave.llm.runtime import ready, table
+from orbweave.llm.runtime import ready, table, tidy, tidy_group
 from orbweave.llm.sortedgroups import whole_groups
 
 #: A perfect difference set modulo 31: every remainder is the difference of two members.
@@ -165,7 +165,7 @@ def _anchors(window: int, period: int, buckets: int):
                 yield _by_doc(doc[done], pos[done], buckets)
                 yield _by_key(key[open_], None, doc[open_], pos[open_], buckets)
 
-    return run
+    return tidy(run)
 
 
 def _unpack(batch: pa.RecordBatch, name: str, dtype) -> np.ndarray:
@@ -189,7 +189,7 @@ def _decide(settle, with_more: bool, buckets: int):
                 if len(done):
                     yield _by_doc(doc[done], pos[done], buckets)
 
-    return run
+    return tidy(run)
 
 
 def _marks(right: pa.Table) -> dict[int, np.ndarray]:
@@ -255,7 +255,7 @@ def _runs(window: int, period: int, buckets: int):
                     out += [_by_doc(doc[done], pos[done], buckets), _by_key(k[open_], m[open_], doc[open_], pos[open_], buckets)]
         return pa.Table.from_batches(out, schema=_ENTRY)
 
-    return run
+    return tidy_group(run)
 
 
 def _cut_out(window: int):
@@ -292,7 +292,7 @@ def _cut_out(window: int):
             columns, names = [*columns, texts, rest], [*names, "text", "rest"]
         return pa.table(columns, names=names)
 
-    return run
+    return tidy_group(run)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:

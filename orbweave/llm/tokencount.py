@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from orbweave.llm import wordblocks as wb
 from orbweave.llm.packing import tokenizer_file
-from orbweave.llm.runtime import ready, table
+from orbweave.llm.runtime import ready, table, tidy
 
 #: How far an unknown character scores under the worst piece, and the word mark.
 UNKNOWN_PENALTY = 10.0
@@ -87,7 +87,7 @@ def _counted(vocabulary: list[tuple[str, float]], key: int):
                     names=["id", "n_words", "n_tokens"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def vocabulary_of(model_file: str) -> list[tuple[str, float]]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.runtime import ready, table
+from orbweave.llm.runtime import ready, table, tidy
 
 VERSION = "WARC/1.1"
 #: Date of responses made from pages, which have none of their own.
@@ -137,7 +137,7 @@ def _derived(schema: str):
                     columns = [pa.array(c, type=pa.int64() if k == 6 else pa.string()) for k, c in enumerate(zip(*rows, strict=True))]
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(take)), *columns], names=names)
 
-    return run
+    return tidy(run)
 
 
 def derive(responses: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 from orbweave.llm.wordblocks import ramp
 
 #: Words held at once; the cache starts anew beyond.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 450_000
 
 #: Words of a-z and lower-case Latin-1 letters: no normaliser changes them and no pattern splits them.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
