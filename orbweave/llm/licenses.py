@@ -1,7 +1,7 @@
 """License scans with a positional rare-token index, in SQL expressions only.
 
 The index holds, for every template, the positions of its rarest words (by inverse document
-frequency among the templates). A file looks up its own highest-IDF licence words; each hit votes
+frequency among the templates). A file looks up all its licence words; each hit votes
 for the template's start relative to the file, a template with enough votes at one start is a
 candidate, and it counts if its mandatory key phrase stands where that start puts it.
 """
@@ -45,7 +45,7 @@ _PHRASE_WORDS = frozenset(("cc", "public", "reserved"))
 #: Anchors a template has at most, and votes at one start that make it a candidate.
 ANCHORS = 8
 VOTES = 2
-#: Distinct licence words of one file that are looked up, highest IDF first.
+#: Distinct licence words of one file that the SQL looks up, highest IDF first; the query looks up all.
 LOOKED_UP = 24
 
 _BREAK = "\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F"
@@ -157,7 +157,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = rows.withColumn("licence", F.when(F.size("own") >= VOTES, licence))
     known = F.coalesce(F.size("licence") >= VOTES, F.lit(False))
     rows = rows.withColumn("w", F.when(known, F.filter("parts", lambda w: w != "")))
-    rows = rows.withColumn("chosen", F.when(known, F.slice(F.filter(_strings(words), lambda x: F.array_contains("licence", x)), 1, LOOKED_UP)))
+    rows = rows.withColumn("chosen", F.when(known, F.filter(_strings(words), lambda x: F.array_contains("licence", x))))
     rows = rows.withColumn(
         "hits",
         F.filter(F.transform("w", lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda h: F.array_contains("chosen", h["w"])),

@@ -55,6 +55,12 @@ def test_license_places_and_templates(spark):
     assert (found[6]["n_words"], found[6]["score"]) == (0, 0.0)
 
 
+def test_all_licence_words_are_looked_up(spark):
+    texts = [" ".join(licenses.TEMPLATES[i][1].split()) for i in (1, 3, 5, 6, 9)]
+    found = licenses.scan(spark.createDataFrame([(1, "\n".join(texts))], "doc_id long, text string")).first()
+    assert found["labels"] == "apache-2.0,bsd,cc-by,cc-by-nc,gpl,gpl-3.0,mit"
+
+
 def test_mixture_matches_sql_and_its_targets(spark, docs, tmp_path, nothing):
     once = docs.dropDuplicates(["doc_id"])
     plan, stream = mixture.mix(once, docs_per_block=4, words_per_shard=5000)
