@@ -325,13 +325,28 @@ def _confirmed(source: DataFrame, members: DataFrame, n_members: int, width: int
 def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one of the smallest id; all columns stay.
 
-    Rows that repeat an id are one document and one of them stays. Null and wordless texts stay.
+    A document is an id with a text: different texts under one id are judged each by itself, and of
+    rows that repeat both one stays. Rows with a null id, null and wordless texts stay, all of them.
+    Documents are told apart by a 64-bit hash of id and text.
     """
-    found = cut(near_duplicates(docs, percent, id_col=id_col, text_col=text_col).select("id", "kept"))
-    gone = found.where(~F.col("kept")).select(F.col("id").alias("_gone")).distinct()
-    left = docs.join(small(gone, gone.count()), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    i, text = docs[id_col].cast("long"), docs[text_col].cast("string")
+    some = i.isNotNull() & (F.btrim(text, F.lit(" \t\n\x0b\x0c\r")) != "")
+    keyed = docs.withColumn("_key", F.when(some, F.xxhash64(i, text)))
+    found = cut(near_duplicates(keyed, percent, id_col="_key", text_col=text_col).select("id", "component"))
+    moved = cut(found.where("id <> component").select(F.col("id").alias("_key"), "component").distinct())
+    n = moved.count()
+    left = keyed
+    if n:
+        roots = moved.select(F.col("component").alias("_key"), "component").distinct()
+        members = cut(moved.union(roots))
+        ids = keyed.select("_key", F.col(id_col).cast("long").alias("_id")).join(small(members, 2 * n), "_key")
+        stays = ids.groupBy("component").agg(F.min_by("_key", F.struct("_id", "_key")).alias("_stays"))
+        gone = members.join(small(stays, n), "component").where("_key <> _stays").select("_key")
+        left = keyed.join(small(gone, n), "_key", "left_anti")
     repeated = found.where("id is not null").groupBy("id").count().where("count > 1")
-    return left.dropDuplicates([id_col]) if repeated.limit(1).count() else left
+    if repeated.limit(1).count():
+        left = left.where("_key is null").union(left.where("_key is not null").dropDuplicates(["_key"]))
+    return left.select(*docs.columns)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

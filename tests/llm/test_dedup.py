@@ -63,6 +63,22 @@ def test_null_ids_link_with_nothing(spark):
     assert found[2] == 1 and found[1] == 1
 
 
+def test_keep_one_judges_texts_not_ids(spark):
+    base = [f"w{i}" for i in range(120)]
+    near, clean, other = " ".join([*base[:50], "x", *base[51:]]), " ".join(f"c{i}" for i in range(90)), " ".join(f"d{i}" for i in range(90))
+    rows = [(1, " ".join(base)), (5, near), (5, clean), (7, other), (7, other), (9, ""), (9, ""), (None, clean), (None, "one two"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [tuple(r) for r in near_dedup.keep_one(frame, 80).collect()]
+    assert sorted(found, key=repr) == sorted([r for i, r in enumerate(rows) if i not in (1, 4)], key=repr)
+
+
+def test_keep_one_keeps_the_smallest_id_under_any_key(spark):
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(12, 2, -1)]
+    found = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
+    assert [r["doc_id"] for r in found] == [3]
+
+
 def test_large_near_copy_group(spark):
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join([*base[:k], f"x{i}", *base[k + 1 :]])) for i, k in enumerate(np.random.default_rng(1).integers(0, 120, 60).tolist())]
