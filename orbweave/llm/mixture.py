@@ -76,6 +76,16 @@ def _random(what: Column) -> Column:
     return F.md5(F.concat(F.lit(SEED + "/"), what).cast("binary"))
 
 
+def _name() -> Column:
+    """What a row is drawn by: its id, or its marked key without one."""
+    return F.coalesce(F.col("id").cast("string"), F.concat(F.lit("-/"), F.col("key").cast("string")))
+
+
+def _row_key(doc_id: Column, source: Column, text: Column) -> Column:
+    """What tells rows apart whatever is null in them: a hash of id, source, size and text."""
+    return F.xxhash64(doc_id.cast("long"), source.cast("string"), F.size(words_of(text)), text.cast("string"))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -88,14 +98,14 @@ def mix(
 
     First frame: ``source``, ``source_size``, ``target``. Second frame, one row per copy of a document
     that the mix takes and one row with ``copy`` null for a document that it does not take: ``id``,
-    ``source``, ``size``, ``copy`` (from 0), ``words`` (of this copy, its first ones), ``shard`` and
-    ``place`` (random order inside the shard).
+    ``source``, ``size``, ``key`` (``_row_key``), ``copy`` (from 0), ``words`` (of this copy, its first
+    ones), ``shard`` and ``place`` (random order inside the shard).
 
     Sources in code-point order, null last, weigh 1, 2, 3, 1, ... Sizes are words; null texts have
     none. Whole passes over a source come first; what is left of its quota goes down its
     permutation, and the last document is cut to its first words, so a source's words equal its
-    rounded target. Ties in the permutation (repeated ids) are ordered by id, then size. Sources of
-    size 0 get target 0. Empty input, two empty frames. Only the columns named are read.
+    rounded target. Ties in the permutation (repeated ids) are ordered by id, then size, then key; a
+    row without an id is drawn by its key. Sources of size 0 get target 0. Empty input, two empty frames. Only the columns named are read.
 
     The driver holds one row per source and the counts of its blocks per shard; blocks and documents
     stay distributed, and only the block in which a source's quota ends is put in order by document.
@@ -107,7 +117,8 @@ def mix(
             F.col(id_col).cast("long").alias("id"),
             F.col(source_col).cast("string").alias("source"),
             F.size(words_of(F.col(text_col))).cast("long").alias("size"),
-        ).withColumn("draw", _random(F.coalesce(F.col("id").cast("string"), F.lit("-"))))
+            _row_key(F.col(id_col), F.col(source_col), F.col(text_col)).alias("key"),
+        ).withColumn("draw", _random(_name()))
     )
     found = slim.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -145,18 +156,18 @@ def mix(
     )
     # The block where a quota ends: its documents in order, the last one cut.
     at_end = blocks.where("rest > 0 and before < rest and before + block_size >= rest").select("s", "block", "before", F.col("rest").alias("quota"))
-    inside = Window.partitionBy("s", "block").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("s", "block").orderBy("draw", "id", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
     ended = (
-        keyed.select("id", "size", "draw", "s", "block")
+        keyed.select("id", "size", "key", "draw", "s", "block")
         .join(F.broadcast(at_end), ["s", "block"])
         .withColumn("cut_words", F.greatest(F.lit(0), F.least("size", F.col("quota") - F.col("before") - F.coalesce(F.sum("size").over(inside), F.lit(0)))).cast("long"))
-        .groupBy("s", "block", "id", "size")
+        .groupBy("s", "block", "key")
         .agg(F.sum("cut_words").alias("cut_words"), F.count(F.lit(1)).alias("alike"))
     )
     taken = (
-        keyed.select("id", "source", "size", "s", "block", "passes")
+        keyed.select("id", "source", "size", "key", "s", "block", "passes")
         .join(dealt.select("s", "block", "shard", "copy"), ["s", "block"], "left")
-        .join(F.broadcast(ended.select("s", "block", "id", "size", "cut_words", "alike")), ["s", "block", "id", "size"], "left")
+        .join(F.broadcast(ended), ["s", "block", "key"], "left")
         .withColumn("words", F.when((F.col("copy") < F.col("passes")) | F.col("alike").isNull(), F.col("size")).otherwise(F.floor(F.col("cut_words") / F.col("alike"))))
         .withColumn("taken", F.col("copy").isNotNull() & (F.col("words") > 0))
     )
@@ -164,10 +175,11 @@ def mix(
         "id",
         "source",
         "size",
+        "key",
         F.when(F.col("taken"), F.col("copy")).alias("copy"),
         F.when(F.col("taken"), F.col("words")).otherwise(F.lit(0)).cast("long").alias("words"),
         F.when(F.col("taken"), F.col("shard")).alias("shard"),
-        _random(F.concat_ws("/", "shard", "id", "copy")).alias("place"),
+        _random(F.concat_ws("/", "shard", _name(), "copy")).alias("place"),
     )
     return plan.select("source", "source_size", "target"), stream
 
@@ -175,12 +187,13 @@ def mix(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix with all their columns: a row per copy, the text cut to the copy's words.
 
-    Rows are put in shards, each in its random order. Rows that repeat an id follow the id's copies once.
+    Rows are put in shards, each in its random order. Every row has its own copies, whatever its
+    id, also without one; rows that repeat id, source and text follow their copies once.
     """
     _, stream = mix(docs, id_col, text_col, source_col)
-    copies = stream.where("copy is not null").select(F.col("id").alias("_id"), F.col("size").alias("_size"), F.col("words").alias("_words"), "shard", "place").distinct()
+    copies = stream.where("copy is not null").select(F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("words").alias("_words"), "shard", "place").distinct()
     text = F.col(text_col)
-    joined = docs.join(copies, docs[id_col].cast("long") == F.col("_id"))
+    joined = docs.join(copies, _row_key(docs[id_col], docs[source_col], docs[text_col]) == F.col("_key"))
     whole = joined.withColumn(text_col, F.when(F.col("_words") < F.col("_size"), F.array_join(F.slice(words_of(text), 1, F.col("_words").cast("int")), " ")).otherwise(text))
     return whole.repartition("shard").sortWithinPartitions("shard", "place").select(*[docs[c] if c != text_col else F.col(c) for c in docs.columns])
 
@@ -188,7 +201,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of ``documents`` takes of each document, with its source's size and target."""
     plan, stream = mix(table(spark, sf_dir, "documents"))
-    taken = stream.groupBy("id", "source", "size").agg(F.sum("words").cast("long").alias("taken"))
+    taken = stream.groupBy("id", "source", "size", "key").agg(F.sum("words").cast("long").alias("taken"))
     return taken.join(F.broadcast(plan), taken["source"].eqNullSafe(plan["source"])).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken"
     )

@@ -56,7 +56,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _bins(items: list[np.ndarray], capacity: int) -> pa.RecordBatch:
-    """Items are (n, 5) arrays of id, piece, start, length, crc that stay together."""
+    """Items are (n, 6) arrays of id, piece, start, length, crc and whether the id is valid that stay together."""
     lengths = np.array([int(x[:, 3].sum()) for x in items], dtype=np.int64)
     place = best_fit(lengths, capacity)
     used = np.bincount(place, weights=lengths).astype(np.int32) if len(items) else np.zeros(0, dtype=np.int32)
@@ -83,10 +83,11 @@ def _tokenised(path: str, end: int, capacity: int):
                 flat, first = tokens.ids(texts)
                 flat = flat.astype("<u4", copy=False)
                 for i in range(len(texts)):
+                    name = ids[at + i]
                     own = flat[first[i] : first[i + 1]]
                     for p, s in enumerate(range(0, len(own), capacity)):
                         part = own[s : s + capacity]
-                        items.append(np.array([[ids[at + i], p, s, len(part), zlib.crc32(part.tobytes())]], dtype=np.int64))
+                        items.append(np.array([[name or 0, p, s, len(part), zlib.crc32(part.tobytes()), name is not None]], dtype=np.int64))
                 if len(items) >= TURN_BINS:
                     yield _bins(items, capacity)
                     items = []
@@ -102,7 +103,7 @@ def _merged(capacity: int):
         size = 0
         for batch in batches:
             for raw in batch.column("items").to_pylist():
-                items.append(np.frombuffer(raw, dtype=np.int64).reshape(-1, 5))
+                items.append(np.frombuffer(raw, dtype=np.int64).reshape(-1, 6))
                 size += len(raw)
                 if len(items) >= TURN_BINS or size >= TURN_BYTES:
                     yield _bins(items, capacity)
@@ -117,13 +118,13 @@ def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            items = [np.frombuffer(raw, dtype=np.int64).reshape(-1, 5) for raw in part.column("items").to_pylist()]
+            items = [np.frombuffer(raw, dtype=np.int64).reshape(-1, 6) for raw in part.column("items").to_pylist()]
             if not items:
                 continue
             every = np.concatenate(items)
             offset = np.concatenate([np.cumsum(x[:, 3]) - x[:, 3] for x in items])
             sequence = np.repeat(part.column("sequence_id").to_numpy(), [len(x) for x in items])
-            columns = [pa.array(every[:, 0]), pa.array(every[:, 1].astype(np.int32)), *(pa.array(np.ascontiguousarray(every[:, k])) for k in (2, 3, 4)), pa.array(sequence), pa.array(offset)]
+            columns = [pa.array(every[:, 0], mask=every[:, 5] == 0), pa.array(every[:, 1].astype(np.int32)), *(pa.array(np.ascontiguousarray(every[:, k])) for k in (2, 3, 4)), pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
 
@@ -140,11 +141,11 @@ def pack(
 
     Returns ``id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
     A document is its ids followed by ``end_id``; only longer ones than ``capacity`` are cut. Null and
-    empty texts are the end id alone. Rows that repeat are packed each by themselves; a null id is
-    an error of the caller's. Empty input, empty result. Other columns are not read.
+    empty texts are the end id alone. Rows that repeat are packed each by themselves; a null id
+    stays null. Empty input, empty result. Other columns are not read.
 
     A best-fit call holds bounded numbers of bins and bytes whatever the input, and only the packed
-    numbers of pieces (40 bytes each) move, never ids or texts.
+    numbers of pieces (48 bytes each) move, never ids or texts.
     """
     ready(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -83,6 +83,26 @@ def test_mixture_matches_sql_and_its_targets(spark, docs, tmp_path, nothing):
     assert sum(len(r["text"].split()) for r in mixed.collect()) == sum(taken.values())
 
 
+def test_rows_without_an_id_are_mixed(spark):
+    rows = [(None if i % 2 else i, f"n{i} " * (5 + i % 7), "ab"[i % 3 == 0]) for i in range(60)]
+    rows += [(7, "one two three", "a"), (7, "four five six seven", "b"), (None, None, None), (None, "x y", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {r["source"]: r["target"] for r in mixture.mix(frame)[0].collect()}
+    words = dict.fromkeys(plan, 0)
+    mixed = mixture.mixed_documents(frame).collect()
+    for r in mixed:
+        words[r["source"]] += len(r["text"].split())
+    assert all(abs(words[s] - t) <= 0.5 for s, t in plan.items()), (words, plan)
+    assert sum(r["doc_id"] is None for r in mixed) >= 10
+    assert {(r["source"], r["text"].split()[0]) for r in mixed if r["doc_id"] == 7} <= {("a", "one"), ("b", "four")}
+
+
+def test_rows_without_an_id_are_packed(spark):
+    rows = [(None, "one two"), (0, "three"), (None, None), (5, "four five")]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), packing.tokenizer_file(), capacity=8).collect()
+    assert sorted((r["id"] for r in found), key=repr) == [0, 5, None, None]
+
+
 def test_targets_and_tree():
     assert mixture.targets([10, 10, 10], [1, 2, 3]) == [5.0, 10.0, 15.0]
     assert mixture.targets([100, 1, 1], [1, 2, 3]) == [96.0, 3.0, 3.0]
