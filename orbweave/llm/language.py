@@ -9,24 +9,23 @@ mean posterior is the text's.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave.llm import wordblocks as wb
-from orbweave.llm.runtime import ready, table, tidy
+from orbweave.llm.runtime import ready, small, table, tidy
 
 UNDETERMINED = "und"
-#: Bounds of the labelled sample the model is fitted on: documents (twice that at most), words of a
-#: spliced sequence, and words of each document's excerpt, from which its pieces and the lexicon come.
-SAMPLE_DOCS = 1500
-SAMPLE_WORDS = 160
-EXCERPT_WORDS = 240
+#: Bounds of the labelled sample the model is fitted on, for each language: documents, and words of
+#: these (whole texts each). A language whose every text is longer gives its shortest sampled one.
+SAMPLE_DOCS = 300
+SAMPLE_WORDS = 80_000
 #: Frequent words of each language in the lexicon.
 LEXICON = 400
 #: Hashed features, and passes of the optimiser over the sample.
@@ -38,7 +37,7 @@ _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_ANY_LETTER = re.compile(r"[^\W\d_]")
+_ANY_LETTER = regex.compile(r"\p{L}")
 _KINDS = {"trigram": 1, "prefix2": 2, "prefix3": 3, "suffix2": 4, "suffix3": 5}
 
 
@@ -189,19 +188,15 @@ def posteriors(emission: np.ndarray, transitions: np.ndarray, count: np.ndarray)
     return out / out.sum(axis=1, keepdims=True), forward
 
 
-def _excerpt(text: bytes, rng: np.random.Generator) -> bytes:
-    """A run of at most ``EXCERPT_WORDS`` words from a random place of a training text."""
-    words = text.split()
-    s = int(rng.integers(max(len(words) - EXCERPT_WORDS, 0) + 1))
-    return b" ".join(words[s : s + EXCERPT_WORDS])
+def fit(texts: list[bytes], langs: list[str], passes: int = PASSES) -> Model:
+    """Fit on whole labelled texts; sequences splice two texts at random places, so switches are seen too.
 
-
-def fit(texts: list[bytes], langs: list[str], sample_words: int = SAMPLE_WORDS, passes: int = PASSES) -> Model:
-    """Fit on labelled texts; sequences splice pieces of two texts, so switches are seen too."""
+    Every word of every text is in one sequence: a pair of texts is cut once each and interleaved.
+    """
     labels = sorted(set(langs))
     y_of = {x: i for i, x in enumerate(labels)}
     rng = np.random.Generator(np.random.PCG64(5))
-    words = Words([_excerpt(t, rng) for t in texts])
+    words = Words(texts)
     begin = np.cumsum(words.count) - words.count
     doc_label = np.array([y_of[x] for x in langs])
     of_word = np.repeat(doc_label, words.count)
@@ -216,16 +211,17 @@ def fit(texts: list[bytes], langs: list[str], sample_words: int = SAMPLE_WORDS,
         chosen |= set(unique[top[by_label[top, k] > 1]].tolist())
     lexicon = np.array(sorted(chosen), dtype=np.uint64)
     model = Model(labels, np.zeros(((1 << BITS) + len(lexicon) + 1, len(labels))), np.zeros((len(labels), len(labels))), lexicon)
-    pieces, lengths, half = [], [], sample_words // 2
-    docs = [i for i in range(len(texts)) if words.count[i]]
-    for i in docs:
-        j, length = docs[int(rng.integers(len(docs)))], 0
+    pieces, lengths = [], []
+    docs = rng.permutation([i for i in range(len(texts)) if words.count[i]]).tolist()
+    for i, j in zip(docs[::2], [*docs[1::2], None][: len(docs[::2])], strict=True):
+        parts = []
         for x in (i, j):
-            n = min(half, int(words.count[x]))
-            s = int(rng.integers(words.count[x] - n + 1))
-            pieces.append(np.arange(begin[x] + s, begin[x] + s + n))
-            length += n
-        lengths.append(length)
+            if x is not None:
+                s, n = int(rng.integers(words.count[x] + 1)), int(words.count[x])
+                parts.append((np.arange(begin[x], begin[x] + s), np.arange(begin[x] + s, begin[x] + n)))
+        own = [p[k] for k in (0, 1) for p in parts]
+        pieces += own
+        lengths.append(sum(map(len, own)))
     if not pieces:
         return model
     at, count = np.concatenate(pieces), np.array(lengths)
@@ -279,7 +275,7 @@ def label_texts(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray
     score = mean[np.arange(len(texts)), best]
     names = [model.labels[b] for b in best]
     for i, t in enumerate(texts):
-        if not words.count[i] or (not _ANY_LETTER.search(t.decode())):
+        if not words.count[i] or not _ANY_LETTER.search(t.decode()):
             names[i], score[i] = UNDETERMINED, 0.0
     return names, np.clip(score, 0.0, 1.0), words.count
 
@@ -300,23 +296,36 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model of the labelled rows that are not held out, fitted on at most ``2 * sample_docs`` of them.
+def train(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS
+) -> Model:
+    """A model of the labelled rows that are not held out, fitted on a bounded sample of each language.
 
-    The sample is every M-th row by a hash of the id, with M from the number of labelled rows.
-    Without labelled rows the model has the single label ``und``.
+    Every non-null label is learned, however rare: up to ``sample_docs`` distinct texts of it, in
+    order of their hashes, as long as they have ``sample_words`` words together; the first counts
+    anyway. Texts are used whole. Without labelled rows the model has the single label ``und``. The
+    driver holds the sample, whose size grows with the number of labels only.
     """
-    usable = docs.where(~F.coalesce(held_out(id_col), F.lit(False)) & F.col(lang_col).isNotNull())
-    every = max(1, usable.count() // sample_docs)
+    text = F.col(text_col).cast("string")
+    usable = docs.where(~F.coalesce(held_out(id_col), F.lit(False)) & F.col(lang_col).isNotNull() & text.rlike("\\p{L}")).select(
+        F.col(lang_col).cast("string").alias("l"), text.alias("t"), F.xxhash64(text).alias("h")
+    )
+    sizes = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not sizes:
+        return Model([UNDETERMINED], np.zeros(((1 << BITS) + 1, 1)), np.zeros((1, 1)), np.zeros(0, dtype=np.uint64))
+    # About twice the sample's texts of every language, copies folded before they move.
+    every = usable.sparkSession.createDataFrame([(k, max(1, n // (2 * sample_docs))) for k, n in sizes.items()], "l string, every long")
+    some = usable.join(small(every, len(sizes)), "l").where(F.pmod("h", "every") == 0).groupBy("l", "h").agg(F.min("t").alias("t"))
+    some = some.withColumn("n", F.size(F.split("t", "[\\x20\\x09-\\x0D]+")))
+    order = Window.partitionBy("l").orderBy(F.col("n") > sample_words, F.when(F.col("n") > sample_words, F.col("n")), "h")
     rows = (
-        usable.where((F.pmod(F.xxhash64(F.col(id_col)), F.lit(every)) == 0) & F.col(text_col).isNotNull())
-        .select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-        .limit(2 * sample_docs)
+        some.withColumn("rank", F.row_number().over(order))
+        .withColumn("total", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .where((F.col("rank") == 1) | ((F.col("rank") <= sample_docs) & (F.col("total") <= sample_words)))
+        .select("l", "h", "t")
         .collect()
     )
-    rows.sort(key=lambda r: (str(r["i"]), r["t"]))
-    if not rows:
-        return Model([UNDETERMINED], np.zeros(((1 << BITS) + 1, 1)), np.zeros((1, 1)), np.zeros(0, dtype=np.uint64))
+    rows.sort(key=lambda r: (r["l"], r["h"]))
     return fit([r["t"].encode() for r in rows], [r["l"] for r in rows])
 
 

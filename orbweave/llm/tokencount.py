@@ -8,6 +8,7 @@ piece with the smaller start wins, and the unknown character, considered last, l
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ UNKNOWN_PENALTY = 10.0
 MARK = "▁"
 CACHED_WORDS = 300_000
 
-_counters: dict[int, WordCounts] = {}
+_counters: dict[str, WordCounts] = {}
 
 
 class WordCounts(dict):
@@ -70,9 +71,10 @@ class WordCounts(dict):
         return n
 
 
-def _counted(vocabulary: list[tuple[str, float]], key: int):
+def _counted(vocabulary: list[tuple[str, float]], key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _counters:
+            _counters.clear()
             _counters[key] = WordCounts(vocabulary)
         pieces = _counters[key].__getitem__
         for batch in batches:
@@ -98,6 +100,14 @@ def vocabulary_of(model_file: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
+def _digest(vocabulary: list[tuple[str, float]]) -> str:
+    """Tells vocabularies apart by all their pieces and scores."""
+    h = hashlib.sha256()
+    for piece, score in vocabulary:
+        h.update(f"{len(piece)}:{piece}{score!r};".encode())
+    return h.hexdigest()
+
+
 def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``n_words`` and ``n_tokens`` of every row.
 
@@ -108,7 +118,7 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], id_col: s
     ready(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(_counted(vocabulary, hash(tuple(vocabulary[:64])) ^ len(vocabulary)), f"id {kind}, n_words long, n_tokens long")
+    return source.mapInArrow(_counted(vocabulary, _digest(vocabulary)), f"id {kind}, n_words long, n_tokens long")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,6 +169,21 @@ def test_token_counts_equal_the_unigram_tokenizer(spark, docs, nothing):
     assert tokencount.count_tokens(docs, vocabulary).count() == docs.count()
 
 
+def test_token_counts_of_two_vocabularies(spark):
+    """Vocabularies that begin alike and have as many pieces are told apart in one worker."""
+    head = [(f"<{i}>", -9.0) for i in range(80)] + [(c, -8.0) for c in "▁abc"]
+    one, two = head + [("▁abc", -1.0)], head + [("▁cba", -1.0)]
+    frame = spark.createDataFrame([(1, "abc abc")], "doc_id long, text string").coalesce(1)
+    assert [tokencount.count_tokens(frame, v).first()["n_tokens"] for v in (one, two, one)] == [2, 8, 2]
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = language.identify(docs, language.train(docs)).join(docs.selectExpr("doc_id AS id", "lang"), "id").where(language.held_out("id"))
+    right, n = found.selectExpr("count_if(lang = lang_pred)", "count(lang)").first()
+    assert n > 200 and right >= 0.98 * n
+
+
 def test_warc_round_trip(spark):
     page = '<html lang="FR"><head><title>A &amp; B</title><style>x{}</style></head><body><p>One<br>two &lt;3</p><script>no</script><a href="/x?a=1&amp;b=2">go</a></body></html>'
     pages = spark.createDataFrame([(1, "http://a.example/x", page), (2, None, None), (3, "u", ""), (1, "http://a.example/x", page)], "page_id long, url string, html string")
@@ -218,16 +233,18 @@ def test_languages_are_told_apart(spark, nothing):
     bank = {"aa": ["ka", "tor", "mi", "zul"], "bb": ["esh", "ver", "lon", "pi"]}
     say = lambda k, n: " ".join("".join(rng.choice(bank[k]) for _ in range(3)) for _ in range(n))
     rows = [(i, say("ab"[i % 2] * 2, 40), "ab"[i % 2] * 2, "x", 9.0) for i in range(120)]
-    rows += [(500, None, "aa", "x", 1.0), (501, "12 !!", None, "x", 1.0), (502, say("aa", 90) + " " + say("bb", 10), None, "x", 1.0), (503, "—…", None, "x", 1.0)]
+    rows += [(500, None, "aa", "x", 1.0), (501, "12 !!", None, "x", 1.0), (502, say("aa", 90) + " " + say("bb", 10), None, "x", 1.0), (503, "—… ½ ½ ②", None, "x", 1.0)]
+    rows += [(600 + i, "qu" + "ox " * 30, "cc", "x", 1.0) for i in range(3)]  # a rare language
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double")
     model = language.train(frame, sample_docs=60)
     found = {r["id"]: r for r in language.identify(frame, model).collect()}
     truth = {r[0]: r[2] for r in rows[:120]}
     assert all(found[i]["lang_pred"] == t for i, t in truth.items())
+    assert all(found[i]["lang_pred"] == "cc" for i in range(600, 603))
     assert [found[i]["lang_pred"] for i in (500, 501, 502, 503)] == ["und", "und", "aa", "und"]
     assert 0.8 < found[502]["score"] <= 1
     kept = language.keep_identified(frame, model)
-    assert kept.columns == frame.columns and kept.count() == 121
+    assert kept.columns == frame.columns and kept.count() == 124
     assert kept.where("doc_id = 502").first()["lang"] == "aa"
     empty = frame.limit(0)
     assert language.identify(empty, language.train(empty)).count() == 0
