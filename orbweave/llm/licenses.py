@@ -1,14 +1,17 @@
 """License scans with a positional rare-token index, in SQL expressions only.
 
-The index holds, for every template, the positions of its rarest words (by inverse document
-frequency among the templates). A file looks up all its licence words; each hit votes
-for the template's start relative to the file, a template with enough votes at one start is a
-candidate, and it counts if its mandatory key phrase stands where that start puts it.
+Templates are clauses of licences. The index holds, for every template, the positions of its rarest
+words by inverse document frequency, where a licence with all its clauses is a document. A file
+looks up all its licence words; each hit votes for the template's start relative to the file, a
+template with enough votes at one start is a candidate, and it counts if its mandatory key phrase
+stands where that start puts it.
 """
 
 from __future__ import annotations
 
 import math
+import string
+from collections import Counter
 from dataclasses import dataclass
 from functools import cache
 
@@ -17,37 +20,48 @@ from pyspark.sql import functions as F
 
 from orbweave.llm.runtime import ready, table
 
-# Label, template words, key phrase.
+# The clauses of each licence as published, in lower case and without signs, each with its key phrase.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "www apache org licenses"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "required by applicable law or agreed to in writing"),
     ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "hereby granted free of charge"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "hereby granted free of charge"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included in all copies or substantial portions"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "with or without fee"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "retain the above copyright notice"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "reproduce the above copyright notice"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products"),
+    ("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    ("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
     ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mozilla public license"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "will the authors be held liable"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "plainly marked as such"),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license"),
+    ("cc0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work", "has waived all copyright and related or neighboring rights"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", "creative commons attribution noderivatives"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "either in source code form or as a compiled binary"),
 )
 #: Phrases of the base labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-# Words too common in any prose to be looked up.
-COMMON = frozenset("a an and any are as at by except following for free from in into is it may modify not of on or person published software source terms that the this to under use with without you work obtain copy form code file files forms distribute provided conditions purpose redistribute either".split())
-
 #: One word of each phrase; a text without any has no phrase.
 _PHRASE_WORDS = frozenset(("cc", "public", "reserved"))
 
 #: Anchors a template has at most, and votes at one start that make it a candidate.
 ANCHORS = 8
 VOTES = 2
-#: Distinct licence words of one file that the SQL looks up, highest IDF first; the query looks up all.
-LOOKED_UP = 24
-
 _BREAK = "\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F"
 
 
@@ -64,18 +78,17 @@ class Template:
 def index() -> tuple[tuple[str, ...], tuple[Template, ...]]:
     """Licence words by falling IDF, and the templates with their rarest words' positions."""
     texts = [(label, tuple(words.split()), tuple(key.split())) for label, words, key in TEMPLATES]
-    df: dict[str, int] = {}
-    for _, words, _ in texts:
-        for w in set(words):
-            df[w] = df.get(w, 0) + 1
-    idf = {w: math.log(len(texts) / n) for w, n in df.items()}
+    licences: dict[str, set[str]] = {}
+    for label, words, _ in texts:
+        licences.setdefault(label, set()).update(words)
+    df = Counter(w for words in licences.values() for w in words)
+    idf = {w: math.log(len(licences) / n) for w, n in df.items()}
     made, used = [], set()
     for label, words, key in texts:
         at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        rare = [i for i in range(len(words)) if words[i] not in COMMON and (len(words[i]) > 1 or not words[i].isalpha())]
-        rank = sorted(rare, key=lambda i: (-idf[words[i]], i))[:ANCHORS]
-        # The key phrase's own rare words are always among the anchors.
-        rank = sorted(set(rank) | {i for i in range(at, at + len(key)) if i in rare})
+        rank = sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))[:ANCHORS]
+        # The key phrase's two rarest words are always among the anchors.
+        rank = sorted({*rank, *sorted(range(at, at + len(key)), key=lambda i: (-idf[words[i]], i))[:VOTES]})
         anchors = tuple((words[i], i) for i in rank)
         used |= {w for w, _ in anchors}
         made.append(Template(label, words, key, at, anchors))
@@ -102,10 +115,20 @@ def _count(text: Column) -> Column:
 
 
 def _votes(templates: tuple[Template, ...]) -> Column:
-    """Votes (template, start) of every hit: its place less the posting's."""
-    postings = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("t"), F.lit(i).alias("p")) for k, t in enumerate(templates) for w, i in t.anchors])
-    own = lambda h: F.transform(F.filter(postings, lambda p: p["w"] == h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("s")))
-    return F.flatten(F.transform("hits", own))
+    """Votes (template, start) of every hit, its place less the posting's, in order."""
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for k, t in enumerate(templates):
+        for w, i in t.anchors:
+            postings.setdefault(w, []).append((k, i))
+    entry = lambda w: F.array(*[F.struct(F.lit(k).alias("t"), F.lit(i).alias("p")) for k, i in postings[w]])
+    index_ = F.create_map(*[x for w in postings for x in (F.lit(w), entry(w))])
+    return F.sort_array(F.flatten(F.transform("hits", lambda h: F.transform(F.element_at(index_, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("s"))))))
+
+
+def _counted() -> Column:
+    """Distinct votes with their number, from the runs of equal ones."""
+    first = F.filter(F.transform("votes", lambda v, i: F.when((i == 0) | (v != F.get("votes", F.greatest(i - 1, F.lit(0)))), i)), lambda i: i.isNotNull())
+    return F.transform(first, lambda i: F.struct(i.alias("i"), F.get("votes", i).alias("v")))
 
 
 def _verified(templates: tuple[Template, ...]) -> Column:
@@ -113,12 +136,15 @@ def _verified(templates: tuple[Template, ...]) -> Column:
     numbers = lambda values: F.array(*[F.lit(v) for v in values])
     key_at, length, anchors = numbers(t.key_at for t in templates), numbers(len(t.key) for t in templates), numbers(len(t.anchors) for t in templates)
     keys = F.array(*[F.lit(" ".join(t.key)) for t in templates])
-    counted = F.transform(F.array_distinct("votes"), lambda v: F.struct(v["t"].alias("t"), v["s"].alias("s"), F.size(F.filter("votes", lambda x: x == v)).alias("n")))
+    counted = F.transform(
+        "runs",
+        lambda r, k: F.struct(r["v"]["t"].alias("t"), r["v"]["s"].alias("s"), (F.coalesce(F.get("runs", k + 1)["i"], F.size("votes")) - r["i"]).alias("n")),
+    )
 
     def holds(c: Column) -> Column:
         start = c["s"] + F.get(key_at, c["t"])
         phrase = F.array_join(F.slice("w", F.greatest(start + 1, F.lit(1)), F.get(length, c["t"])), " ")
-        return (c["n"] >= VOTES) & (start >= 0) & (phrase == F.get(keys, c["t"]))
+        return F.when((c["n"] >= VOTES) & (start >= 0), phrase == F.get(keys, c["t"])).otherwise(F.lit(False))
 
     return F.transform(F.filter(counted, holds), lambda c: F.struct(c["t"].alias("t"), F.round(c["n"] / F.get(anchors, c["t"]), 6).alias("share")))
 
@@ -139,7 +165,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     pattern = _phrase_pattern()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     # One split of the text serves the word count and the look-up; what follows runs for few rows.
-    rows = rows.withColumn("parts", F.split(F.lower("t"), f"[{_BREAK}]+"))
+    rows = rows.withColumn("parts", F.split(F.translate("t", string.ascii_uppercase, string.ascii_lowercase), f"[{_BREAK}]+"))
     rows = rows.withColumn("own", F.array_intersect("parts", _strings(sorted({*words, *_PHRASE_WORDS}))))
     some_phrase = F.arrays_overlap("own", _strings(sorted(_PHRASE_WORDS)))
     rows = rows.withColumn("places", F.when(some_phrase, F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
@@ -157,12 +183,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = rows.withColumn("licence", F.when(F.size("own") >= VOTES, licence))
     known = F.coalesce(F.size("licence") >= VOTES, F.lit(False))
     rows = rows.withColumn("w", F.when(known, F.filter("parts", lambda w: w != "")))
-    rows = rows.withColumn("chosen", F.when(known, F.filter(_strings(words), lambda x: F.array_contains("licence", x))))
-    rows = rows.withColumn(
-        "hits",
-        F.filter(F.transform("w", lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda h: F.array_contains("chosen", h["w"])),
-    )
-    rows = rows.withColumn("votes", _votes(templates)).withColumn("found", _verified(templates))
+    placed = F.transform("w", lambda x, i: F.struct(x.alias("w"), i.alias("i")))
+    rows = rows.withColumn("hits", F.filter(placed, lambda h: h["w"].isin(*words)))
+    rows = rows.withColumn("votes", _votes(templates)).withColumn("runs", _counted()).withColumn("found", _verified(templates))
     labels = _strings(t.label for t in templates)
     own = F.coalesce(F.transform("found", lambda c: F.get(labels, c["t"])), F.array().cast("array<string>"))
     rows = rows.withColumn("all", F.sort_array(F.array_distinct(F.concat("base", own))))
@@ -204,7 +227,7 @@ def _sql() -> str:
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{gap}'), lambda x: x <> '') AS w FROM documents),
 p AS ({places}),
 b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS base FROM p GROUP BY doc_id),
-c AS (SELECT doc_id, w, list_filter({text(words)}, lambda x: list_contains(w, x))[1:{LOOKED_UP}] AS chosen FROM d),
+c AS (SELECT doc_id, w, list_filter({text(words)}, lambda x: list_contains(w, x)) AS chosen FROM d),
 h AS (SELECT doc_id, w, list_filter(range(0, len(w)), lambda i: list_contains(chosen, w[i + 1])) AS hits FROM c WHERE len(chosen) >= {VOTES}),
 v AS (SELECT doc_id, w, {", ".join(hits)} FROM h),
 s AS (SELECT doc_id, [{", ".join(shares)}] AS shares FROM v),

@@ -55,10 +55,23 @@ def test_license_places_and_templates(spark):
     assert (found[6]["n_words"], found[6]["score"]) == (0, 0.0)
 
 
-def test_all_licence_words_are_looked_up(spark):
-    texts = [" ".join(licenses.TEMPLATES[i][1].split()) for i in (1, 3, 5, 6, 9)]
-    found = licenses.scan(spark.createDataFrame([(1, "\n".join(texts))], "doc_id long, text string")).first()
-    assert found["labels"] == "apache-2.0,bsd,cc-by,cc-by-nc,gpl,gpl-3.0,mit"
+def test_templates_alone_in_pairs_and_all_together(spark, tmp_path):
+    """Every template is found by itself, next to any other, and in a file that holds them all."""
+    labels = {label for label, _, _ in licenses.TEMPLATES}
+    text = [words.title() for _, words, _ in licenses.TEMPLATES]
+    n = len(text)
+    rows = [(i, f"Some prose here. {text[i]}, and more") for i in range(n)]
+    rows += [(1000 + i * n + j, f"{text[i]}.\n\nThen {text[j]}") for i in range(n) for j in range(n)]
+    rows += [(9000, "\n".join(text)), (9001, " x ".join(reversed(text)) + " filler" * 5000), (9002, (text[0] + " ") * 500), (9003, "the of and license software " * 2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["id"]: set(r["labels"].split(",")) - {""} for r in licenses.scan(frame).collect()}
+    own = [licenses.TEMPLATES[i][0] for i in range(n)]
+    assert all(own[i] in found[i] for i in range(n))
+    assert all({own[i], own[j]} <= found[1000 + i * n + j] for i in range(n) for j in range(n))
+    assert labels <= found[9000] and labels <= found[9001] and found[9002] == {"apache-2.0"} and found[9003] == set()
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    few = frame.where("doc_id < 1100 or doc_id >= 9000").selectExpr("*", "'' AS lang", "'' AS source")
+    assert rows_of(licenses.scan(few).withColumnRenamed("id", "doc_id"), columns) == against_sql([few], licenses._sql(), tmp_path, columns)
 
 
 def test_mixture_matches_sql_and_its_targets(spark, docs, tmp_path, nothing):
