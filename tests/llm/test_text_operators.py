@@ -93,7 +93,47 @@ def test_mixture_matches_sql_and_its_targets(spark, docs, tmp_path, nothing):
     assert mixture.mix(nothing)[1].count() == 0
     mixed = mixture.mixed_documents(once)
     assert mixed.columns == docs.columns
-    assert sum(len(r["text"].split()) for r in mixed.collect()) == sum(taken.values())
+    mixed = mixed.collect()
+    assert sum(len(r["text"].split()) for r in mixed) == sum(taken.values())
+    whole = {r["doc_id"]: r["text"] for r in once.collect()}
+    assert all(whole[r["doc_id"]].startswith(r["text"]) and r["n_chars"] == len(r["text"]) for r in mixed)
+
+
+def test_shards_draw_their_leaf_quotas(spark, docs):
+    """Every shard draws exactly the blocks its leaf holds of each source, and no block copy is drawn twice."""
+    once = docs.dropDuplicates(["doc_id"])
+    _, stream = mixture.mix(once, docs_per_block=4, words_per_shard=5000)
+    drawn = {(r["source"], r["block"], r["copy"], r["shard"]) for r in stream.where("copy is not null").collect()}
+    assert len({d[:3] for d in drawn}) == len(drawn)
+    sources = sorted({d[0] for d in drawn}, key=lambda s: (s is None, s or ""))
+    # A block copy whose documents have no words (or none before the quota's end) shows in no row, so quotas bound what is seen.
+    seen = np.array([[sum(d[0] == s and d[3] == k for d in drawn) for s in sources] for k in range(max(d[3] for d in drawn) + 1)])
+    leaves = mixture.split_tree(seen.sum(axis=0), len(seen))
+    assert (leaves.sum(axis=0) == seen.sum(axis=0)).all() and len(seen) > 1
+    spans = mixture.spans_of(spark, np.array([700, 0, 41]), 600).collect()
+    for s, n in ((0, 700), (2, 41)):
+        own = sorted((r["low"], r["high"], r["shard"]) for r in spans if r["s"] == s)
+        assert own[0][0] == 0 and own[-1][1] == n and all(a[1] == b[0] and a[2] < b[2] for a, b in zip(own, own[1:]))
+    tree = mixture.split_tree(np.array([700, 0, 41]), 600)
+    assert all(tree[r["shard"], r["s"]] == r["high"] - r["low"] for r in spans)
+
+
+def test_repeated_rows_are_mixed_each_by_itself(spark):
+    rows = [(1, "a b c", "s")] * 2 + [(2, "d e f g", "s")] + [(3, "x " * 200, "t")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    _, stream = mixture.mix(frame)
+    taken: dict = {}
+    for r in stream.collect():
+        taken[r["row"], r["id"], r["size"]] = taken.get((r["row"], r["id"], r["size"]), 0) + r["words"]
+    assert len(taken) == 4 and all(t <= 3 * size for (_, _, size), t in taken.items())
+    assert sum(t for (_, i, _), t in taken.items() if i != 3) == 30
+    assert sum(len(r["text"].split()) for r in mixture.mixed_documents(frame).where("source = 's'").collect()) == 30
+
+
+def test_large_pools_split_exactly():
+    held = np.array([3_000_000_000, 5, 900_000_000])
+    middle, left = mixture.split_node(0, 1000, held)
+    assert middle == 500 and (left >= 0).all() and (left <= held).all() and left.sum() == held.sum() // 2
 
 
 def test_rows_without_an_id_are_mixed(spark):
