@@ -25,14 +25,18 @@ VERSION = "WARC/1.1"
 #: Date of responses made from pages, which have none of their own.
 PAGE_DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-_HEAD = re.compile(r"<head\b[^>]*>.*?</head\s*>", re.S | re.I)
-_BREAKS = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|main|body|html|blockquote|pre|hr|td|th)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_BLANKS = re.compile(r"[ \t\r\f\v ]+")
+# Elements whose content is raw text, elements that are not shown, and elements that begin a new line.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+HIDDEN = frozenset("head script style noscript template svg title iframe noembed noframes".split())
+BLOCKS = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section header footer nav main body html blockquote pre hr td th".split())
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)?")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
+_BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
+#: HTTP and WARC fields of the source that the metadata record repeats under these prefixes.
+HTTP_PREFIX, WARC_PREFIX = "http-", "source-"
 
 _SCHEMA = "id {kind}, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_block_digest string, source_payload_digest string, header string, block string"
 
@@ -46,23 +50,130 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, '|'.join(parts))}>"
 
 
+def _tag(page: str, at: int) -> tuple[str, dict[str, str], int]:
+    """Name, attributes and end of the tag whose name starts at ``at``; an end of -1 means it is never closed."""
+    name = _NAME.match(page, at)
+    at, found = name.end(), {}
+    while True:
+        part = _ATTRIBUTE.match(page, at)
+        at = part.end()
+        if at >= len(page):
+            return name[0].lower(), found, -1
+        if page[at] == ">":
+            if part[1]:
+                found.setdefault(part[1].lower(), "")
+            return name[0].lower(), found, at + 1
+        value, sign = "", _EQUALS.match(page, at)
+        if sign:
+            at = sign.end()
+            if page[at : at + 1] in ('"', "'") and at < len(page):
+                end = page.find(page[at], at + 1)
+                if end < 0:
+                    return name[0].lower(), found, -1
+                value, at = page[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(page, at)
+                value, at = bare[0], bare.end()
+        if part[1]:
+            found.setdefault(part[1].lower(), value)
+
+
+def pieces(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """The page in order as (kind, what, attributes): ``text``, ``raw`` (undecoded text), ``open`` and ``close``.
+
+    One pass from left to right; every character is looked at a bounded number of times. Tags and
+    comments that never end take the rest of the page with them.
+    """
+    at = 0
+    while at < len(page):
+        sign = page.find("<", at)
+        if sign < 0:
+            yield "text", page[at:], {}
+            return
+        after = page[sign + 1 : sign + 2]
+        closing = after == "/" and page[sign + 2 : sign + 3].isascii() and page[sign + 2 : sign + 3].isalpha()
+        if not closing and after not in ("!", "?", "/") and not (after.isascii() and after.isalpha()):
+            yield "text", page[at : sign + 1], {}
+            at = sign + 1
+            continue
+        if sign > at:
+            yield "text", page[at:sign], {}
+        if page.startswith("<!--", sign):
+            end = page.find("-->", sign + 4)
+            at = end + 3 if end >= 0 else len(page)
+        elif not closing and after in ("!", "?", "/"):
+            end = page.find(">", sign + 2)
+            at = end + 1 if end >= 0 else len(page)
+        else:
+            name, attributes, at = _tag(page, sign + 1 + closing)
+            if at < 0:
+                return
+            yield "close" if closing else "open", name, attributes
+            if not closing and name in RAW:
+                end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+                yield "raw", page[at : end.start() if end else len(page)], {}
+                at = end.start() if end else len(page)
+
+
+def read_page(page: str) -> tuple[str, list[tuple[str, str]]]:
+    """Visible text and the metadata fields of a page: title, language, links out, in page order.
+
+    Elements that are not shown are left out, blocks stand on lines of their own, entities are
+    decoded, blanks squeezed and empty lines dropped.
+    """
+    one_line = lambda s: " ".join(html.unescape(s).split())
+    shown: list[str] = []
+    title = language = None
+    links, hidden = [], []
+    for kind, what, attributes in pieces(page):
+        if kind == "open":
+            if what == "html" and language is None and attributes.get("lang"):
+                language = attributes["lang"].strip().lower()
+            if what == "a" and "href" in attributes and not hidden:
+                links.append(("outlink", one_line(attributes["href"])))
+            if what in BLOCKS and not hidden:
+                shown.append("\n")
+            if what == "body":
+                hidden.clear()
+            elif what in HIDDEN and what not in _VOID:
+                hidden.append(what)
+            last = what
+        elif kind == "close":
+            if what in hidden:
+                del hidden[len(hidden) - 1 - hidden[::-1].index(what) :]
+            if what in BLOCKS and not hidden:
+                shown.append("\n")
+        elif kind == "raw" and last == "title" and title is None and "svg" not in hidden:
+            title = one_line(what)
+        elif not hidden:
+            shown.append(html.unescape(what) if kind == "text" or last == "textarea" else what)
+    lines = (_BLANKS.sub(" ", line).strip() for line in "".join(shown).split("\n"))
+    fields = [("title", title)] * (title is not None) + [("language", language)] * (language is not None)
+    return "\n".join(line for line in lines if line), fields + links
+
+
 def plain_text(page: str) -> str:
-    """Visible text: hidden elements and the head dropped, blocks on lines, entities decoded, blanks squeezed."""
-    shown = _TAG.sub("", _BREAKS.sub("\n", _HEAD.sub("", _HIDDEN.sub(" ", page))))
-    lines = (_BLANKS.sub(" ", line).strip() for line in html.unescape(shown).split("\n"))
-    return "\n".join(line for line in lines if line)
+    return read_page(page)[0]
 
 
 def fields_of(page: str) -> list[tuple[str, str]]:
-    """Fields of the metadata record: title, language, links out, in page order."""
-    one_line = lambda s: " ".join(html.unescape(s).split())
-    shown = _HIDDEN.sub(" ", page)
-    out = []
-    if m := _TITLE.search(shown):
-        out.append(("title", one_line(_TAG.sub("", m[1]))))
-    if m := _LANG.search(shown):
-        out.append(("language", m[1].lower()))
-    out += [("outlink", one_line(a or b or c)) for a, b, c in _LINK.findall(shown)]
+    return read_page(page)[1]
+
+
+def header_fields(header: str) -> list[tuple[str, str]]:
+    """Names and values of a header block; continued lines are joined, the start line is named ``status``."""
+    out: list[tuple[str, str]] = []
+    for k, line in enumerate(header.replace("\r\n", "\n").split("\n")):
+        if not line.strip():
+            continue
+        if line[0] in " \t" and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
+        elif k == 0 and line.startswith(("HTTP/", "WARC/")):
+            out.append(("status", line.strip()))
+        else:
+            name, sign, value = line.partition(":")
+            if sign and name.strip():
+                out.append((name.strip(), value.strip()))
     return out
 
 
@@ -90,17 +201,28 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = begin + size + 4
 
 
-def derivatives(source_id: str, uri: str | None, date: str, http: str, payload: str) -> Iterator[tuple[str, str, str, dict, str]]:
-    """(type, record id, header, header values, block) of both records."""
+def derivatives(source_id: str | None, uri: str | None, date: str | None, http: str, payload: str, warc: str = "") -> Iterator[tuple[str, str, str, dict, str]]:
+    """(type, record id, header, header values, block) of both records.
+
+    Digests that the source's WARC header gives are taken as they are, others computed. The
+    metadata record repeats the source's HTTP and WARC fields after those of the page.
+    """
     body = payload.encode("utf-8", "replace")
-    source = {"block": digest(http.encode() + body), "payload": digest(body)}
+    given = header_fields(warc)
+    named = {k.lower(): v for k, v in given}
+    source = {
+        "block": named.get("warc-block-digest") or digest(http.encode("utf-8", "replace") + body),
+        "payload": named.get("warc-payload-digest") or digest(body),
+    }
+    text, fields = read_page(payload)
+    fields += [(HTTP_PREFIX + k.lower(), v) for k, v in header_fields(http)] + [(WARC_PREFIX + k.lower(), v) for k, v in given if k != "status"]
     made = {
-        "metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields_of(payload))),
-        "conversion": ("text/plain; charset=utf-8", plain_text(payload)),
+        "metadata": ("application/warc-fields", "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields)),
+        "conversion": ("text/plain; charset=utf-8", text),
     }
     for kind, (content_type, block) in made.items():
         data = block.encode("utf-8", "replace")
-        own = record_id(kind, source_id)
+        own = record_id(kind, source_id or "")
         values = {"content_type": content_type, "content_length": len(data), "block_digest": digest(data), **source}
         yield kind, own, header_of(
             [
@@ -111,6 +233,8 @@ def derivatives(source_id: str, uri: str | None, date: str, http: str, payload:
                 ("WARC-Refers-To-Date", date),
                 ("WARC-Target-URI", uri),
                 ("WARC-Date", date),
+                ("WARC-Warcinfo-ID", named.get("warc-warcinfo-id")),
+                ("WARC-IP-Address", named.get("warc-ip-address") if kind == "metadata" else None),
                 ("WARC-Block-Digest", values["block_digest"]),
                 ("X-Source-Block-Digest", source["block"]),
                 ("X-Source-Payload-Digest", source["payload"]),
@@ -129,8 +253,8 @@ def _derived(schema: str):
                 ids = part.column(0)
                 rows: list[tuple] = []
                 take: list[int] = []
-                for i, (source, uri, date, http, payload) in enumerate(zip(*(part.column(k).to_pylist() for k in range(1, 6)), strict=True)):
-                    for kind, own, header, v, block in derivatives(source, uri, date, http or "", payload or ""):
+                for i, (source, uri, date, http, payload, warc) in enumerate(zip(*(part.column(k).to_pylist() for k in range(1, 7)), strict=True)):
+                    for kind, own, header, v, block in derivatives(source, uri, date, http or "", payload or "", warc or ""):
                         take.append(i)
                         rows.append((kind, own, source, uri, date, v["content_type"], v["content_length"], v["block_digest"], v["block"], v["payload"], header, block))
                 if rows:
@@ -144,12 +268,15 @@ def derive(responses: DataFrame) -> DataFrame:
     """Metadata and conversion records of response records.
 
     ``responses`` has ``id``, ``record_id``, ``target_uri``, ``warc_date``, ``http_header`` (null:
-    none) and ``payload`` (null: empty). Two rows per row come back, repeats included; a null target
-    URI leaves its header lines out. Nothing is shuffled and an empty table gives an empty result.
+    none), ``payload`` (null: empty) and may have ``warc_header``, the source record's own header lines:
+    its digests are preserved and its fields, like the HTTP header's, become fields of the metadata
+    record. Two rows per row come back, repeats included; null values leave their header lines out.
+    Other columns are not read. Nothing is shuffled and an empty table gives an empty result.
     """
     ready(responses.sparkSession)
     schema = _SCHEMA.format(kind=dict(responses.dtypes)["id"])
-    return responses.select("id", "record_id", "target_uri", "warc_date", "http_header", "payload").mapInArrow(_derived(schema), schema)
+    warc = F.col("warc_header") if "warc_header" in responses.columns else F.lit(None).cast("string").alias("warc_header")
+    return responses.select("id", "record_id", "target_uri", "warc_date", "http_header", "payload", warc).mapInArrow(_derived(schema), schema)
 
 
 def responses_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = PAGE_DATE) -> DataFrame:

@@ -1,6 +1,9 @@
 import json
 import random
+import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -251,9 +254,81 @@ def test_warc_round_trip(spark):
     assert one["conversion"]["block"] == "One\ntwo <3\ngo"
     assert one["metadata"]["block"].split("\r\n")[:3] == ["title: A & B", "language: fr", "outlink: /x?a=1&b=2"]
     assert one["conversion"]["source_payload_digest"] == warc.digest(page.encode())
+    assert one["metadata"]["block"].split("\r\n")[3:5] == ["http-status: HTTP/1.1 200 OK", "http-content-type: text/html; charset=utf-8"]
     assert warc.derive(warc.responses_of(pages.limit(0))).count() == 0
 
 
+class PlainReader(HTMLParser):
+    """The same reading of well-formed pages by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.text, self.fields, self.hidden, self.title, self.lang = [], [], [], None, None
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(reversed(attrs))
+        self.lang = self.lang or (attrs.get("lang") if tag == "html" else None)
+        if not self.hidden:
+            self.fields += [("outlink", " ".join((attrs["href"] or "").split()))] if tag == "a" and "href" in attrs else []
+            self.text += ["\n"] if tag in warc.BLOCKS else []
+        if tag in warc.HIDDEN:
+            self.hidden.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.hidden:
+            while self.hidden.pop() != tag:
+                pass
+        self.text += ["\n"] if tag in warc.BLOCKS and not self.hidden else []
+
+    def handle_data(self, data):
+        if self.hidden[-1:] == ["title"]:
+            self.title = " ".join(data.split()) if self.title is None else self.title
+        elif not self.hidden:
+            self.text.append(data)
+
+    def read(self):
+        lines = (re.sub(r"[ \t\r\f\v\xa0]+", " ", x).strip() for x in "".join(self.text).split("\n"))
+        head = [("title", self.title)] * (self.title is not None) + [("language", (self.lang or "").lower())] * bool(self.lang)
+        return "\n".join(x for x in lines if x), head + self.fields
+
+
+def test_pages_read_as_by_another_parser(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    found = {(r["page_id"], r["warc_type"]): r for r in warc.op9(spark, "/root/testdata/sf0.01").collect()}
+    assert len(found) == 2 * len(rows)
+    for r in rows:
+        text, fields = PlainReader(r["html"] or "").read()
+        assert found[r["page_id"], "conversion"]["block"] == text
+        own = [tuple(x.split(": ", 1)) for x in found[r["page_id"], "metadata"]["block"].split("\r\n") if x and not x.startswith("http-")]
+        assert own == fields
+        assert found[r["page_id"], "metadata"]["source_payload_digest"] == warc.digest((r["html"] or "").encode())
+
+
+def test_broken_and_long_pages():
+    began = time.perf_counter()
+    for part in ("<a ", "<", "</", "<!--", "<a x='", "<svg>", "<script>", "<title>", "<a href=\"", "&", "</p", "<p>", "<a b=", "< /", "<![CDATA[", "<template><p>"):
+        warc.read_page(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 16
+    assert warc.read_page("a < b <p title='x > y'>c</p><br/>d<!-- e -->f")[0] == "a < b\nc\ndf"
+    assert warc.read_page("<P>a<SCRIPT>if (a<b) </SCRIPT >b<textarea>&lt;i></textarea>")[0] == "ab<i>"
+    assert warc.read_page("x<svg><title>no</title></svg><title>yes</title>")[1] == [("title", "yes")]
+
+
+def test_source_headers_and_digests_are_preserved(spark):
+    http = "HTTP/1.1 404 Not Found\r\nContent-Type: text/html\r\nSet-Cookie: a=1;\r\n  b=2\r\nServer: x\r\n\r\n"
+    own = "WARC/1.1\r\nWARC-Type: response\r\nWARC-IP-Address: 192.0.2.1\r\nWARC-Payload-Digest: sha1:GIVEN\r\n\r\n"
+    rows = [(1, "<urn:uuid:1>", "http://a", "2020-01-01T00:00:00Z", http, "<p>x", own, "clash"), (None, None, None, None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "id long, record_id string, target_uri string, warc_date string, http_header string, payload string, warc_header string, block string")
+    found = {(r["id"], r["warc_type"]): r for r in warc.derive(frame).collect()}
+    one = found[1, "metadata"]
+    assert one["source_payload_digest"] == "sha1:GIVEN" and one["source_block_digest"] == warc.digest(http.encode() + b"<p>x")
+    assert one["block"].split("\r\n")[:4] == ["http-status: HTTP/1.1 404 Not Found", "http-content-type: text/html", "http-set-cookie: a=1; b=2", "http-server: x"]
+    assert "source-warc-ip-address: 192.0.2.1" in one["block"] and "WARC-IP-Address: 192.0.2.1" in one["header"]
+    assert found[None, "conversion"]["block"] == "" and "Refers-To" not in found[None, "conversion"]["header"]
+
+
 def plain_posteriors(e, t):
     e, a = np.exp(e - e.max(axis=1, keepdims=True)) + 1e-12, np.exp(t - t.max())
     f, x = [], np.full(e.shape[1], 1 / e.shape[1])
