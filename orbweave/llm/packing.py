@@ -2,7 +2,7 @@
 
 Every partition packs its own pieces best-fit decreasing and passes bins that are full, or nearly
 so, straight on. The underfull bins meet in ever fewer partitions, where they are the items of the
-next best-fit round, until one round has run in a single partition.
+next best-fit round, until a round over all that is left gains next to nothing.
 """
 
 from __future__ import annotations
@@ -145,24 +145,29 @@ def pack(
     stays null. Empty input, empty result. Other columns are not read.
 
     A best-fit call holds bounded numbers of bins and bytes whatever the input, and only the packed
-    numbers of pieces (48 bytes each) move, never ids or texts.
+    numbers of pieces (48 bytes each) move, never ids or texts. A bin that has no room for the
+    smallest open one leaves the rounds. Rounds use ever fewer tasks, down to one for every
+    ``TURN_BINS`` open bins, and end when one at that width gains less than a hundredth.
     """
     ready(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     level = cut(source.mapInArrow(_tokenised(tokenizer_path, end_id, capacity), _BINS))
-    full, tasks = F.col("used") >= capacity - slack, None
-    done = level.where(full)
+    used, tasks, before = F.col("used"), None, None
+    done = level.limit(0)
     while True:
-        open_ = level.where(~full)
+        # The smallest bin can join another one only if that has room for it.
+        least = level.agg(F.min("used")).first()[0]
+        full = used > min(capacity - (least or 0), capacity - slack - 1)
+        done, open_ = done.union(level.where(full)), level.where(~full)
         n = open_.count()
-        wide = -(-n // BINS_PER_TASK)
-        tasks = max(1, wide if tasks is None else min(wide, tasks // FAN_IN))
-        level = cut(open_.repartition(tasks).mapInArrow(_merged(capacity), _BINS))
-        if tasks == 1:
+        fewest = max(1, -(-n // TURN_BINS))
+        if n < 2 or (tasks is not None and tasks <= fewest and n > 0.99 * before):
             break
-        done = done.union(level.where(full))
+        wide = max(fewest, -(-n // BINS_PER_TASK))
+        tasks, before = wide if tasks is None else max(fewest, min(wide, tasks // FAN_IN)), n
+        level = cut(open_.repartition(tasks).mapInArrow(_merged(capacity), _BINS))
     return (
-        done.union(level)
+        done.union(open_)
         .withColumn("sequence_id", F.monotonically_increasing_id())
         .mapInArrow(_laid_out, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     )
