@@ -214,7 +214,7 @@ def near_duplicates(
     per input row. A-Z is lower-cased and words are ``[^\\x20\\x09-\\x0D]+``. Texts with fewer words
     than ``width`` are one shingle; null, empty and wordless texts have none, link with nothing and
     are kept. Equal sets are one group at once. Rows that repeat an id are one document of the
-    graph. A null id takes part in no link. Other columns are not read. Empty input, empty result.
+    graph. A null id takes part in no link and has no component. Other columns are not read. Empty input, empty result.
 
     Only sketches (256 bytes a document) are written between the scans. A tree's hot nodes branch
     again, so a token shared by a third of the documents costs a few more levels; documents that
@@ -248,7 +248,7 @@ def near_duplicates(
         sketches.select("id", "n", "s1", "s2")
         .join(sets.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"], "left")
         .join(links.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component"))
+        .select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component"))
         .withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
     )
 

@@ -62,15 +62,20 @@ def tidy_group(run):
     return whole
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """Write the frame to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a folder of this machine only where there is but this machine."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="orbweave-")
+
 
-    The folder is ``spark.checkpoint.dir``; only where the session names none is a local one made.
-    """
-    spark = frame.sparkSession
-    context = spark.sparkContext
+def cut(frame: DataFrame) -> DataFrame:
+    """Write the frame to the shared checkpoint folder and go on from there."""
+    context = frame.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orbweave-"))
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint(True)
 
 
