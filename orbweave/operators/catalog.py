@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.functions import domain, geo
-from orbweave.operators.windows import first_per_group
+from orbweave.operators.windows import first_per_group, with_group_start
 
 PASS_S = 180.0
 MERGED_SOURCES = ("sentinel-2", "sentinel-1", "landsat")
@@ -39,38 +39,30 @@ def order_of(sort: str = "best") -> list[Column]:
 def merge_passes(scenes: DataFrame, limit_s: float = PASS_S) -> DataFrame:
     """Scenes of one overpass as one row: the best-covering scene, the ids of the rest, the union of boxes.
 
-    A pass takes scenes of its (source, platform) up to ``limit_s`` after its first one.
+    A pass takes scenes of its (source, platform) up to ``limit_s`` after its first one; scenes of
+    other sources than ``MERGED_SOURCES`` stand alone. Passes are found in one sorted pass.
     """
-    item = F.struct(
-        (F.unix_micros(F.col("time").cast("timestamp")) / F.lit(1e6)).alias("t"), "scene_id", "coverage", "w", "s", "e", "n_lat"
+    t = F.unix_micros(F.col("time").cast("timestamp")) / F.lit(1e6)
+    alone = F.when(F.col("source").isin(*MERGED_SOURCES), F.lit("")).otherwise(F.col("scene_id"))
+    rows = scenes.select("source", "platform", alone.alias("_alone"), t.alias("_t"), "scene_id", "coverage", "w", "s", "e", "n_lat")
+    rows = with_group_start(rows, ["source", "platform", "_alone"], "_t", limit_s, ["scene_id"])
+    best = F.array_sort(F.collect_list(F.struct((-F.col("coverage")).alias("c"), F.col("_t").alias("t"), F.col("scene_id").alias("id"))))
+    found = rows.groupBy("source", "platform", "_alone", "group_start").agg(
+        best.alias("_r"), F.count(F.lit(1)).cast("int").alias("n"), F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("n_lat").alias("n_lat")
     )
-    rows = scenes.groupBy("source", "platform").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    one = "struct<t:double,scene_id:string,coverage:double,w:double,s:double,e:double,n_lat:double>"
-    empty = F.expr(f"cast(array() as array<array<{one}>>)")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.array(x))))
-        fits = (F.size(acc) > 0) & F.col("source").isin(*MERGED_SOURCES) & (x["t"] - F.get(last, F.lit(0))["t"] <= limit_s)
-        return F.when(fits, joined).otherwise(F.concat(acc, F.array(F.array(x))))
-
-    group = rows.select("source", "platform", F.explode(F.aggregate("items", empty, step)).alias("g"))
-    ranked = F.array_sort(F.transform("g", lambda x: F.struct((-x["coverage"]).alias("c"), x["t"].alias("t"), x["scene_id"].alias("id"))))
-    ids = F.transform(ranked, lambda x: x["id"])
-    edge = lambda name, pick: pick(F.transform("g", lambda x: x[name]))
-    return group.select(
-        "source", "platform", F.get(ids, F.lit(0)).alias("scene_id"), F.slice(ids, 2, 1000000).alias("merged_ids"), F.size("g").alias("n"),
-        edge("w", F.array_min).alias("w"), edge("s", F.array_min).alias("s"), edge("e", F.array_max).alias("e"), edge("n_lat", F.array_max).alias("n_lat"),
-    )
+    ids = F.transform("_r", lambda x: x["id"])
+    return found.select("source", "platform", F.get(ids, F.lit(0)).alias("scene_id"), F.slice(ids, 2, F.greatest(F.size("_r"), F.lit(1))).alias("merged_ids"), "n", "w", "s", "e", "n_lat")
 
 
 def union_coverage(boxes: DataFrame, by: list[str], area: tuple[float, float, float, float], n: int = 24) -> DataFrame:
-    """Share of an n by n grid of sample points of the area inside any of a group's boxes."""
+    """Share of an n by n grid of sample points of the area inside any of a group's boxes; no join, the points of a box are an array."""
     w, s, e, north = area
-    spark = boxes.sparkSession
-    points = spark.range(n * n).select((F.lit(w) + (F.col("id") % n + 0.5) * F.lit(e - w) / n).alias("x"), (F.lit(s) + (F.floor(F.col("id") / n) + 0.5) * F.lit(north - s) / n).alias("y"))
-    hits = boxes.join(F.broadcast(points), F.col("x").between(F.col("w"), F.col("e")) & F.col("y").between(F.col("s"), F.col("n_lat")))
-    return hits.groupBy(*by).agg((F.count_distinct("x", "y") / F.lit(float(n * n))).alias("coverage"))
+    x = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), (F.lit(w) + (i + 0.5) * F.lit(e - w) / n).alias("v")))
+    y = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), (F.lit(s) + (i + 0.5) * F.lit(north - s) / n).alias("v")))
+    across = F.filter(x, lambda p: p["v"].between(F.col("w"), F.col("e")))
+    up = F.filter(y, lambda p: p["v"].between(F.col("s"), F.col("n_lat")))
+    inside = F.flatten(F.transform(across, lambda p: F.transform(up, lambda q: p["i"] * n + q["i"])))
+    return boxes.select(*by, F.explode(inside).alias("_p")).distinct().groupBy(*by).agg((F.count(F.lit(1)) / F.lit(float(n * n))).alias("coverage"))
 
 
 def pick_frames(scenes: DataFrame, every: str, least: float = 0.9) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions import domain, geo
-from orbweave.operators.joins import range_join
+from orbweave.operators.joins import nearest, range_join
 from orbweave.operators.windows import prefix_robust_z, with_rest
+from orbweave.sources.paths import cut
 
 # Pair search, crowding, history density and roll-up.
 STS_LENGTH, STS_GAP, STS_AXIS, CROWDED = 60.0, 60.0, 25.0, 40
@@ -47,7 +48,7 @@ def alongside_pairs(obs: DataFrame) -> DataFrame:
     if reach[0] is None:
         return vessels.limit(0)
     width = reach[0] + 2 * reach[1] + STS_GAP
-    at = vessels.join(F.broadcast(centre), "site").withColumn("x", geo.local_x(F.col("lon"), F.col("lat0"), F.col("lon0"))).withColumn("y", geo.local_y(F.col("lat"), F.col("lat0")))
+    at = vessels.join(centre, "site").withColumn("x", geo.local_x(F.col("lon"), F.col("lat0"), F.col("lon0"))).withColumn("y", geo.local_y(F.col("lat"), F.col("lat0")))
     by_scene = at.groupBy("site", "scene_id").agg((F.max("length_m") / 2 + F.max("beam") * 2 + STS_GAP).alias("reach"))
     at = at.join(by_scene, ["site", "scene_id"]).drop("lat0", "lon0")
     pairs = range_join(at, at, ["site", "scene_id"], "x", "y", width, F.col("l_obs_id") < F.col("r_obs_id")).where(F.col("distance") <= F.col("l_reach"))
@@ -68,11 +69,11 @@ def alongside_pairs(obs: DataFrame) -> DataFrame:
 def sts_candidates(obs: DataFrame, scenes: DataFrame) -> DataFrame:
     """Rafted pairs as events; scenes give the clear share. Severity rises with size and falls in crowds and haze."""
     crowd = obs.where("cls = 'vessel'").groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_vessels"))
-    small = F.least("l_length_m", "r_length_m")
+    lesser = F.least("l_length_m", "r_length_m")
     pairs = alongside_pairs(obs).withColumnRenamed("l_scene_id", "scene_id").join(crowd, "scene_id").join(scenes.select("scene_id", "clear"), "scene_id", "left")
     severity = (
         F.lit(0.45)
-        + F.when(small >= 150, 0.15).otherwise(0.0)
+        + F.when(lesser >= 150, 0.15).otherwise(0.0)
         - F.when(F.col("n_vessels") > CROWDED, 0.2).otherwise(0.0)
         - F.when(clear_look(F.col("clear")), 0.0).otherwise(0.1)
     )
@@ -118,7 +119,7 @@ def unusual_locations(obs: DataFrame, scenes: DataFrame, recent: int = 3) -> Dat
         .withColumn("h", bandwidth)
         .where("h is not null")
         .join(looks, ["site", "scene_id"])
-        .join(F.broadcast(centre), "site")
+        .join(centre, "site")
         .withColumn("x", geo.local_x(F.col("lon"), F.col("lat0"), F.col("lon0")))
         .withColumn("y", geo.local_y(F.col("lat"), F.col("lat0")))
         .select("obs_id", "site", "family", "h", "look", "looks", "x", "y", "length_m", "underway")
@@ -127,14 +128,21 @@ def unusual_locations(obs: DataFrame, scenes: DataFrame, recent: int = 3) -> Dat
     per_look = seen.groupBy("site", "family", "look").agg(F.count(F.lit(1)).alias("n"))
     depth = new.select("site", "family", F.col("look").alias("k")).distinct().join(per_look, ["site", "family"]).where("look < k").groupBy("site", "family", "k").agg(F.sum("n").alias("history"))
     new = new.join(depth.where(F.col("history") >= MIN_HISTORY).withColumnRenamed("k", "look"), ["site", "family", "look"])
-    past = seen.select("site", "family", F.col("look").alias("past"), F.col("x").alias("px"), F.col("y").alias("py"))
+    # Cells of three bandwidths hold all that the kernel reaches; the nearest is searched for unusual places only.
+    cell = lambda v: F.floor(F.col(v) / (F.col("h") * 3))
+    past = seen.select("site", "family", F.col("look").alias("past"), F.col("x").alias("px"), F.col("y").alias("py"), F.struct(cell("x").alias("cx"), cell("y").alias("cy")).alias("_own"))
+    around = F.sequence(F.lit(-1), F.lit(1))
+    cells = F.flatten(F.transform(around, lambda i: F.transform(around, lambda j: F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")))))
+    new = cut(new)
     d2 = F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2)
-    pairs = new.join(past, ["site", "family"]).where("past < look").withColumn("d2", d2)
+    pairs = new.withColumn("_cell", F.explode(cells)).join(past, ["site", "family"]).where((F.col("_cell") == F.col("_own")) & (F.col("past") < F.col("look"))).withColumn("d2", d2)
     reach = F.col("h") * 3
-    found = pairs.groupBy("obs_id", "site", "family", "h", "look", "length_m", "underway").agg(
-        (F.sum(F.when(F.col("d2") <= reach * reach, F.exp(-F.col("d2") / (F.col("h") * F.col("h") * 2))).otherwise(0.0)) / F.first("look")).alias("rate"),
-        F.sqrt(F.min("d2")).alias("nearest"),
-    )
+    weight = F.when(F.col("d2") <= reach * reach, F.exp(-F.col("d2") / (F.col("h") * F.col("h") * 2))).otherwise(0.0)
+    density = pairs.groupBy("obs_id").agg(F.sum(weight).alias("density"))
+    rare = new.join(density, "obs_id", "left").withColumn("rate", F.coalesce("density", F.lit(0.0)) / F.col("look")).where(F.col("rate") < UNUSUAL_RATE)
+    rare = cut(rare.select("obs_id", "site", "family", "h", "look", "length_m", "underway", "x", "y", "rate"))
+    gap = nearest(rare.select("obs_id", "site", "family", "look", "x", "y"), seen.select("site", "family", "x", "y", "look"), ["site", "family"], "x", "y", ["obs_id"], F.col("r_look") < F.col("look"))
+    found = rare.join(gap, "obs_id")
     severity = (
         F.lit(0.35)
         + F.lit(0.15) * F.least(F.col("nearest") / (F.col("h") * 10), F.lit(1.0))
@@ -142,7 +150,7 @@ def unusual_locations(obs: DataFrame, scenes: DataFrame, recent: int = 3) -> Dat
         + F.when(F.col("family") == "aircraft", 0.1).otherwise(0.0)
         - F.when(F.col("underway").isNull() & (F.col("family") == "vessel"), 0.1).otherwise(0.0)
     )
-    return found.where(F.col("rate") < UNUSUAL_RATE).select(
+    return found.select(
         domain.record_key(F.lit("unusual"), F.col("obs_id").cast("string")).alias("event_id"),
         "obs_id", "site", "family", F.col("look").cast("long").alias("looks"),
         F.round("rate", 4).alias("expected_per_look"), F.round("nearest", 0).alias("nearest_past_m"),
@@ -168,9 +176,9 @@ def rollup(turnover: DataFrame, kind: str, crowded: Column | None = None) -> Dat
 
 
 def track_events(summary: DataFrame) -> DataFrame:
-    """Fast and loitering vessels from track summaries."""
+    """Fast and loitering vessels from track summaries; ``link_prob`` is the mean link probability of a track's later sightings."""
     fam = domain.family(F.col("cls"))
-    fast = summary.where((fam == "vessel") & (F.col("speed_ms") > 12)).select(
+    fast = summary.where((fam == "vessel") & (F.col("speed_ms") > 12) & (F.coalesce("link_prob", F.lit(0.0)) >= 0.6)).select(
         domain.record_key(F.lit("fast"), F.col("track_id")).alias("event_id"), "site", "track_id", F.lit("fast_vessel").alias("kind"), F.lit(0.5).alias("severity"),
         F.round(F.col("speed_ms") * domain.KNOTS_EVENT, 1).alias("value"),
     )
@@ -179,3 +187,69 @@ def track_events(summary: DataFrame) -> DataFrame:
         F.round(F.lit(0.35) + F.when(F.coalesce("length_m", F.lit(0.0)) >= 150, 0.15).otherwise(0.0), 2).alias("severity"), F.col("dwell_days").alias("value"),
     )
     return fast.unionByName(loiter)
+
+
+def crowded_sites(obs: DataFrame, scenes: DataFrame) -> DataFrame:
+    """``site`` and ``crowded``: a median of more than 12 vessels over the clear looks that show any."""
+    clear = scenes.where(clear_look(F.col("clear"))).select("scene_id")
+    counts = obs.where("cls = 'vessel'").join(clear, "scene_id", "left_semi").groupBy("site", "scene_id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("site").agg((F.median("n") > 12).alias("crowded"))
+
+
+def baselines(obs: DataFrame, scenes: DataFrame) -> DataFrame:
+    """First clear sighting of each family at a site: what comes first after it is an arrival."""
+    clear = scenes.where(clear_look(F.col("clear"))).select("scene_id")
+    return obs.join(clear, "scene_id", "left_semi").groupBy("site", domain.family(F.col("cls")).alias("family")).agg(F.min("time").alias("base"))
+
+
+def turnover(obs: DataFrame, tracks: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Arrivals and departures, rolled up per scene and scaled down in crowded sites.
+
+    ``obs`` carries ``track_id``; ``tracks`` has ``site``, ``track_id`` and ``status``.
+    """
+    seen = obs.where(domain.family(F.col("cls")).isin("vessel", "aircraft"))
+    what = F.struct("cls", "length_m", "scene_id", "time")
+    ends = seen.groupBy("site", "track_id").agg(F.min_by(what, F.struct("time", "obs_id")).alias("first"), F.max_by(what, F.struct("time", "obs_id")).alias("last"))
+    crowd = crowded_sites(obs, scenes)
+    first = ends.select("site", "track_id", "first.*").withColumn("family", domain.family(F.col("cls"))).join(baselines(obs, scenes), ["site", "family"]).where("time > base")
+    last = ends.join(tracks.where("status = 'departed'").select("site", "track_id"), ["site", "track_id"], "left_semi").select("site", "track_id", "last.*")
+    busy = F.coalesce("crowded", F.lit(False))
+    return rollup(first.join(crowd, "site", "left"), "arrival", busy).unionByName(rollup(last.join(crowd, "site", "left"), "departure", busy))
+
+
+def dark_vessels(obs: DataFrame, matches: DataFrame) -> DataFrame:
+    """Vessels that no report explains where reports were received; ``matches`` comes from ``ais.match``."""
+    dark = matches.where("dark").select("obs_id", F.col("distance_m").alias("nearest_report_m"))
+    return obs.join(dark, "obs_id").select(
+        domain.record_key(F.lit("dark"), F.col("obs_id").cast("string")).alias("event_id"), "site", "obs_id", F.lit("dark_vessel").alias("kind"),
+        F.round(F.lit(0.55) + F.when(F.coalesce("length_m", F.lit(0.0)) >= 150, 0.25).otherwise(0.0), 2).alias("severity"), "nearest_report_m",
+    )
+
+
+#: A task group is a large hull with so many medium ones within reach, outside crowded sites.
+GROUP_LENGTH, GROUP_MEDIUM, GROUP_REACH, GROUP_HULLS = 250.0, (100.0, 220.0), 15_000.0, 2
+
+
+def task_groups(obs: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Large hulls with medium hulls near them in one scene, outside crowded sites; ``obs`` carries local ``x`` and ``y``."""
+    quiet = obs.where("cls = 'vessel'").join(crowded_sites(obs, scenes).where("crowded").select("site"), "site", "left_anti")
+    big = quiet.where(F.col("length_m") >= GROUP_LENGTH).select("obs_id", "site", "scene_id", "x", "y", "length_m")
+    medium = quiet.where(F.col("length_m").between(*GROUP_MEDIUM)).select("obs_id", "scene_id", "x", "y")
+    near = range_join(big, medium, ["scene_id"], "x", "y", GROUP_REACH, F.col("l_obs_id") != F.col("r_obs_id"))
+    n = near.groupBy("l_obs_id", "l_site").agg(F.count(F.lit(1)).alias("n_medium")).where(F.col("n_medium") >= GROUP_HULLS)
+    return n.select(
+        domain.record_key(F.lit("group"), F.col("l_obs_id").cast("string")).alias("event_id"), F.col("l_site").alias("site"), F.col("l_obs_id").alias("obs_id"),
+        F.lit("possible_task_group").alias("kind"), F.lit(0.4).alias("severity"), "n_medium",
+    )
+
+
+EVENT = ["event_id", "site", "kind", "severity"]
+
+
+def all_events(*families: DataFrame) -> DataFrame:
+    """Every family's events as one frame of ``event_id``, ``site``, ``kind`` and ``severity``, one row per id."""
+    rows = [f.select(*EVENT) for f in families]
+    whole = rows[0]
+    for r in rows[1:]:
+        whole = whole.unionByName(r)
+    return whole.dropDuplicates(["event_id"])

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.sources.paths import cut
+
+#: Cells across all points in the first ring of a nearest search.
+FIRST_RING = 256
+
 
 def _cells(x: str, y: str, width: float, reach: int) -> Column:
     """Cells within ``reach`` of a point's own, as structs (cx, cy)."""
@@ -31,12 +36,34 @@ def range_join(left: DataFrame, right: DataFrame, on: list[str], x: str, y: str,
 
 
 def nearest(left: DataFrame, right: DataFrame, on: list[str], x: str, y: str, key: list[str], condition: Column | None = None) -> DataFrame:
-    """Distance of the nearest right point with equal ``on`` columns, per left ``key``; null without one."""
-    rhs = right.select([F.col(c).alias(f"r_{c}") for c in right.columns])
-    pairs = left.join(rhs, [left[c] == F.col(f"r_{c}") for c in on], "left")
+    """Distance of the nearest right point with equal ``on`` columns, per left ``key``; null without one.
+
+    Rings: rows look into the nine cells around them, first in narrow cells, and those that found
+    nothing within a cell's width look again in cells four times as wide, until one spans all points.
+    Right columns are ``r_`` in ``condition``.
+    """
+    rhs = cut(right.select([F.col(c).alias(f"r_{c}") for c in right.columns]))
+    open_ = cut(left)
+    ends = rhs.agg(F.min(f"r_{x}"), F.max(f"r_{x}"), F.min(f"r_{y}"), F.max(f"r_{y}")).first()
+    own = open_.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    empty = open_.select(*key, F.lit(None).cast("double").alias("nearest"))
+    if ends[0] is None or own[0] is None:
+        return empty
+    extent = max(max(ends[1], own[1]) - min(ends[0], own[0]), max(ends[3], own[3]) - min(ends[2], own[2]), 1e-9)
     dx, dy = F.col(f"r_{x}") - F.col(x), F.col(f"r_{y}") - F.col(y)
-    d = F.sqrt(dx * dx + dy * dy)
-    return pairs.groupBy(*key).agg(F.min(F.when(condition, d) if condition is not None else d).alias("nearest"))
+    width, found = extent / FIRST_RING, None
+    while True:
+        last = width >= extent
+        lhs = open_.withColumn("_cell", F.explode(_cells(x, y, width, 1)))
+        cells = rhs.withColumn("_own", F.struct(F.floor(F.col(f"r_{x}") / F.lit(width)).alias("cx"), F.floor(F.col(f"r_{y}") / F.lit(width)).alias("cy")))
+        pairs = lhs.join(cells, [F.col(c) == F.col(f"r_{c}") for c in on] + [F.col("_cell") == F.col("_own")]).withColumn("_d", F.sqrt(dx * dx + dy * dy))
+        near = (pairs.where(condition) if condition is not None else pairs).groupBy(*key).agg(F.min("_d").alias("nearest"))
+        hits = cut(near if last else near.where(F.col("nearest") <= width))
+        found = hits if found is None else found.unionByName(hits)
+        open_ = cut(open_.join(hits.select(*key), key, "left_anti"))
+        if last or not open_.limit(1).count():
+            return found.unionByName(open_.select(*key, F.lit(None).cast("double").alias("nearest")))
+        width = min(width * 4, extent)
 
 
 def interval_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, window_s: int, lat: str, lon: str, pad: float) -> DataFrame:

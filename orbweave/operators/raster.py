@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions.domain import normalised_difference
+from orbweave.operators.medians import medians
 from orbweave.operators.windows import MAD
+from orbweave.sources.paths import cut
 
 
 def composite(pixels: DataFrame, key: list[str], bands: list[str], how: str = "median") -> DataFrame:
@@ -22,20 +24,20 @@ def composite(pixels: DataFrame, key: list[str], bands: list[str], how: str = "m
 def robust_z(pixels: DataFrame, floors: dict[str, float], masks: dict[str, Column] | None = None, least: int = 100) -> DataFrame:
     """Columns against their own median and MAD over their masks, as ``z_<column>``; 0 if fewer than ``least`` pixels.
 
-    Two aggregates of one row each serve all columns and are joined back; the pixels are not shuffled.
+    The pixels are cut once; medians are counted over all columns together and come back as numbers, so
+    neither a join nor a shuffle of pixels is left in the result.
     """
     masks = masks or {}
     own = lambda name, v: F.when(masks[name], v) if name in masks else v
-    middle = pixels.agg(*[F.median(own(n, F.col(n))).alias(f"_med_{n}") for n in floors], *[F.count(own(n, F.col(n))).alias(f"_n_{n}") for n in floors])
-    rows = pixels.crossJoin(F.broadcast(middle))
-    gap = {n: F.abs(F.col(n) - F.col(f"_med_{n}")) for n in floors}
-    spread = rows.agg(*[(F.median(own(n, gap[n])) * MAD).alias(f"_mad_{n}") for n in floors])
-    rows = rows.crossJoin(F.broadcast(spread))
-    z = {
-        f"z_{n}": F.when(F.col(f"_n_{n}") < least, 0.0).otherwise((F.col(n) - F.col(f"_med_{n}")) / F.greatest(F.col(f"_mad_{n}"), F.lit(floor)))
-        for n, floor in floors.items()
-    }
-    return rows.withColumns(z).drop(*[f"_{what}_{n}" for n in floors for what in ("med", "n", "mad")])
+    pixels = cut(pixels)
+    middle = medians(pixels, {n: own(n, F.col(n)) for n in floors})
+    off = {n: F.abs(F.col(n) - F.lit(m)) for n, (m, _) in middle.items() if m is not None}
+    spread = medians(pixels, {n: own(n, gap) for n, gap in off.items()}) if off else {}
+    z = {}
+    for n, floor in floors.items():
+        med, count = middle[n]
+        z[f"z_{n}"] = F.lit(0.0) if count < least else (F.col(n) - F.lit(med)) / F.lit(max(spread[n][0] * MAD, floor))
+    return pixels.withColumns(z)
 
 
 def with_indices(pixels: DataFrame) -> DataFrame:
@@ -141,7 +143,7 @@ def regions(cells: DataFrame, by: list[str], diagonal: bool = False) -> DataFram
         own = step.select(F.col("label").alias("_old"), *[F.col(c).alias(f"_{c}") for c in (*by, "row", "col")], F.col("low").alias("_jump"))
         target = own.select(F.struct(*[F.col(f"_{c}").alias(c) for c in (*by, "row", "col")]).alias("_cell"), "_jump")
         moved = step.join(target, F.col("low") == F.col("_cell"), "left").select(*by, "row", "col", "label", F.least("low", "_jump").alias("next"))
-        moved = moved.checkpoint()
+        moved = cut(moved)
         changed = moved.where(F.col("next") != F.col("label")).limit(1).count()
         labels = moved.select(*by, "row", "col", F.col("next").alias("label"))
         if not changed:

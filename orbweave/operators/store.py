@@ -78,7 +78,7 @@ def located_events(events: DataFrame, sites: DataFrame, box: tuple) -> DataFrame
     meets = geo.boxes_meet((F.col("_w"), F.col("_s"), F.col("_e"), F.col("_n")), area)
     boxes = sites.select("site", F.col("w").alias("_w"), F.col("s").alias("_s"), F.col("e").alias("_e"), F.col("n").alias("_n"))
     inside = F.coalesce(geo.inside(F.col("lat"), F.col("lon"), *area), F.lit(False))
-    return events.join(F.broadcast(boxes), "site", "left").where(inside | F.coalesce(meets, F.lit(False))).drop("_w", "_s", "_e", "_n")
+    return events.join(boxes, "site", "left").where(inside | F.coalesce(meets, F.lit(False))).drop("_w", "_s", "_e", "_n")
 
 
 def geojson(rows: DataFrame, properties: list[str]) -> DataFrame:

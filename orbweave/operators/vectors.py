@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.operators.medians import medians
 from orbweave.operators.windows import MAD
+from orbweave.sources.paths import cut
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,9 +23,9 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector at length 1; unchanged if it has none."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    """The vector at length 1; unchanged if it has none. The norm is bound once, not per element."""
+    scaled = lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return F.get(F.transform(F.array(norm(a)), scaled), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -73,14 +75,19 @@ def whitened(rows: DataFrame, key: str, vector: str, mean: np.ndarray, axes: np.
 
 
 def changed(before: DataFrame, after: DataFrame, key: str, vector: str, k: float = 3.0, least: float = 0.15) -> DataFrame:
-    """Cosine distance of a cell's two vectors, its robust z over all cells, and whether it changed."""
-    rows = before.select(key, F.col(vector).alias("a")).join(after.select(key, F.col(vector).alias("b")), key)
-    rows = rows.select(key, (F.lit(1.0) - dot(unit(F.col("a")), unit(F.col("b")))).alias("distance"))
-    middle = rows.agg(F.median("distance").alias("med"))
-    off = rows.crossJoin(F.broadcast(middle))
-    spread = off.agg((F.median(F.abs(F.col("distance") - F.col("med"))) * MAD).alias("mad"))
-    z = (F.col("distance") - F.col("med")) / F.greatest("mad", F.lit(0.01))
-    return off.crossJoin(F.broadcast(spread)).withColumn("z", z).withColumn("changed", (F.col("z") > k) & (F.col("distance") > least)).drop("med", "mad")
+    """Cosine distance of a cell's two vectors, its robust z over all cells, and whether it changed.
+
+    Norms are taken on each side before the join, the distances are cut once, and their medians counted.
+    """
+    side = lambda rows, v, n: rows.select(key, F.col(vector).alias(v), norm(F.col(vector)).alias(n))
+    rows = side(before, "a", "na").join(side(after, "b", "nb"), key)
+    length = F.when(F.col("na") > 0, F.col("na")).otherwise(1.0) * F.when(F.col("nb") > 0, F.col("nb")).otherwise(1.0)
+    rows = cut(rows.select(key, (F.lit(1.0) - dot(F.col("a"), F.col("b")) / length).alias("distance")))
+    med, _ = medians(rows, {"d": F.col("distance")})["d"]
+    mad, _ = medians(rows, {"d": F.abs(F.col("distance") - F.lit(med))})["d"] if med is not None else (None, 0)
+    spread = max((mad or 0.0) * MAD, 0.01)
+    z = (F.col("distance") - F.lit(med or 0.0)) / F.lit(spread)
+    return rows.withColumn("z", z).withColumn("changed", (F.col("z") > k) & (F.col("distance") > least))
 
 
 def probe(positive: np.ndarray, negative: np.ndarray, l2: float = 1e-2, steps: int = 300, rate: float = 2.0) -> tuple[np.ndarray, float]:

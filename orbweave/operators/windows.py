@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,24 +14,75 @@ from pyspark.sql import functions as F
 MAD = 1.4826
 
 
-def _middle(values: Column) -> Column:
-    """Median of an array."""
-    s, n = F.array_sort(values), F.size(values)
-    lower = F.get(s, F.floor((n - 1) / 2).cast("int"))
-    return (lower + F.get(s, F.floor(n / 2).cast("int"))) / F.lit(2.0)
+def fold(rows: DataFrame, by: list[str], order: list[Column | str], step: Callable, columns: dict[str, str]) -> DataFrame:
+    """``rows`` with more columns that a fold over each series in order gives.
+
+    ``step()`` makes a series' state: a function from a row (a dict) to the new columns' values. Rows
+    stream through a task sorted by series and order, so memory is the state of one series.
+    """
+    names = list(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = object(), None
+        for batch in batches:
+            made = []
+            for r in batch.to_pylist():
+                own = tuple(r[c] for c in by)
+                if own != key:
+                    key, state = own, step()
+                made.append(state(r))
+            more = [pa.array([m[i] for m in made], type=from_ddl(columns[n])) for i, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{n}` {t}" for n, t in columns.items()])
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
+def from_ddl(kind: str) -> pa.DataType:
+    return {"double": pa.float64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[kind]
+
+
+def _nth_gap(values: list[float], middle: float, k: int) -> float:
+    """k-th smallest distance of sorted values to ``middle``, by bisection over how many lie on either side."""
+    right = bisect.bisect_left(values, middle)
+    low, high = max(0, k + 1 - (len(values) - right)), min(right, k + 1)
+    while low < high:  # how many of the k + 1 nearest lie on the left
+        take = (low + high) // 2
+        if right - take - 1 >= 0 and middle - values[right - take - 1] < values[right + k - take] - middle:
+            low = take + 1
+        else:
+            high = take
+    left = middle - values[right - low] if low else -math.inf
+    rest = values[right + k - low] - middle if k + 1 - low else -math.inf
+    return max(left, rest)
+
+
+def _mean_of_middle(nth: Callable[[int], float], n: int) -> float:
+    return (nth((n - 1) // 2) + nth(n // 2)) / 2.0
 
 
 def prefix_robust_z(series: DataFrame, by: list[str], order: list[str], value: str, least: int = 4) -> DataFrame:
     """Robust z-score of each value against all values before it in its series.
 
-    z = (value - median) / (MAD + sqrt(max(median, 1))); rows with fewer than ``least`` values before go.
+    z = (value - median) / (MAD + sqrt(max(median, 1))); rows with fewer than ``least`` values before
+    go. One pass over the sorted series, whose values so far are kept sorted.
     """
-    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    v = F.col(value).cast("double")
-    rows = series.withColumn("history", F.collect_list(v).over(before)).where(F.size("history") >= least)
-    rows = rows.withColumn("median", _middle(F.col("history")))
-    spread = _middle(F.transform("history", lambda x: F.abs(x - F.col("median")))) * F.lit(MAD)
-    return rows.withColumn("z", (v - F.col("median")) / (spread + F.sqrt(F.greatest(F.col("median"), F.lit(1.0))))).drop("history")
+
+    def start():
+        held: list[float] = []
+
+        def step(r: dict) -> tuple[float | None, float | None]:
+            v, out = float(r[value]), (None, None)
+            if len(held) >= least:
+                med = _mean_of_middle(held.__getitem__, len(held))
+                mad = _mean_of_middle(lambda k: _nth_gap(held, med, k), len(held)) * MAD
+                out = (med, (v - med) / (mad + math.sqrt(max(med, 1.0))))
+            bisect.insort(held, v)
+            return out
+
+        return step
+
+    return fold(series, by, order, start, {"median": "double", "z": "double"}).where(F.col("median").isNotNull())
 
 
 def first_per_group(rows: DataFrame, by: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -34,26 +90,30 @@ def first_per_group(rows: DataFrame, by: list[str], order: list[Column], n: int
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
-def anchored_groups(rows: DataFrame, by: list[str], time: str, limit_s: float) -> DataFrame:
-    """Groups that start with their first row and take rows up to ``limit_s`` after that start.
+def with_group_start(rows: DataFrame, by: list[str], time: str, limit_s: float, order: list[str] | None = None) -> DataFrame:
+    """``rows`` with ``group_start``: the time (seconds) of the first row of their group.
 
-    Returns ``by``, ``group_start`` (seconds) and ``n``. Unlike session windows, a gap is measured
-    from the group's start. The fold holds one series' times; times are seconds.
+    A group takes rows up to ``limit_s`` after its first one; unlike session windows, a gap is measured
+    from the group's start.
     """
-    zero = F.expr("cast(array() as array<struct<start:double,n:bigint>>)")
-
-    def step(acc: Column, t: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), (last["n"] + 1).alias("n"))))
-        fresh = F.concat(acc, F.array(F.struct(t.alias("start"), F.lit(1).cast("bigint").alias("n"))))
-        return F.when(F.size(acc) == 0, fresh).when(t - last["start"] <= limit_s, grown).otherwise(fresh)
-
-    return (
-        rows.groupBy(*by)
-        .agg(F.array_sort(F.collect_list(F.col(time).cast("double"))).alias("times"))
-        .select(*by, F.explode(F.aggregate("times", zero, step)).alias("g"))
-        .select(*by, F.col("g.start").alias("group_start"), F.col("g.n").alias("n"))
-    )
+
+    def start():
+        first = [-math.inf]
+
+        def step(r: dict) -> tuple[float]:
+            t = float(r[time])
+            if t - first[0] > limit_s:
+                first[0] = t
+            return (first[0],)
+
+        return step
+
+    return fold(rows, by, [time, *(order or [])], start, {"group_start": "double"})
+
+
+def anchored_groups(rows: DataFrame, by: list[str], time: str, limit_s: float) -> DataFrame:
+    """``by``, ``group_start`` and the number of rows ``n`` of every anchored group."""
+    return with_group_start(rows.select(*by, F.col(time).cast("double").alias(time)), by, time, limit_s).groupBy(*by, "group_start").agg(F.count(F.lit(1)).alias("n"))
 
 
 def local_minima(rows: DataFrame, by: list[str], order: str, value: str, below: float) -> DataFrame:

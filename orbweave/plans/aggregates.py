@@ -71,7 +71,7 @@ def a9(spark, d):
 def a10(spark, d):
     o = fx.observations(spark, d)
     m = o.groupBy("site").agg(F.median("length_m").alias("med"))
-    return o.join(F.broadcast(m), "site").groupBy("site", "med").agg(F.round(F.median(F.abs(F.col("length_m") - F.col("med"))) * 1.4826, 6).alias("mad"))
+    return o.join(m, "site").groupBy("site", "med").agg(F.round(F.median(F.abs(F.col("length_m") - F.col("med"))) * 1.4826, 6).alias("mad"))
 
 
 @R.add("a12_crowded_sites", "WITH c AS (SELECT site, scene_id, count(*) AS n FROM obs WHERE cls = 'vessel' GROUP BY 1, 2) SELECT site, median(n) AS per_scene, median(n) > 12 AS crowded FROM c GROUP BY site")

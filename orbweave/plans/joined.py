@@ -34,7 +34,7 @@ def j6(spark, d):
 @R.add("j7_site_overview", "SELECT s.site, s.title, coalesce(c.n, 0) AS n, m.top FROM sites s LEFT JOIN (SELECT site, count(*) AS n FROM obs GROUP BY 1) c ON s.site = c.site LEFT JOIN (SELECT site, round(max(value), 6) AS top FROM obs GROUP BY 1) m ON s.site = m.site", "obs sites")
 def j7(spark, d):
     c = fx.observations(spark, d).groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("value"), 6).alias("top"))
-    return fx.sites(spark, d).select("site", "title").join(F.broadcast(c), "site", "left").select("site", "title", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "top")
+    return fx.sites(spark, d).select("site", "title").join(c, "site", "left").select("site", "title", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "top")
 
 
 _NEAR = """p AS (SELECT o.obs_id, a.mmsi, epoch(date_trunc('second', o.time))::BIGINT AS t, epoch(date_trunc('second', a.time))::BIGINT AS r, a.lat, a.lon FROM obs o JOIN ais a
@@ -76,11 +76,10 @@ def _local(spark, d):
     return o.select("obs_id", "scene_id", "site", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@R.add("j12_nearest_past", f"WITH {_XY} SELECT a.obs_id, round(min(sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2))), 1) AS metres FROM v a LEFT JOIN v b ON a.site = b.site AND b.scene_id < a.scene_id WHERE a.scene_id LIKE '%-09' GROUP BY 1")
+@R.add("j12_nearest_past", f"WITH {_XY} SELECT a.obs_id, round(min(sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2))), 1) AS metres FROM v a LEFT JOIN v b ON a.site = b.site AND b.scene_id < a.scene_id GROUP BY 1")
 def j12(spark, d):
     v = _local(spark, d)
-    late = v.where("scene_id like '%-09'")
-    n = nearest(late, v.select("scene_id", "site", "x", "y"), ["site"], "x", "y", ["obs_id"], F.col("r_scene_id") < F.col("scene_id"))
+    n = nearest(v, v.select("scene_id", "site", "x", "y"), ["site"], "x", "y", ["obs_id"], F.col("r_scene_id") < F.col("scene_id"))
     return n.select("obs_id", F.round("nearest", 1).alias("metres"))
 
 
@@ -183,9 +182,10 @@ def t4(spark, d):
     return tracking.build_tracks(fx.observations(spark, d), 4e8).drop("misses")
 
 
-@R.add("e3_track_events", "WITH t AS (SELECT *, sqrt(pow((lon - lag(lon) OVER w) * 111320.0::DOUBLE * cos(radians((lat + lag(lat) OVER w) / 2)), 2) + pow((lat - lag(lat) OVER w) * 110574.0::DOUBLE, 2)) AS step, epoch_us(time) / 1e6 - lag(epoch_us(time) / 1e6) OVER w AS gap FROM obs WINDOW w AS (PARTITION BY site, track_id ORDER BY time, obs_id)), s AS (SELECT site, track_id, arg_max(cls, (time, obs_id)) AS cls, count(*) AS n, round(median(CASE WHEN gap > 0 AND gap <= 259200 THEN step / gap END), 2) AS v, round((epoch_us(max(time)) / 1e6 - epoch_us(min(time)) / 1e6) / 86400, 2) AS dwell, round(median(length_m), 1) AS length_m FROM t GROUP BY 1, 2) SELECT substr(sha1(concat('loiter|', track_id, '|', CAST(n AS VARCHAR))), 1, 16) AS event_id, site, track_id, 'loitering' AS kind, round(0.35::DOUBLE + CASE WHEN length_m >= 150 THEN 0.15::DOUBLE ELSE 0 END, 2) AS severity, dwell AS value FROM s WHERE cls = 'vessel' AND dwell >= 14 AND coalesce(v, 0) < 0.3 AND n >= 3 UNION ALL SELECT substr(sha1(concat('fast|', track_id)), 1, 16), site, track_id, 'fast_vessel', 0.5::DOUBLE, round(v * CAST(1.944 AS DOUBLE), 1) FROM s WHERE cls = 'vessel' AND v > 12")
+@R.add("e3_track_events", "WITH t AS (SELECT *, CAST(obs_id % 11 AS DOUBLE) / 10 AS prob, sqrt(pow((lon - lag(lon) OVER w) * 111320.0::DOUBLE * cos(radians((lat + lag(lat) OVER w) / 2)), 2) + pow((lat - lag(lat) OVER w) * 110574.0::DOUBLE, 2)) AS step, epoch_us(time) / 1e6 - lag(epoch_us(time) / 1e6) OVER w AS gap FROM obs WINDOW w AS (PARTITION BY site, track_id ORDER BY time, obs_id)), s AS (SELECT site, track_id, round(avg(CASE WHEN gap IS NOT NULL THEN prob END), 3) AS p, arg_max(cls, (time, obs_id)) AS cls, count(*) AS n, round(median(CASE WHEN gap > 0 AND gap <= 259200 THEN step / gap END), 2) AS v, round((epoch_us(max(time)) / 1e6 - epoch_us(min(time)) / 1e6) / 86400, 2) AS dwell, round(median(length_m), 1) AS length_m FROM t GROUP BY 1, 2) SELECT substr(sha1(concat('loiter|', track_id, '|', CAST(n AS VARCHAR))), 1, 16) AS event_id, site, track_id, 'loitering' AS kind, round(0.35::DOUBLE + CASE WHEN length_m >= 150 THEN 0.15::DOUBLE ELSE 0 END, 2) AS severity, dwell AS value FROM s WHERE cls = 'vessel' AND dwell >= 14 AND coalesce(v, 0) < 0.3 AND n >= 3 UNION ALL SELECT substr(sha1(concat('fast|', track_id)), 1, 16), site, track_id, 'fast_vessel', 0.5::DOUBLE, round(v * CAST(1.944 AS DOUBLE), 1) FROM s WHERE cls = 'vessel' AND v > 12 AND p >= 0.6")
 def e3(spark, d):
-    return events.track_events(tracking.track_summary(fx.observations(spark, d), ["site", "track_id"]))
+    o = fx.observations(spark, d).withColumn("prob", (F.col("obs_id") % 11).cast("double") / 10)
+    return events.track_events(tracking.track_summary(o, ["site", "track_id"]))
 
 
 @R.add("b2_brief", "WITH k AS (SELECT DISTINCT site, cls FROM obs), c AS (SELECT scene_id, cls, count(*) AS n FROM obs GROUP BY 1, 2), t AS (SELECT s.site, k.cls, s.time, coalesce(c.n, 0) AS n FROM scenes s JOIN k ON s.site = k.site LEFT JOIN c ON c.scene_id = s.scene_id AND c.cls = k.cls WHERE coalesce(nullif(s.clear, 0), 1.0) >= 0.85), m AS (SELECT site, cls, median(n) FILTER (time < TIMESTAMP '2024-01-15') AS a, median(n) FILTER (time >= TIMESTAMP '2024-01-15') AS b FROM t GROUP BY 1, 2) SELECT site, concat('## ', site, chr(10), string_agg(concat('**', cls, '** ', coalesce(printf('%.1f', a), '-'), ' -> ', coalesce(printf('%.1f', b), '-')), '; ' ORDER BY concat('**', cls, '** '))) AS brief FROM m GROUP BY site", "scenes")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from orbweave.operators import tracking
 from orbweave.plans.common import Registry
 from orbweave.sources import fixtures as fx
+from orbweave.sources.paths import shared_folder
 from orbweave.streaming import sweep
 
 R = Registry()
@@ -17,8 +17,7 @@ QUERIES, ORACLES = R.queries, R.oracles
 
 
 def _root(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orbweave-")
-    return f"{shared.rstrip('/')}/sweep-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/sweep-{uuid.uuid4().hex}"
 
 
 @R.add("st1_sweep", "SELECT site, track_id, count(*) AS n_obs, round(median(length_m), 1) AS length_m FROM obs GROUP BY 1, 2")

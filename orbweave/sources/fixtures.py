@@ -24,7 +24,7 @@ def _ratio(top: Column, bottom: int) -> Column:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One detection per kept event: obs_id, time, site, scene_id, cls, source, lat, lon, sizes, axis, underway, track."""
+    """One detection per event: obs_id, time, site, scene_id, cls, source, lat, lon, sizes, axis, underway, track."""
     u, e = F.col("user_id"), F.col("event_id")
     cls = (
         F.when(F.col("event_type").isin("view", "click"), "vessel")
@@ -36,7 +36,6 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = (40 + (u * 13) % 300).cast("double")
     return (
         read(spark, sf_dir, "events")
-        .where((e % 4 == 0) | (F.dayofmonth("ts") % 10 == 9))
         .select(
             e.alias("obs_id"),
             F.col("ts").alias("time"),
@@ -66,7 +65,7 @@ OBSERVATIONS = """obs AS (SELECT event_id AS obs_id, ts AS time, concat('S', CAS
  CAST((user_id * 37) % 180 AS DOUBLE) AS axis_deg,
  CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 3 = 1 AND event_id % 5 = 0 END AS underway,
  concat('T', CAST(user_id AS VARCHAR)) AS track_id, value
- FROM events WHERE event_id % 4 = 0 OR extract(day FROM ts) % 10 = 9)"""
+ FROM events)"""
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:

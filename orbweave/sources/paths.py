@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def share_package(spark: SparkSession) -> None:
@@ -16,8 +16,23 @@ def share_package(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = f"{root}:{known}" if known else root
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a folder of this machine only where there is but this machine."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="orbweave-")
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; only where none is set, a local one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orbweave-"))
+        context.setCheckpointDir(shared_folder(spark))
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """Write the frame to the checkpoint folder and go on from there."""
+    ensure_checkpoints(frame.sparkSession)
+    return frame.checkpoint(True)
+
