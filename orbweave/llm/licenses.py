@@ -10,7 +10,6 @@ stands where that start puts it.
 from __future__ import annotations
 
 import math
-import string
 from collections import Counter
 from dataclasses import dataclass
 from functools import cache
@@ -164,8 +163,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     words, templates = index()
     pattern = _phrase_pattern()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    # The Kelvin sign is the one letter whose lower case is ASCII; the ohm sign stands for it, in no licence word either.
     # One split of the text serves the word count and the look-up; what follows runs for few rows.
-    rows = rows.withColumn("parts", F.split(F.translate("t", string.ascii_uppercase, string.ascii_lowercase), f"[{_BREAK}]+"))
+    rows = rows.withColumn("parts", F.split(F.lower(F.replace("t", F.lit("\u212a"), F.lit("\u2126"))), f"[{_BREAK}]+"))
     rows = rows.withColumn("own", F.array_intersect("parts", _strings(sorted({*words, *_PHRASE_WORDS}))))
     some_phrase = F.arrays_overlap("own", _strings(sorted(_PHRASE_WORDS)))
     rows = rows.withColumn("places", F.when(some_phrase, F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
