@@ -7,7 +7,7 @@ from collections.abc import Callable
 from orbweave.sources import fixtures
 
 #: Common table expressions by the name that a query's SQL uses.
-TABLES = {"obs": fixtures.OBSERVATIONS, "scenes": fixtures.SCENES, "sites": fixtures.SITES, "ais": fixtures.POSITIONS, "pix": fixtures.PIXELS}
+TABLES = {"obs": fixtures.OBSERVATIONS, "scenes": fixtures.SCENES, "sites": fixtures.SITES, "ais": fixtures.POSITIONS, "pix": fixtures.PIXELS, "tracks": fixtures.TRACKS, "links": fixtures.LINKS, "ev": fixtures.SITE_EVENTS}
 
 
 class Registry:
@@ -22,7 +22,7 @@ class Registry:
             self.queries[name] = f
             if sql is not None:
                 names = [n for n in uses.split() if n]
-                if "scenes" in names and "obs" not in names:
+                if {"scenes", "tracks", "links", "ev"} & set(names) and "obs" not in names:
                     names = ["obs", *names]
                 head = ",\n".join(TABLES[n] for n in names)
                 body = sql.strip()

@@ -154,3 +154,45 @@ PIXELS = "pix AS (SELECT l_orderkey % 64 AS \"row\", l_partkey % 64 AS col, " +
     for side, k in (("b", 0), ("a", 9))
     for i, b in enumerate(_BANDS)
 ) + " FROM lineitem)"
+
+
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per track of the observations, with a status by its number."""
+    last = F.struct("time", "obs_id")
+    t = observations(spark, sf_dir).groupBy("site", "track_id").agg(
+        F.max_by("cls", last).alias("cls"), F.count(F.lit(1)).alias("n_obs"), F.max("length_m").alias("length_m"),
+        F.min("time").alias("first_seen"), F.max("time").alias("last_seen"), F.max_by("lat", last).alias("lat"), F.max_by("lon", last).alias("lon"),
+    )
+    k = F.substring("track_id", 2, 18).cast("long") % 3
+    return t.withColumn("status", F.when(k == 0, "departed").when(k == 1, "lost").otherwise("active"))
+
+
+TRACKS = """tracks AS (SELECT *, CASE CAST(substr(track_id, 2) AS BIGINT) % 3 WHEN 0 THEN 'departed' WHEN 1 THEN 'lost' ELSE 'active' END AS status
+ FROM (SELECT site, track_id, arg_max(cls, (time, obs_id)) AS cls, count(*) AS n_obs, max(length_m) AS length_m, min(time) AS first_seen, max(time) AS last_seen,
+ arg_max(lat, (time, obs_id)) AS lat, arg_max(lon, (time, obs_id)) AS lon FROM obs GROUP BY site, track_id))"""
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen links of all observations, and for every fifth a rival: the track numbered one higher."""
+    o = observations(spark, sf_dir)
+    own = o.select("site", "obs_id", "track_id", _ratio(F.col("obs_id") % 11, 10).alias("prob"), F.lit(1).alias("chosen"))
+    next_ = F.concat(F.lit("T"), (F.substring("track_id", 2, 18).cast("long") + 1).cast("string"))
+    rival = o.where("obs_id % 5 = 0").select("site", "obs_id", next_.alias("track_id"), _ratio(F.col("obs_id") % 7, 10).alias("prob"), F.lit(0).alias("chosen"))
+    return own.unionByName(rival)
+
+
+LINKS = """links AS (SELECT site, obs_id, track_id, CAST(obs_id % 11 AS DOUBLE) / CAST(10 AS DOUBLE) AS prob, 1 AS chosen FROM obs
+ UNION ALL SELECT site, obs_id, concat('T', CAST(CAST(substr(track_id, 2) AS BIGINT) + 1 AS VARCHAR)), CAST(obs_id % 7 AS DOUBLE) / CAST(10 AS DOUBLE), 0 FROM obs WHERE obs_id % 5 = 0)"""
+
+
+def site_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stored event per observation: kind by class, severity from the id, a detail map."""
+    kind = F.when(F.col("cls") == "vessel", "dark_vessel").when(F.col("cls") == "aircraft", "arrival").when(F.col("cls") == "vehicle", "change_new_water").otherwise("loitering")
+    detail = F.create_map(F.lit("lat"), F.col("lat").cast("string"), F.lit("length_m"), F.col("length_m").cast("int").cast("string"), F.lit("z"), (F.col("obs_id") % 9).cast("string"), F.lit("track_ids"), F.col("track_id"))
+    return observations(spark, sf_dir).select(
+        F.col("obs_id").alias("event_id"), "site", "time", kind.alias("kind"), _ratio(F.col("obs_id") % 100, 100).alias("severity"), "lat", "lon", "track_id", detail.alias("detail")
+    )
+
+
+SITE_EVENTS = """ev AS (SELECT obs_id AS event_id, site, time, CASE cls WHEN 'vessel' THEN 'dark_vessel' WHEN 'aircraft' THEN 'arrival' WHEN 'vehicle' THEN 'change_new_water' ELSE 'loitering' END AS kind,
+ CAST(obs_id % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS severity, lat, lon, track_id, length_m FROM obs)"""
