@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Class families; every other class is "other".
@@ -151,3 +151,41 @@ def period_key(time: Column, period: str) -> Column:
     if period not in forms:
         raise ValueError(f"unknown period {period}: one of {', '.join(forms)}")
     return forms[period]
+
+
+def tiff_time(text: Column) -> Column:
+    """``YYYY:MM:DD HH:MM:SS`` in UTC; null if it is anything else."""
+    return F.try_to_timestamp(F.trim(text), F.lit("yyyy:MM:dd HH:mm:ss"))
+
+
+def since(text: Column, now: Column, default_days: int = 7) -> Column:
+    """Start of a period: ``7d``, ``48h`` or ``2w`` before ``now``, a date or time, and without text ``default_days`` before."""
+    clean = F.lower(F.trim(text))
+    n = F.try_to_number(F.regexp_extract(clean, "^([0-9]+)[dhw]$", 1), F.lit("999999")).cast("int")
+    unit = F.substring(clean, -1, 1)
+    hours = n * F.when(unit == "h", 1).when(unit == "d", 24).otherwise(24 * 7)
+    back = lambda h: F.timestamp_micros(F.unix_micros(now) - h.cast("long") * 3_600_000_000)
+    return F.when(text.isNull() | (F.trim(text) == ""), back(F.lit(24 * default_days))).when(n.isNotNull(), back(hours)).otherwise(parsed_time(text))
+
+
+def date_window(start: Column, end: Column, now: Column, days_back: float = 30) -> Column:
+    """Struct (since, until) of a window of dates, the end day included; null where it would be empty."""
+    until = F.coalesce(parsed_time(F.concat(end, F.lit("T23:59:59Z"))), now)
+    begin = F.coalesce(parsed_time(F.concat(start, F.lit("T00:00:00Z"))), F.timestamp_micros(F.unix_micros(until) - F.lit(int(days_back * 86_400_000_000))))
+    return F.when(begin < until, F.struct(begin.alias("since"), until.alias("until")))
+
+
+def family_table(spark) -> DataFrame:
+    """The constants by family as a table."""
+    names = sorted(STAY)
+    rows = [(f, STAY[f], TOP_SPEED[f], PERSISTENCE[f], LOST_AFTER[f], LENGTH_SPREAD[f]) for f in names]
+    return spark.createDataFrame(rows, "family string, stay double, top_speed double, persistence_days double, lost_after_days double, length_spread double")
+
+
+def knots(speed_ms: Column) -> Column:
+    return speed_ms * F.lit(KNOTS)
+
+
+def pass_scales(gsd: Column, fine: float = 0.3, limit: float = 0.7, coarse: float = 0.75) -> Column:
+    """Scales at which objects are looked for: at high resolution a fine one for vehicles and a coarse one, else the image's own."""
+    return F.when(gsd <= limit, F.array(F.lit(fine), F.greatest(F.lit(coarse), gsd))).otherwise(F.array(gsd))

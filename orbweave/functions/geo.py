@@ -138,3 +138,41 @@ def box_around(lat: float, lon: float, radius_km: float) -> tuple[float, float,
     dy = radius_km * 1000 / M_PER_LAT
     dx = radius_km * 1000 / (M_PER_LON * max(math.cos(math.radians(lat)), 0.01))
     return lon - dx, lat - dy, lon + dx, lat + dy
+
+
+def box_of(lat: Column, lon: Column, radius_km: Column) -> tuple[Column, Column, Column, Column]:
+    """``box_around`` as columns."""
+    dy = radius_km * F.lit(1000.0) / F.lit(M_PER_LAT)
+    dx = radius_km * F.lit(1000.0) / (F.lit(M_PER_LON) * F.greatest(F.cos(F.radians(lat)), F.lit(0.01)))
+    return lon - dx, lat - dy, lon + dx, lat + dy
+
+
+def area_of(text: Column, radius_km: float = 10.0) -> Column:
+    """Box struct (w, s, e, n) of the text ``lat,lon`` or ``w,s,e,n``; null for anything else and for what is not on the globe."""
+    parts = F.transform(F.split(F.trim(text), "[, ]+"), lambda x: F.when(F.rlike(x, F.lit("^-?[0-9.]+$")), F.try_to_number(x, F.lit("S9999D999999")).cast("double")))
+    v = lambda i: F.get(parts, F.lit(i))
+    known = ~F.exists(parts, lambda x: x.isNull())
+    point = known & (F.size(parts) == 2) & v(0).between(-90, 90) & v(1).between(-180, 180)
+    box = known & (F.size(parts) == 4) & (v(0) >= -180) & (v(0) < v(2)) & (v(2) <= 180) & (v(1) >= -90) & (v(1) < v(3)) & (v(3) <= 90)
+    named = lambda b: F.struct(*[c.alias(n) for c, n in zip(b, "wsen", strict=True)])
+    return F.when(point, named(box_of(v(0), v(1), F.lit(float(radius_km))))).when(box, named((v(0), v(1), v(2), v(3))))
+
+
+def too_large(w: Column, s: Column, e: Column, n: Column, max_km: float) -> Column:
+    """Whether an area is more than twice ``max_km`` (and one more) across."""
+    return F.greatest(*size_km(w, s, e, n)) > F.lit(2 * max_km + 1)
+
+
+# Origin and extent of the tile grid, in metres of a UTM zone.
+GRID_X0, GRID_Y0, GRID_EXTENT = -9_740_000.0, 10_240_000.0, 20_480_000.0
+
+
+def quadkey_box(quadkey: Column) -> tuple[Column, Column, Column, Column]:
+    """Box in UTM metres of a quadkey: of each digit the low bit goes to the column, the next to the row."""
+    digits = F.transform(F.filter(F.split(quadkey, ""), lambda c: c != ""), lambda c: c.cast("long"))
+    zero = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+    step = lambda a, d: F.struct((a["x"] * 2 + d.bitwiseAND(1)).alias("x"), (a["y"] * 2 + F.shiftright(d, 1).bitwiseAND(1)).alias("y"))
+    tile = F.aggregate(digits, zero, step)
+    size = F.lit(GRID_EXTENT) / F.pow(F.lit(2.0), F.char_length(quadkey))
+    x, y = F.lit(GRID_X0) + tile["x"] * size, F.lit(GRID_Y0) - tile["y"] * size
+    return x, y - size, x + size, y

@@ -111,14 +111,15 @@ def test_regions_join_across_a_snake(spark):
     assert sorted(r["count"] for r in found) == [1, 16]
 
 
-def test_areas_and_text():
+def test_areas_and_text(spark):
     assert geo.parse_area("somewhere") is None
     w, s, e, n = geo.parse_area("25.0, 56.0")
     assert w < 56 < e and s < 25 < n
     with pytest.raises(ValueError):
         geo.parse_area("95,10")
-    assert text.place_of("ships near Jebel Ali today") == "Jebel Ali"
-    assert text.place_of("what is at 25.1,56.2?") == "25.1,56.2"
+    asked = ["ships near Jebel Ali today", "what is at 25.1,56.2?", 'show "the old port"', "any change?", None]
+    rows = spark.createDataFrame([(q,) for q in asked], "q string").select(text.place_of(F.col("q")).alias("p")).collect()
+    assert [r["p"] for r in rows] == ["Jebel Ali", "25.1,56.2", "the old port", None, None]
 
 
 def test_probe_separates():

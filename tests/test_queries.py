@@ -8,7 +8,7 @@ import pytest
 from orbweave.plans import registry
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "nation events lineitem embeddings conversations pages documents".split()
+TABLES = "nation events orders lineitem embeddings conversations pages documents".split()
 
 
 @pytest.fixture(scope="module")
