@@ -237,7 +237,7 @@ def sc34(spark, d):
     k = (F.col("n_nationkey") + 40000).cast("string")
     lines = F.array(F.concat(F.lit("SAT "), k), F.concat(F.lit("1 "), k, F.lit("U old")), F.lit(""), F.concat(F.lit("1 "), k, F.lit("U new  ")), F.concat(F.when(F.col("n_nationkey") % 4 == 3, F.lit("3 ")).otherwise(F.lit("2 ")), k, F.lit(" second")))
     n.select(F.array_join(lines, "\n").alias("value")).write.text(place)
-    files = spark.read.text(place, wholetext=True).select(F.monotonically_increasing_id().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    files = spark.read.text(place, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     return catalogs.element_sets(files).select(F.col("norad").cast("int").alias("norad"), "line1", "line2")
 
 
