@@ -27,6 +27,8 @@ from orbweave.llm.sortedgroups import whole_groups
 
 #: A perfect difference set modulo 31: every remainder is the difference of two members.
 PERFECT_31 = (1, 5, 11, 24, 25, 27)
+#: Bytes of text that one group of documents holds at most, but for hash skew and a single longer text.
+GROUP_BYTES = 64 << 20
 #: Rows that hold a document id several times with different texts are told apart by the upper bits of a position.
 _VARIANT = 40
 
@@ -305,13 +307,15 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     adds the text and, as the struct ``rest``, the whole row. Runs are judged on the input. Equality is that of 96-bit fingerprints of the word sequence.
 
     The text is shuffled once by document bucket (both later scans of it reuse the exchange);
-    anchors, about a fifth of the words, move as packed entries.
+    anchors, about a fifth of the words, move as packed entries. The number of buckets follows from the
+    measured bytes, so a group's texts and entries stay near ``GROUP_BYTES`` at every size.
     """
     spark = docs.sparkSession
     ready(spark)
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     period = period_for(window)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
     others = [F.col(c) for c in docs.columns if c != text_col]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*others).alias("rest")] if carry else []))
     by_bucket = lambda frame: frame.repartition("bucket").sortWithinPartitions("bucket", "kind")
