@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions.domain import normalised_difference
+from orbweave.operators.joins import range_join
 from orbweave.operators.medians import medians
 from orbweave.operators.windows import MAD
 from orbweave.sources.paths import cut
@@ -205,21 +205,23 @@ def density_grid(points: DataFrame, box: tuple[float, float, float, float], band
 
 
 def suppress(boxes: DataFrame, by: list[str], reach_m: float) -> DataFrame:
-    """Greedy suppression: going down in confidence, a detection within reach of a kept one goes.
+    """Greedy suppression: going down in confidence (ties by id), a detection within reach of a kept one goes.
 
-    One task holds a group, which is one class in one scene.
+    In rounds: who has no better undecided neighbour stays, its neighbours go. That gives the greedy
+    result, and neighbours come from a grid join, so no task holds a scene.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "obs_id"], ascending=[False, True])
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        kept: list[int] = []
-        for i in range(len(pdf)):
-            if not kept or (np.hypot(x[kept] - x[i], y[kept] - y[i]) > reach_m).all():
-                kept.append(i)
-        return pdf.iloc[kept]
-
-    return boxes.groupBy(*by).applyInPandas(run, boxes.schema)
+    near = range_join(boxes, boxes, by, "x", "y", reach_m, (F.col("l_confidence") < F.col("r_confidence")) | ((F.col("l_confidence") == F.col("r_confidence")) & (F.col("l_obs_id") > F.col("r_obs_id"))))
+    edges = cut(near.select(F.col("l_obs_id").alias("worse"), F.col("r_obs_id").alias("better")).distinct())
+    undecided, kept = cut(boxes.select("obs_id")), None
+    while True:
+        best = cut(undecided.join(edges.select(F.col("worse").alias("obs_id")), "obs_id", "left_anti"))
+        kept = best if kept is None else kept.unionByName(best)
+        gone = edges.join(best.select(F.col("obs_id").alias("better")), "better", "left_semi").select(F.col("worse").alias("obs_id")).distinct()
+        undecided = cut(undecided.join(best, "obs_id", "left_anti").join(gone, "obs_id", "left_anti"))
+        if not undecided.limit(1).count():
+            return boxes.join(kept, "obs_id", "left_semi")
+        alive = undecided.select(F.col("obs_id"))
+        edges = cut(edges.join(alive.withColumnRenamed("obs_id", "worse"), "worse", "left_semi").join(alive.withColumnRenamed("obs_id", "better"), "better", "left_semi"))
 
 
 def parallax(east: Column, north: Column, axis: Column, track: Column, per_m: float) -> Column:

@@ -109,16 +109,31 @@ def pf11(spark, d):
     return b.select("l_orderkey", "l_linenumber", raster.hull_like().alias("keep"))
 
 
-@R.add("r33_density_grid")
+def _density_sql() -> str:
+    import math
+
+    w, s, e, n = fx.SITE_BOX
+    kx = math.cos(math.radians((s + n) / 2)) * 111320.0
+    nx, ny = int((e - w) * kx / 300.0), int((n - s) * 110540.0 / 300.0)
+    cx, cy = (e - w) * kx / nx, (n - s) * 110540.0 / ny
+    taps = lambda sigma: f"(SELECT o, exp(-0.5::DOUBLE * pow(o / {sigma!r}::DOUBLE, 2)) / sum(exp(-0.5::DOUBLE * pow(o / {sigma!r}::DOUBLE, 2))) OVER () AS x FROM range(-{int(4 * sigma + 0.5)}, {int(4 * sigma + 0.5) + 1}) t(o))"
+    images = lambda c, size: f"unnest([{c}, -{c} - 1, {2 * size - 1} - {c}])"
+    return f"""WITH b AS (SELECT CAST(floor(({n}::DOUBLE - lat) / ({n}::DOUBLE - {s}::DOUBLE) * {ny}) AS BIGINT) AS i, CAST(floor((lon - {w}::DOUBLE) / ({e}::DOUBLE - {w}::DOUBLE) * {nx}) AS BIGINT) AS j FROM obs WHERE cls = 'vessel'),
+g AS (SELECT i, j, CAST(count(*) AS DOUBLE) AS v FROM b WHERE i BETWEEN 0 AND {ny - 1} AND j BETWEEN 0 AND {nx - 1} GROUP BY 1, 2),
+p AS (SELECT {images("i", ny)} AS p, j, v FROM g), y AS (SELECT p + o AS i, j, sum(v * x) AS v FROM p, {taps(300.0 / cy)} GROUP BY 1, 2 HAVING p + o BETWEEN 0 AND {ny - 1}),
+q AS (SELECT i, {images("j", nx)} AS p, v FROM y), z AS (SELECT i, p + o AS j, sum(v * x) AS v FROM q, {taps(300.0 / cx)} GROUP BY 1, 2 HAVING p + o BETWEEN 0 AND {nx - 1})
+SELECT i, j, round(v / 150 / ({cx!r}::DOUBLE * {cy!r}::DOUBLE / 1e6), 4) AS density FROM z"""
+
+
+@R.add("r33_density_grid", _density_sql())
 def r33(spark, d):
-    """Smoothed density; the kernel's floats are summed in another order by every engine, so rows only."""
     o = fx.observations(spark, d).where("cls = 'vessel'")
     return raster.density_grid(o, fx.SITE_BOX, 300.0, 150).select("i", "j", F.round("per_km2_per_look", 4).alias("density"))
 
 
 @R.add("j16_suppressed")
 def j16(spark, d):
-    """Greedy suppression depends on the order of confidence; rows only."""
+    """Greedy suppression; a test holds it against the plain loop."""
     from orbweave.functions import geo
 
     o = fx.observations(spark, d).where("cls = 'vessel'")
@@ -126,9 +141,22 @@ def j16(spark, d):
     return raster.suppress(b, ["scene_id", "cls"], 500.0).select("obs_id", "scene_id", "cls")
 
 
-@R.add("g1_next_passes")
-def g1(spark, d):
-    """Overpasses of a made ephemeris on a time grid; trigonometry of long series, so rows only."""
+_PASSES = """s(sat, family, phase) AS (VALUES ('A', 'sentinel-2', 0.0::DOUBLE), ('B', 'sentinel-1', 40.0::DOUBLE), ('C', 'landsat', 95.0::DOUBLE)),
+a AS (SELECT sat, family, phase, k * 20.0::DOUBLE AS t, radians(k * 20.0::DOUBLE / 5900 * 360 + phase) AS arc FROM range(17280) r(k), s),
+e AS (SELECT sat, family, t + 1.7e9::DOUBLE AS t, degrees(asin(sin(arc) * 0.99::DOUBLE)) AS lat, fmod(fmod(degrees(atan2(sin(arc) * -0.14::DOUBLE, cos(arc))) - t / 240 + phase + 540, 360) + 360, 360) - 180 AS lon, CASE WHEN cos(arc) < 0 THEN 192.0::DOUBLE ELSE 348.0::DOUBLE END AS heading FROM a),
+d AS (SELECT *, 2 * 6371.0::DOUBLE * asin(sqrt(least(pow(sin(radians(26.1::DOUBLE - lat) / 2), 2) + cos(radians(lat)) * cos(radians(26.1::DOUBLE)) * pow(sin(radians(56.1::DOUBLE - lon) / 2), 2), 1))) AS km FROM e),
+w AS (SELECT *, lag(km) OVER (PARTITION BY sat ORDER BY t) AS p, lead(km) OVER (PARTITION BY sat ORDER BY t) AS n FROM d),
+m AS (SELECT *, fmod(fmod(fmod(degrees(atan2((56.1::DOUBLE - lon) * cos(radians((lat + 26.1::DOUBLE) / 2)) * 111320.0::DOUBLE, (26.1::DOUBLE - lat) * 110574.0::DOUBLE)) + 360, 360) - heading + 360, 360) + 360, 360) AS turn, cos(radians(heading)) < 0 AS down FROM w WHERE km < p AND km <= n AND km < 800),
+u AS (SELECT *, (t - 946728000.0::DOUBLE) / 86400 AS d FROM m), g AS (SELECT *, radians(fmod(357.529::DOUBLE + 0.98560028::DOUBLE * d, 360)) AS g, 280.459::DOUBLE + 0.98564736::DOUBLE * d AS q FROM u),
+l AS (SELECT *, radians(q + 1.915::DOUBLE * sin(g) + 0.020::DOUBLE * sin(g * 2)) AS ecl, radians(23.439::DOUBLE - 0.00000036::DOUBLE * d) AS tilt FROM g),
+h AS (SELECT *, asin(sin(tilt) * sin(ecl)) AS dec, radians(fmod(280.46061837::DOUBLE + 360.98564736629::DOUBLE * d, 360) + 56.1::DOUBLE) - atan2(cos(tilt) * sin(ecl), cos(ecl)) AS hour FROM l),
+x AS (SELECT *, degrees(asin(sin(radians(26.1::DOUBLE)) * sin(dec) + cos(radians(26.1::DOUBLE)) * cos(dec) * cos(hour))) AS sun, CASE WHEN turn < 180 THEN 'right' ELSE 'left' END AS side FROM h),
+f AS (SELECT sat, family, t, round(km, 1) AS distance_km, side, CASE WHEN down THEN 'descending' ELSE 'ascending' END AS direction, round(sun, 1) AS sun,
+ CASE WHEN family = 'sentinel-1' THEN side = 'right' AND km BETWEEN 100 AND 500 ELSE km <= CASE family WHEN 'sentinel-2' THEN 145 ELSE 92.5 END AND down AND sun > 10 END AS likely FROM x)"""
+
+
+def _passes(spark):
+    """Overpasses of a made ephemeris on a time grid."""
     t = F.col("id") * 20.0
     sats = spark.createDataFrame([("A", "sentinel-2", 0.0), ("B", "sentinel-1", 40.0), ("C", "landsat", 95.0)], "sat string, family string, phase double")
     arc = F.radians(t / 5900 * 360 + F.col("phase"))
@@ -140,9 +168,25 @@ def g1(spark, d):
     return orbits.next_passes(eph, 26.1, 56.1)
 
 
-@R.add("r30_parallax")
+@R.add("g1_next_passes", f"WITH {_PASSES} SELECT * FROM f ORDER BY t", "")
+def g1(spark, d):
+    return _passes(spark).orderBy("t", "sat")
+
+
+@R.add("g2_next_looks", f"WITH {_PASSES} SELECT family, arg_min(sat, (t, sat)) AS sat, min(t) AS t FROM f WHERE likely GROUP BY family", "")
+def g2(spark, d):
+    return orbits.next_looks(_passes(spark)).select("family", "sat", "t")
+
+
+_SOLVE = """o AS (SELECT obs_id, value * 3 AS e, value - 40 AS n, axis_deg, sin(radians(193.0::DOUBLE)) AS te, cos(radians(193.0::DOUBLE)) AS tn FROM obs WHERE cls = 'aircraft'),
+c AS (SELECT *, unnest([axis_deg, axis_deg + 180]) AS h FROM o), d AS (SELECT *, sin(radians(h)) AS he, cos(radians(h)) AS hn FROM c), s AS (SELECT *, he * -tn + te * hn AS det FROM d),
+g AS (SELECT obs_id, (e * -tn + te * n) / det AS speed, (he * n - hn * e) / det AS p, fmod(h, 360) AS h FROM s WHERE abs(det) >= 0.25),
+b AS (SELECT obs_id, arg_min(struct_pack(speed := speed, h := h, p := greatest(p, 0)), (greatest(p, 0), speed, h)) AS r FROM g WHERE speed > 0 AND p > -5 * 0.0095::DOUBLE * 1000 GROUP BY obs_id)"""
+
+
+@R.add("r30_parallax", f"WITH {_SOLVE} SELECT o.obs_id, round(r.speed, 2) AS speed_ms, r.h AS heading_deg, round(r.p / 0.0095::DOUBLE, 0) AS altitude_m FROM o LEFT JOIN b ON o.obs_id = b.obs_id")
 def r30(spark, d):
-    """Speed, heading and altitude from apparent velocity; a struct per row, rows only."""
+    """Speed, heading and altitude from apparent velocity and axis."""
     o = fx.observations(spark, d).where("cls = 'aircraft'")
     solved = raster.parallax(F.col("value") * 3, F.col("value") - 40, F.col("axis_deg"), F.lit(193.0), 0.0095)
     return o.select("obs_id", solved.alias("s")).select("obs_id", F.round("s.speed_ms", 2).alias("speed_ms"), "s.heading_deg", F.round("s.altitude_m", 0).alias("altitude_m"))

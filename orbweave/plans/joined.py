@@ -134,12 +134,6 @@ def e1(spark, d):
     return events.rollup(seen.join(base, ["site", "cls"]).where("time > base"), "arrival")
 
 
-@R.add("x1_match_reports")
-def x1(spark, d):
-    """Order of equal weights and dead reckoning chains make this a rows-only query; its parts have SQL."""
-    return ais.match(fx.observations(spark, d), fx.positions(spark, d))
-
-
 @R.add("t1_likelihood_pairs", """WITH q AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY time, obs_id) AS k, CASE cls WHEN 'storage-tank' THEN 'tank' ELSE cls END AS family, epoch_us(time) / 1e6 AS t, 15 + CAST(0.05 AS DOUBLE) * length_m AS sigma, CASE WHEN source = 'sentinel-1' THEN greatest(40.0::DOUBLE, CAST(0.25 AS DOUBLE) * length_m) ELSE greatest(20.0::DOUBLE, CAST(0.1 AS DOUBLE) * length_m) END AS ls FROM obs),
 p AS (SELECT a.obs_id AS a, b.obs_id AS b, b.t - a.t AS dt, sqrt(a.sigma * a.sigma + b.sigma * b.sigma) AS s, sqrt(pow((b.lon - a.lon) * 111320.0::DOUBLE * cos(radians((a.lat + b.lat) / 2)), 2) + pow((b.lat - a.lat) * 110574.0::DOUBLE, 2)) AS d,
  CASE WHEN coalesce(a.underway, false) OR coalesce(b.underway, false) THEN 0.1::DOUBLE ELSE CAST(map {'vessel': 0.4, 'aircraft': 0.7, 'vehicle': 0.4, 'tank': 0.99}[a.family] AS DOUBLE) END AS ps, CAST(map {'vessel': 18.0, 'aircraft': 300.0, 'vehicle': 40.0, 'tank': 0.0}[a.family] AS DOUBLE) AS vmax,
