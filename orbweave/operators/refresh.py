@@ -33,7 +33,7 @@ def refresh_sites(obs: DataFrame, scenes: DataFrame, reports: DataFrame | None,
         events.track_events(tracks),
         events.task_groups(local, scenes),
         events.count_anomalies(seen.join(scenes.where(events.clear_look(F.col("clear"))).select("scene_id"), "scene_id", "left_semi")),
-        events.unusual_locations(seen, scenes),
+        events.unusual_locations(seen, scenes).withColumn("kind", F.lit("unusual_location")),
         events.sts_candidates(seen, scenes).withColumn("kind", F.lit("sts_candidate")).join(scenes.select("scene_id", "site"), "scene_id"),
         events.fat_hulls(seen).withColumn("kind", F.lit("sts_candidate")).join(scenes.select("scene_id", "site"), "scene_id"),
     ]

@@ -36,3 +36,23 @@ def st1(spark, d):
 def st6(spark, d):
     o = fx.observations(spark, d).withColumn("time", F.col("time").cast("timestamp"))
     return sweep.windowed_counts(o, "time", ["source"], "1 day").withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
+@R.add("st4_new_events", "SELECT event_id, kind FROM ev WHERE time >= TIMESTAMP '2024-01-20' AND severity >= 0.5", "ev")
+def st4(spark, d):
+    """What a sweep tells after a batch: events that were not there before it."""
+    e = fx.site_events(spark, d).where("severity >= 0.5")
+    return sweep.new_events(e.where("time < timestamp_ntz '2024-01-20'"), e).select("event_id", "kind")
+
+
+@R.add("st5_streamed_tracks")
+def st5(spark, d):
+    """The tracker on a stream, a day's scenes a batch; its links are those of the batch tracker, which a test holds."""
+    root = _root(spark)
+    o = fx.observations(spark, d).where("cls = 'aircraft'").withColumn("day", F.date_format("time", "yyyy-MM-dd"))
+    for i, day in enumerate(sorted(r["day"] for r in o.select("day").distinct().collect())):
+        o.where(F.col("day") == day).drop("day").coalesce(1).write.parquet(f"{root}/in/{i:04d}")
+    stream = spark.readStream.schema(o.drop("day").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{root}/in")
+    told = sweep.stream_tracks(stream, 4e8).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+    told.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").where("what = 'link'").select("site", "obs_id", "track_id", "prob", "chosen")

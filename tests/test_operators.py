@@ -127,3 +127,95 @@ def test_probe_separates():
     yes, no = rng.standard_normal((20, 4)) + 2, rng.standard_normal((60, 4)) - 2
     w, b = vectors.probe(yes, no)
     assert ((yes @ w + b) > 0).all() and ((no @ w + b) < 0).all()
+
+
+def test_streamed_tracks_are_those_of_the_batch(spark):
+    from orbweave.plans import registry
+    from orbweave.sources import fixtures as fx
+
+    data = "/root/testdata/sf0.001"
+    told = sorted(tuple(r) for r in registry.QUERIES["st5_streamed_tracks"](spark, data).collect())
+    batch = tracking.build_tracks(fx.observations(spark, data).where("cls = 'aircraft'"), 4e8)
+    assert told == sorted(tuple(r) for r in batch.select("site", "obs_id", "track_id", "prob", "chosen").collect())
+
+
+def test_sweep_survives_a_crash_between_its_writes(spark, tmp_path):
+    from orbweave.streaming import sweep
+
+    root = str(tmp_path / "s")
+    rows = spark.createDataFrame([sight(1, 0), sight(2, 1)], OBS)
+    count = lambda h: h.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+
+    def broken(history):
+        raise RuntimeError("lost between the writes")
+
+    with pytest.raises(RuntimeError):
+        sweep.refresh(spark, root, broken)(rows, 0)
+    sweep.refresh(spark, root, count)(rows, 0)
+    sweep.refresh(spark, root, count)(rows, 0)
+    assert [tuple(r) for r in spark.read.parquet(f"{root}/derived").select("site", "n").collect()] == [("X", 2)]
+    assert spark.read.parquet(f"{root}/observations").count() == 2
+    (tmp_path / "t" / "observations").mkdir(parents=True)
+    (tmp_path / "t" / "observations" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):  # an unreadable store is no empty one
+        sweep.refresh(spark, str(tmp_path / "t"), count)(rows, 0)
+
+
+def test_suppression_is_the_greedy_one(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "s", float(rng.integers(0, 9)), float(rng.uniform(0, 40)), float(rng.uniform(0, 40))) for i in range(150)]
+    kept: list = []
+    for r in sorted(rows, key=lambda r: (-r[2], r[0])):
+        if all(np.hypot(r[3] - k[3], r[4] - k[4]) > 6 for k in kept):
+            kept.append(r)
+    frame = spark.createDataFrame(rows, "obs_id long, scene_id string, confidence double, x double, y double")
+    assert sorted(r["obs_id"] for r in raster.suppress(frame, ["scene_id"], 6.0).collect()) == sorted(k[0] for k in kept)
+
+
+def test_medians_are_exact(spark):
+    from orbweave.operators import medians
+
+    rng = np.random.default_rng(1)
+    values = [float(v) for v in rng.normal(size=501)] + [0.5] * 300
+    frame = spark.createDataFrame([(v, None if i % 3 else v, None) for i, v in enumerate(values)], "a double, b double, c double")
+    was, medians.SORTED = medians.SORTED, 40
+    try:
+        found = medians.medians(frame, {c: F.col(c) for c in "abc"})
+    finally:
+        medians.SORTED = was
+    assert found == {"a": (float(np.median(values)), 801), "b": (float(np.median(values[::3])), 267), "c": (None, 0)}
+
+
+def test_prefix_z_against_numpy(spark):
+    from orbweave.operators.windows import prefix_robust_z
+
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 30, 60).tolist()
+    frame = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "s string, i long, n long")
+    for r in prefix_robust_z(frame, ["s"], ["i"], "n").collect():
+        h = np.array(values[: r["i"]], float)
+        med = np.median(h)
+        assert r["median"] == med and r["z"] == pytest.approx((r["n"] - med) / (np.median(np.abs(h - med)) * 1.4826 + np.sqrt(max(med, 1))))
+
+
+def test_site_refresh_and_guarded_runs(spark, tmp_path):
+    from orbweave.operators import refresh
+
+    rows = [sight(1, 0), sight(2, 2, north=8), sight(3, 4, north=3000, length=260.0), sight(4, 6, north=3000, length=260.0)]
+    obs = spark.createDataFrame(rows, OBS)
+    scenes = obs.select("scene_id", "site", "time", F.lit(1.0).alias("clear"))
+    out = refresh.refresh_sites(obs, scenes, None, 4e8)
+    assert out["links"].where("chosen = 1").count() == 4 and out["tracks"].count() >= 2
+    assert {r["kind"] for r in out["events"].collect()} >= {"arrival"}
+    again = refresh.refresh_sites(obs, scenes, None, 4e8)
+    assert sorted(r["event_id"] for r in out["events"].collect()) == sorted(r["event_id"] for r in again["events"].collect())
+    root = str(tmp_path / "runs")
+    wanted = scenes.select("site", "scene_id", F.lit("ships").alias("detector"))
+    detect = lambda todo: obs.join(todo.select("scene_id"), "scene_id", "left_semi")
+    assert refresh.process(spark, root, wanted.where("scene_id = 's0'"), detect, error="down").count() == 1
+    assert refresh.process(spark, root, wanted, detect).count() == 4  # failed runs are tried again
+    assert refresh.process(spark, root, wanted, detect).count() == 0
+    sites = spark.createDataFrame([("old", "port", 0.0, 0.0, 1.0, 1.0)], "site string, kind string, w double, s double, e double, n double")
+    preset = spark.createDataFrame([("old", "airbase", 25.0, 56.0, 10.0), ("new", "port", 26.0, 57.0, 5.0)], "site string, kind string, lat double, lon double, radius_km double")
+    found = {r["site"]: r for r in refresh.add_preset(sites, preset).collect()}
+    assert set(found) == {"old", "new"} and found["old"]["kind"] == "airbase" and found["new"]["w"] < 57.0 < found["new"]["e"]
