@@ -121,34 +121,30 @@ def otsu(values: DataFrame, column: str, bins: int = 256) -> DataFrame:
 
 
 def regions(cells: DataFrame, by: list[str], diagonal: bool = False) -> DataFrame:
-    """Connected regions of the cells: ``label`` is the smallest row-major number of the region's cells.
+    """Connected regions of the cells: ``label`` is the smallest row-major cell of the region.
 
-    Edges between neighbouring cells come from shifted equi-joins and meet in star contractions, so an
-    image need not fit one task. ``by`` separates images. Cells carry ``row`` and ``col``.
+    Edges between neighbouring cells are found once by equi-joins on shifted cells; rounds then spread minimal
+    labels over them and follow each label to what its own cell has become, so an image need not
+    fit one task. ``by`` separates images. Cells carry ``row`` and ``col``.
     """
-    key = F.xxhash64(*by) if by else F.lit(0).cast("long")
-    place = F.struct(*[F.col(c) for c in (*by, "row", "col")])
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
-    ids = cells.select(*by, "row", "col").distinct().withColumn("label", place)
-    labels = ids
+    ids = cut(cells.select(*by, "row", "col").distinct())
+    shifted = ids.select(*by, F.col("row").alias("_r"), F.col("col").alias("_c"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])).alias("_d"))
+    half = shifted.select(*by, "_r", "_c", (F.col("_r") + F.col("_d.i")).alias("row"), (F.col("_c") + F.col("_d.j")).alias("col")).join(ids, [*by, "row", "col"])
+    back = half.select(*by, F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("_r").alias("row"), F.col("_c").alias("col"))
+    edges = cut(half.select(*by, "_r", "_c", "row", "col").unionByName(back))
+    labels = ids.withColumn("label", F.struct("row", "col"))
     while True:
-        near = labels.select(*by, "row", "col", "label")
-        around = near
-        for dr, dc in steps:
-            for sign in (1, -1):
-                around = around.unionByName(near.select(*by, (F.col("row") + sign * dr).alias("row"), (F.col("col") + sign * dc).alias("col"), "label"))
-        least = around.groupBy(*by, "row", "col").agg(F.min("label").alias("low"))
-        step = labels.join(least, [*by, "row", "col"]).select(*by, "row", "col", "label", F.least("label", "low").alias("low"))
-        # Follow each label to what its own cell has become: halves the distance to the root.
-        own = step.select(F.col("label").alias("_old"), *[F.col(c).alias(f"_{c}") for c in (*by, "row", "col")], F.col("low").alias("_jump"))
-        target = own.select(F.struct(*[F.col(f"_{c}").alias(c) for c in (*by, "row", "col")]).alias("_cell"), "_jump")
-        moved = step.join(target, F.col("low") == F.col("_cell"), "left").select(*by, "row", "col", "label", F.least("low", "_jump").alias("next"))
-        moved = cut(moved)
+        sent = labels.select(*by, F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("label").alias("_low"))
+        least = edges.join(sent, [*by, "_r", "_c"]).groupBy(*by, "row", "col").agg(F.min("_low").alias("_low"))
+        step = cut(labels.join(least, [*by, "row", "col"], "left").select(*by, "row", "col", "label", F.least("label", "_low").alias("low")))
+        jump = step.select(*by, F.struct("row", "col").alias("low"), F.col("low").alias("_jump"))
+        moved = cut(step.join(jump, [*by, "low"], "left").select(*by, "row", "col", "label", F.least("low", "_jump").alias("next")))
         changed = moved.where(F.col("next") != F.col("label")).limit(1).count()
         labels = moved.select(*by, "row", "col", F.col("next").alias("label"))
         if not changed:
             break
-    return labels.select(*by, "row", "col", key.alias("_k"), F.concat_ws("/", F.col("label.row").cast("string"), F.col("label.col").cast("string")).alias("label")).drop("_k")
+    return labels.select(*by, "row", "col", F.concat_ws("/", F.col("label.row").cast("string"), F.col("label.col").cast("string")).alias("label"))
 
 
 def shape(cells: DataFrame, by: list[str], res: float) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,20 @@ def ensure_checkpoints(spark: SparkSession) -> None:
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Write the frame to the checkpoint folder and go on from there."""
-    ensure_checkpoints(frame.sparkSession)
-    return frame.checkpoint(True)
+    """Write the frame as a table in the shared folder and go on from there.
 
+    A table read back has the size of its files. A checkpointed frame would keep the estimate of its plan, in which
+    every join multiplies; in loops that cut each round such estimates grow to numbers of thousands of digits.
+    """
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if context not in _places:
+        _places.clear()
+        _places[context] = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    place = f"{_places[context]}/{uuid.uuid4().hex}"
+    frame.write.parquet(place)
+    return spark.read.schema(frame.schema).parquet(place)
+
+
+#: The folder of the running session's cut frames.
+_places: dict = {}
