@@ -52,10 +52,10 @@ def v1(spark, d):
 
 @R.add("v3_probe")
 def v3(spark, d):
-    """Logistic probe trained on few labelled vectors; rows only."""
+    """Logistic probe for label 3, trained on every label's mean unit vector over the whole table: one row a label; rows only."""
     t = _table(spark, d)
-    rows = t.orderBy("vec_id").limit(400).collect()
-    yes, no = (np.array([r["embedding"] for r in rows if (r["label"] == 3) == side]) for side in (True, False))
+    means = t.select("label", vectors.unit(F.col("embedding")).alias("u")).groupBy("label").agg(*[F.avg(F.get("u", F.lit(i))).alias(f"m{i}") for i in range(64)]).orderBy("label").collect()
+    yes, no = (np.array([list(r)[1:] for r in means if (r["label"] == 3) == side]) for side in (True, False))
     w, b = vectors.probe(yes, no)
     return vectors.probed(t, "embedding", w, b).select("vec_id", F.round("score", 4).alias("score"))
 
