@@ -388,3 +388,47 @@ def test_pipeline_keeps_columns(spark, tmp_path, docs):
             assert at.columns == before.columns
     assert at.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
     assert json.dumps(at.columns)
+
+
+def test_pipeline_stages_do_their_work(spark, docs):
+    """Each stage judged on its own input by plain sets, counts and the tokenizer."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stages = dict(pipeline.STAGES)
+    at = docs.select("doc_id", "text", "lang", "source", "n_chars").dropDuplicates(["doc_id", "text"])
+    step = lambda name, rows: [r.asDict() for r in stages[name](spark, rows, "").collect()]
+    frame = lambda rows: spark.createDataFrame([tuple(r[c] for c in at.columns) for r in rows], at.schema)
+    named = step("language", at)
+    assert all(r["lang"] and any(c.isalpha() for c in r["text"]) for r in named)
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
+    once = step("near_dedup", frame(named))
+    sets = [(r["doc_id"], shingles(r["text"])) for r in once]
+    assert all(100 * len(a & b) < 80 * len(a | b) for i, (_, a) in enumerate(sets) for _, b in sets[:i])
+    left = {r["doc_id"] for r in once}
+    for r in named:  # what went is near something that stayed with a smaller id
+        if r["doc_id"] not in left:
+            own = shingles(r["text"])
+            assert any(i < r["doc_id"] and 100 * len(own & s) >= 80 * len(own | s) for i, s in sets)
+    cut = step("substring_dedup", frame(once))
+    firsts: dict = {}
+    for r in sorted(once, key=lambda r: r["doc_id"]):
+        w = r["text"].split()
+        runs = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+        gone = {i + k for i, x in enumerate(runs) if firsts.get(x, r["doc_id"]) < r["doc_id"] for k in range(50)}
+        for x in runs:
+            firsts.setdefault(x, r["doc_id"])
+        found = [c for c in cut if c["doc_id"] == r["doc_id"]]
+        kept = [x for i, x in enumerate(w) if i not in gone]
+        assert [c["text"].split() for c in found] == ([kept] if kept else [])
+    mixed = step("mixture", frame(cut))
+    sizes: dict = {}
+    for r in cut:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len(r["text"].split())
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    wanted = mixture.targets([sizes[s] for s in names], [1 + i % 3 for i in range(len(names))])
+    for s, t in zip(names, wanted):
+        assert abs(sum(len(r["text"].split()) for r in mixed if r["source"] == s) - t) <= 0.5
+    packed = step("packing", frame(mixed))
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_file())
+    assert sum(p["length"] for p in packed) == sum(len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1 for r in mixed)
