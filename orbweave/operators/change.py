@@ -106,7 +106,8 @@ def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
             out.append(p)
         return out[:-1]
 
-    return side(points) + side(points[::-1])
+    corners = side(points) + side(points[::-1])
+    return corners if len(corners) > 2 else []
 
 
 def outlines(labels: DataFrame, by: list[str]) -> DataFrame:

@@ -219,3 +219,18 @@ def test_site_refresh_and_guarded_runs(spark, tmp_path):
     preset = spark.createDataFrame([("old", "airbase", 25.0, 56.0, 10.0), ("new", "port", 26.0, 57.0, 5.0)], "site string, kind string, lat double, lon double, radius_km double")
     found = {r["site"]: r for r in refresh.add_preset(sites, preset).collect()}
     assert set(found) == {"old", "new"} and found["old"]["kind"] == "airbase" and found["new"]["w"] < 57.0 < found["new"]["e"]
+
+
+def test_hull_corners_against_a_plain_search():
+    from itertools import permutations
+
+    from orbweave.operators.change import hull
+
+    rng = np.random.default_rng(5)
+    assert hull([(0, 0), (1, 1), (2, 2)]) == [] and hull([(0, 0)]) == []
+    for _ in range(20):
+        points = [(float(x), float(y)) for x, y in rng.integers(0, 6, (12, 2))]
+        side = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+        # A corner begins an edge that has no point on its right, and no farther one straight on.
+        edges = {(a, b) for a, b in permutations(set(points), 2) if all(side(a, b, p) > 0 or (side(a, b, p) == 0 and np.hypot(p[0] - a[0], p[1] - a[1]) + np.hypot(p[0] - b[0], p[1] - b[1]) <= np.hypot(b[0] - a[0], b[1] - a[1]) + 1e-9) for p in points)}
+        assert set(hull(points)) == {a for a, _ in edges}
