@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("language", "near_dedup", "substring_dedup", "mixture", "quality", "licenses", "packing", "embedding_dedup", "tokencount", "warc", "tokenfiles", "alignment")
+MODULES = ("language", "near_dedup", "substring_dedup", "mixture", "quality", "licenses", "packing", "embedding_dedup", "tokencount", "warc", "tokenfiles", "alignment", "collocations")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
