@@ -30,7 +30,7 @@ from orbweave.llm.sharedfiles import written
 from orbweave.llm.wordblocks import ramp
 
 #: Chunks, and bytes of them, that a worker holds at once; it starts anew beyond.
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 300_000
 CACHED_BYTES = 32 << 20
 #: Links of a group up to which each is written; beyond, distinct ids are counted first.
 LONG_GROUP = 4096

@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from orbweave.llm import wordblocks as wb
 from orbweave.llm.perfecthash import SHARD_BITS, PerfectHash, build_shard
 from orbweave.llm.runtime import ready, table, tidy
-from orbweave.llm.sharedfiles import written
+from orbweave.llm.sharedfiles import discard, written
 
 #: Leading bits of a key: those of a bucket, and those that tell the bits of the filter (32 MB).
-BUCKET_BITS, FILTER_BITS = 36, 28
+BUCKET_BITS, FILTER_BITS = 35, 28
 #: Keys that a task counts or tells apart at once.
-BUFFER_KEYS = 4_000_000
+BUFFER_KEYS = 3_000_000
 #: Candidates that one reading counts; a volume of them is sent to all tasks (about 9 bytes each).
 VOLUME_KEYS = 8_000_000
 #: Slots of a block of counts, and blocks or tasks that one task of the tree adds up.
@@ -54,7 +54,7 @@ class Words:
     """The words of some texts: where they stand, their piece, their text, and hashes of both families."""
 
     def __init__(self, texts: list[bytes], salt: np.ndarray, families: int = 2):
-        self.data = b"\n".join(texts).lower()
+        self.data = b"\n".join(texts).lower().replace(b"\t", b" ")
         a = np.frombuffer(self.data, dtype=np.uint8)
         starts, ends, hashes, pieces, at, split = [], [], [[] for _ in range(families)], [], 0, 0
         while at < len(a):
@@ -100,8 +100,15 @@ class Words:
             out = out + h[at + k] * c[k]
         return wb.mix(out)
 
-    def phrase(self, at: int, n: int) -> bytes:
-        return b" ".join([self.data[s:e] for s, e in zip(self.start[at : at + n].tolist(), self.end[at : at + n].tolist(), strict=True)])
+    def phrases(self, at: np.ndarray, n: int) -> list[bytes]:
+        """Text of the runs of ``n`` words that begin at ``at``, joined by one blank."""
+        last = at + n - 1
+        begin, end = self.start[at], self.end[last]
+        length = sum((self.end[at + k] - self.start[at + k] for k in range(n)), np.full(len(at), n - 1))
+        out = [self.data[s:e] for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
+        for k in np.flatnonzero(end - begin != length).tolist():  # more than one blank somewhere
+            out[k] = b" ".join(w for w in out[k].split(b" ") if w)
+        return out
 
 
 def total_keys(salt: np.ndarray) -> np.ndarray:
@@ -174,10 +181,15 @@ def _full_buckets(part_bits: int, least: int, filter_bits: int):
     return run
 
 
+def _part_bits(docs: DataFrame, filter_bits: int) -> int:
+    """Bits that cut keys into some times as many parts as there are tasks."""
+    tasks = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return min(filter_bits - 3, max(8, (4 * tasks - 1).bit_length()))
+
+
 def candidate_filter(docs: DataFrame, most_words: int, least: int, filter_bits: int = FILTER_BITS, buffer: int = BUFFER_KEYS) -> np.ndarray:
     """Bits over the leading bits of keys; unset where no phrase stands ``least`` times. Its size is fixed."""
-    tasks = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    part_bits = min(filter_bits - 3, max(8, (4 * tasks - 1).bit_length()))
+    part_bits = _part_bits(docs, filter_bits)
     counted = docs.mapInArrow(_bucket_counts(part_bits, most_words, min(least, 255), buffer), "part int, steps binary, counts binary")
     full = counted.groupBy("part").applyInArrow(_full_buckets(part_bits, min(least, 255), filter_bits), "part int, bits binary")
     out = np.zeros(1 << (filter_bits - 3), dtype=np.uint8)
@@ -203,42 +215,59 @@ def _passing(words: Words, bits: np.ndarray, filter_bits: int, most_words: int)
         yield n, at, key
 
 
-_CANDIDATE = "lang string, n_words int, phrase string, k1 long, k2 long"
+def _listed(bits, part_bits: int, filter_bits: int, most_words: int, buffer: int):
+    """The candidates of a task, each once in a buffer, sorted and packed by language and by the leading bits of their keys."""
 
+    def packed(found: dict[tuple[str, int], list[bytes]]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        names = list(found)
+        for at in range(0, len(names), 512):
+            part = names[at : at + 512]
+            blobs = [press(b"\n".join(sorted(found[k]))) for k in part]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part]), pa.array([k[1] for k in part], type=pa.int32()), pa.array(blobs, type=pa.binary())], names=["lang", "part", "phrases"])
 
-def _listed(bits, filter_bits: int, most_words: int, buffer: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for words, langs in _texts(batches):
-            if len(seen) > buffer:
-                seen.clear()
-            rows = []
-            salt = {v: words.salt[k] for k, v in enumerate(langs) if words.first[k] < words.first[k + 1]}
-            for v, s in salt.items():
-                k1, k2 = total_keys(s).view(np.int64).tolist()
-                if k1 not in seen:
-                    seen.add(k1)
-                    rows.append((v, 0, b"", k1, k2))
+        found: dict[tuple[str, int], list[bytes]] = {}
+        seen = [np.zeros(0, dtype=np.uint64) for _ in range(most_words + 1)]
+        for words, langs in _texts(batches, 1):
+            for k in np.flatnonzero(np.diff(words.first)).tolist():
+                found.setdefault((langs[k], 0), [b""])  # the phrase of no words
             for n, at, key in _passing(words, bits.value, filter_bits, most_words):
                 one, where = np.unique(key, return_index=True)
-                new = [(k, w) for k, w in zip(one.view(np.int64).tolist(), where.tolist(), strict=True) if k not in seen]
-                if not new:
-                    continue
-                seen.update(k for k, _ in new)
-                first = at[np.array([w for _, w in new], dtype=np.int64)]
-                k2 = words.keys(first, n, 1).view(np.int64).tolist()
-                text = words.text[first].tolist()
-                rows += [(langs[t], n, words.phrase(a, n), k, other) for (k, _), a, t, other in zip(new, first.tolist(), text, k2, strict=True)]
-            for at in range(0, len(rows), 20_000):
-                columns = list(zip(*rows[at : at + 20_000], strict=True))
-                kinds = (pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-                arrays = [pa.array(x, type=t) for x, t in zip(columns, kinds, strict=True)]
-                arrays[2] = arrays[2].cast(pa.string())
-                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "n_words", "phrase", "k1", "k2"])
+                new = ~np.isin(one, seen[n], assume_unique=True)
+                seen[n] = np.concatenate((seen[n], one[new]))
+                first = at[where[new]]
+                part = (one[new] >> np.uint64(64 - part_bits)).astype(np.int64).tolist()
+                for t, p, phrase in zip(words.text[first].tolist(), part, words.phrases(first, n), strict=True):
+                    found.setdefault((langs[t], p), []).append(phrase)
+            if sum(map(len, seen)) > buffer:
+                yield from packed(found)
+                found, seen = {}, [x[:0] for x in seen]
+        yield from packed(found)
 
     return tidy(run)
 
 
+_CANDIDATE = "lang string, n_words int, phrase string, k1 long, k2 long"
+
+
+def _distinct(rows: pa.Table) -> pa.Table:
+    """Each candidate of a language and part once, with its keys."""
+    unpacked = zstandard.ZstdDecompressor().decompress
+    phrases = sorted(set().union(*[unpacked(x.as_py()).split(b"\n") for x in rows.column("phrases")]))
+    lang = rows.column("lang")[0].as_py()
+    words = Words(phrases, np.repeat(salts([lang]), len(phrases), axis=0))
+    count = np.diff(words.first)
+    keys = total_keys(words.salt)
+    for n in range(1, int(count.max(initial=0)) + 1):
+        own = np.flatnonzero(count == n)
+        for f in (0, 1):
+            keys[own, f] = words.keys(words.first[own], n, f)
+    text = pa.array(phrases, type=pa.binary()).cast(pa.string())
+    columns = [pa.array([lang] * len(phrases), type=pa.string()), pa.array(count.astype(np.int32)), text, *(pa.array(np.ascontiguousarray(keys[:, f]).view(np.int64)) for f in (0, 1))]
+    return pa.table(columns, names=["lang", "n_words", "phrase", "k1", "k2"])
+
+
 def _volume(volumes: int) -> Column:
     return F.pmod(F.shiftrightunsigned("k2", 24), F.lit(volumes))
 
@@ -382,8 +411,8 @@ def mine(
     spark, context = docs.sparkSession, docs.sparkSession.sparkContext
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     bits = context.broadcast(candidate_filter(source, most_words, least, filter_bits, buffer_keys))
-    listed = source.mapInArrow(_listed(bits, filter_bits, most_words, buffer_keys), _CANDIDATE)
-    candidates = written(listed.dropDuplicates(["k1", "k2"]), "candidates")
+    listed = source.mapInArrow(_listed(bits, _part_bits(source, filter_bits), filter_bits, most_words, buffer_keys), "lang string, part int, phrases binary")
+    candidates = written(listed.groupBy("lang", "part").applyInArrow(_distinct, _CANDIDATE), "candidates")
     volumes = max(1, -(-candidates.count() // volume_keys))
     keyed = candidates.select(_volume(volumes).alias("volume"), F.shiftrightunsigned("k1", 64 - SHARD_BITS).alias("shard"), "k1", "k2")
     shards = written(keyed.groupBy("volume", "shard").applyInArrow(_built, "volume long, shard long, sizes binary, bits binary, keys binary"), "slots")
@@ -405,6 +434,7 @@ def mine(
 
     phrases = found.where("n_words > 1")
     asked = phrases.select("lang", "phrase", "slot", "a", "n_words").mapInArrow(_parts, "whole long, a long, n long, i long, j long, k1 long, k2 long")
+    discard(candidates)
     parts = written(with_slots(asked).join(found.select("slot", F.col("a").alias("own")), "slot"), "parts")
     sides = parts.where("i = 0 or j = n").groupBy("whole", F.when(F.col("i") == 0, F.col("j")).otherwise(F.col("i")).alias("k"))
     cuts = sides.agg(F.max("a").alias("a"), F.max(F.when(F.col("i") == 0, F.col("own"))).alias("l"), F.max(F.when(F.col("j") == F.col("n"), F.col("own"))).alias("r"))

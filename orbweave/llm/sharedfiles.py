@@ -25,3 +25,10 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     place = new_folder(frame, name)
     frame.write.parquet(place)
     return frame.sparkSession.read.schema(frame.schema).parquet(place)
+
+
+def discard(frame: DataFrame) -> None:
+    """Remove the files of a table that ``written`` made and nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in frame.inputFiles()}:
+        files, place = opened(folder)
+        files.delete_dir(place)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from orbweave.llm import wordblocks as wb
 from orbweave.llm.packing import tokenizer_file
 from orbweave.llm.runtime import ready, table, tidy
-from orbweave.llm.sharedfiles import new_folder, opened, written
+from orbweave.llm.sharedfiles import discard, new_folder, opened, written
 from orbweave.llm.wordtokens import WordTokens
 
 MAGIC = b"OWTOKEN1"
@@ -193,7 +193,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     size = frames.agg(F.sum(F.length("frame"))).first()[0] or 0
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // file_bytes))
     ordered = frames.repartitionByRange(tasks, "id", "crc").sortWithinPartitions("id", "crc")
-    ordered.mapInArrow(_writer(folder, width, hashlib.sha256(dictionary).digest()), _MANIFEST).coalesce(1 + tasks // 1000).write.mode("error").parquet(f"{folder}/manifest")
+    ordered.mapInArrow(_writer(folder, width, hashlib.sha256(dictionary).digest()), _MANIFEST).write.parquet(f"{folder}/manifest")
+    discard(frames)
     return manifest(docs.sparkSession, folder)
 
 
