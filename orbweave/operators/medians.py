@@ -1,67 +1,62 @@
-"""Exact medians of whole columns by counting, without a task that holds a column."""
+"""Exact order statistics of whole columns, by group, without a task that holds a column or a group.
+
+A sketch gives two values that surely have the wanted rank between them; one aggregation counts what
+lies below, another counts the distinct values between. Only those are sorted, a few ten-thousandths
+of the rows, and ties are one row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bins of one counting pass, and values that a bracket may hold to be sorted on the driver.
-BINS, SORTED = 1024, 20_000
+#: Ranks of the sketch are right to one part in so many; brackets reach three parts to each side, and
+#: are everything where a group has no more values than parts.
+ACCURACY = 10_000
+_REACH = 3 / ACCURACY
 
 
-def medians(rows: DataFrame, columns: dict[str, Column]) -> dict[str, tuple[float | None, int]]:
-    """Median and number of the non-null values of every column; (None, 0) without any.
+def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Equi-join in which nulls are equal; of ``right`` a row a group, of no group one row."""
+    if not on:
+        return left.crossJoin(F.broadcast(right))
+    named = right.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    return left.join(named, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on]).drop(*[f"_of_{c}" for c in on])
+
 
-    Every pass is one small aggregation over all columns: first counts and ranges, then counts in bins of the bracket
-    that holds the middle rank, until the bracket is short enough to be sorted. ``rows`` is read a
-    few times, so callers cut it first where it is costly.
+def quantiles(rows: DataFrame, columns: dict[str, Column], shares: list[float], by: list[str] = ()) -> DataFrame:
+    """``by``, ``name``, ``share``, ``value`` and ``n``: the exact quantiles of the non-null values, interpolated between neighbours.
+
+    A column without values has no row. NaN counts as null; infinite values are ordered like others,
+    and between two equal ones nothing is interpolated. ``rows`` is read three times, so callers cut
+    it first where it is costly.
     """
-    named = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("v")) for n, c in columns.items()]))
-    values = rows.select(named.alias("x")).select("x.name", "x.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
-    out: dict[str, tuple[float | None, int]] = dict.fromkeys(columns, (None, 0))
-    open_: dict[tuple[str, int], tuple[float, float, int, int]] = {}  # (name, rank) -> bracket, values below it, values inside
-    for r in values.groupBy("name").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
-        out[r["name"]] = (None, r["n"])
-        for k in {(r["n"] - 1) // 2, r["n"] // 2}:
-            open_[r["name"], k] = (r["lo"], r["hi"], 0, r["n"])
-    at: dict[tuple[str, int], float] = {}
-    while open_:
-        at |= {key: lo for key, (lo, hi, _, _) in open_.items() if lo == hi}
-        open_ = {key: b for key, b in open_.items() if b[0] < b[1]}
-        brackets = sorted({(n, *open_[n, k]) for n, k in open_})
-        short = [b for b in brackets if b[4] <= SORTED]
-        if short:
-            inside = _any(((F.col("name") == n) & F.col("v").between(lo, hi)) for n, lo, hi, _, _ in short)
-            held: dict[str, list] = {}
-            for r in values.where(inside).groupBy("name", "v").count().collect():
-                held.setdefault(r["name"], []).append((r["v"], r["count"]))
-            for key in [key for key, b in open_.items() if b[3] <= SORTED]:
-                lo, hi, rank, _ = open_.pop(key)
-                for v, c in sorted(held[key[0]]):
-                    if lo <= v <= hi:
-                        rank += c
-                        if rank > key[1]:
-                            at[key] = v
-                            break
-        long = [b for b in brackets if b[4] > SORTED]
-        if long:
-            cases = F.coalesce(*[F.when((F.col("name") == n) & F.col("v").between(lo, hi), F.struct(F.lit(i).alias("i"), F.least(F.floor((F.col("v") - lo) / (hi - lo) * BINS), F.lit(BINS - 1)).alias("b"))) for i, (n, lo, hi, _, _) in enumerate(long)])
-            counts = values.withColumn("c", cases).where("c is not null").groupBy("c").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-            for key, (lo, hi, below, _) in list(open_.items()):
-                i = next(i for i, b in enumerate(long) if b[0] == key[0] and b[1:3] == (lo, hi))
-                for r in sorted((r for r in counts if r["c"]["i"] == i), key=lambda r: r["lo"]):
-                    if below + r["n"] > key[1]:
-                        open_[key] = (r["lo"], r["hi"], below, r["n"])
-                        break
-                    below += r["n"]
-    for name, (_, n) in out.items():
-        if n:
-            out[name] = ((at[name, (n - 1) // 2] + at[name, n // 2]) / 2, n)
-    return out
+    by, names = list(by), list(columns)
+    own = {n: F.when(~F.isnan(c.cast("double")), c.cast("double")) for n, c in columns.items()}
+    values = rows.select(*by, *[c.alias(f"_{i}") for i, c in enumerate(own.values())])
+    ends = [min(max(s + side, 0.0), 1.0) for s in shares for side in (-_REACH, _REACH)]
+    sketch = values.groupBy(*by).agg(*[x for i in range(len(names)) for x in (F.count(f"_{i}").alias(f"_n{i}"), F.percentile_approx(f"_{i}", ends, ACCURACY).alias(f"_e{i}"), F.min(f"_{i}").alias(f"_lo{i}"), F.max(f"_{i}").alias(f"_hi{i}"))])
+    asked = [(i, q) for i in range(len(names)) for q in range(len(shares))]
+    few = lambda i, end, v: F.when(F.col(f"_n{i}") <= ACCURACY, F.col(f"_{end}{i}")).otherwise(v)
+    low, high = (lambda i, q: few(i, "lo", F.col(f"_e{i}")[2 * q])), (lambda i, q: few(i, "hi", F.col(f"_e{i}")[2 * q + 1]))
+    met = _met(values, sketch, by)
+    below = met.groupBy(*by).agg(*[F.count_if(F.col(f"_{i}") < low(i, q)).alias(f"_b{i}_{q}") for i, q in asked])
+    inside = F.filter(F.array(*[F.when(F.col(f"_{i}").between(low(i, q), high(i, q)), F.struct(F.lit(i).alias("i"), F.lit(q).alias("q"), F.col(f"_{i}").alias("v"))) for i, q in asked]), lambda x: x.isNotNull())
+    counts = met.select(*by, F.explode(inside).alias("x")).groupBy(*by, "x.i", "x.q", "x.v").agg(F.count(F.lit(1)).alias("c"))
+    facts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q"), F.lit(names[i]).alias("name"), F.lit(float(shares[q])).alias("share"), F.col(f"_n{i}").alias("n"), F.col(f"_b{i}_{q}").alias("below")) for i, q in asked])).alias("f")
+    ranks = _met(sketch, below, by).select(*by, facts).select(*by, "f.*")
+    keys = [*by, "i", "q"]
+    found = _met(counts, ranks, keys)
+    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("below")
+    at = F.col("share") * (F.col("n") - 1)
+    has = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("c") <= k)
+    both = found.withColumn("upto", upto).groupBy(*by, "name", "share", "n").agg(F.max(F.when(has(F.floor(at)), F.col("v"))).alias("a"), F.max(F.when(has(F.ceil(at)), F.col("v"))).alias("b"))
+    part = at - F.floor(at)
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).when(part == 0.5, (F.col("a") + F.col("b")) / 2).otherwise(F.col("a") + (F.col("b") - F.col("a")) * part)
+    return both.select(*by, "name", "share", value.alias("value"), "n")
 
 
-def _any(conditions) -> Column:
-    whole = F.lit(False)
-    for c in conditions:
-        whole = whole | c
-    return whole
+def medians(rows: DataFrame, columns: dict[str, Column]) -> dict[str, tuple[float | None, int]]:
+    """Median and number of the non-null values of every column of the whole table; (None, 0) without any."""
+    found = {r["name"]: (r["value"], r["n"]) for r in quantiles(rows, columns, [0.5]).collect()}
+    return {n: found.get(n, (None, 0)) for n in columns}

@@ -30,16 +30,16 @@ STRIP, TILE = 1024, 64
 # ------------------------------------------------------------------ smoothing
 
 
-def _smoothed_lines(rows: DataFrame, along: str, across: str, columns: list[str], kernel: np.ndarray, size: int) -> DataFrame:
+def _smoothed_lines(rows: DataFrame, by: list[str], along: str, across: str, columns: list[str], kernel: np.ndarray, size: int) -> DataFrame:
     reach = len(kernel) // 2
     strip = max(STRIP, 2 * reach)
     p = F.col(along)
     images = F.filter(F.array(p, -p - 1, F.lit(2 * size - 1) - p), lambda x: (x >= -reach) & (x < size + reach))
     near = lambda x: F.sequence(F.floor(F.greatest(x - reach, F.lit(0)) / strip), F.floor(F.least(x + reach, F.lit(size - 1)) / strip))
-    spread = rows.select(F.explode(images).alias("_p"), F.col(across), *columns).withColumn("_k", F.explode(near(F.col("_p"))))
+    spread = rows.select(*by, F.explode(images).alias("_p"), F.col(across), *columns).withColumn("_k", F.explode(near(F.col("_p"))))
 
     def run(key, table):
-        line, k = key[0].as_py(), key[1].as_py()
+        line, k = key[-2].as_py(), key[-1].as_py()
         begin, n = k * strip, min(strip, size - k * strip)
         at = table.column("_p").to_numpy() - (begin - reach)
         inside = (at >= 0) & (at < n + 2 * reach)
@@ -48,18 +48,21 @@ def _smoothed_lines(rows: DataFrame, along: str, across: str, columns: list[str]
             dense = np.zeros(n + 2 * reach)
             dense[at[inside]] = table.column(c).to_numpy()[inside]
             out.append(pa.array(np.convolve(dense, kernel, "valid")))
-        return pa.table([pa.array(np.arange(begin, begin + n)), pa.array(np.full(n, line)), *out], names=[along, across, *columns])
+        same = [pa.array([v.as_py()] * n, type=v.type) for v in key[:-2]]
+        return pa.table([*same, pa.array(np.arange(begin, begin + n)), pa.array(np.full(n, line)), *out], names=[*by, along, across, *columns])
 
-    return spread.groupBy(across, "_k").applyInArrow(run, f"{along} long, {across} long, " + ", ".join(f"{c} double" for c in columns))
+    kinds = [f"{c} {t}" for c, t in rows.dtypes if c in by] + [f"{along} long", f"{across} long"] + [f"{c} double" for c in columns]
+    return spread.groupBy(*by, across, "_k").applyInArrow(run, ", ".join(kinds))
 
 
-def smoothed(pixels: DataFrame, columns: list[str], sigma: float, height: int, width: int) -> DataFrame:
-    """Gaussian means of the columns (cut at four deviations, edges mirrored) at every pixel of the lines that have any; absent pixels count as 0."""
+def smoothed(pixels: DataFrame, columns: list[str], sigma: float, height: int, width: int, by: list[str] = ()) -> DataFrame:
+    """Gaussian means of the columns (cut at four deviations, edges mirrored) at every pixel of the lines that have any; absent pixels count as 0. ``by`` separates images."""
+    by = list(by)
     reach = int(4 * sigma + 0.5)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     kernel /= kernel.sum()
-    rows = pixels.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), *[F.col(c).cast("double").alias(c) for c in columns])
-    return _smoothed_lines(_smoothed_lines(rows, "row", "col", columns, kernel, height), "col", "row", columns, kernel, width)
+    rows = pixels.select(*by, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), *[F.col(c).cast("double").alias(c) for c in columns])
+    return _smoothed_lines(_smoothed_lines(rows, by, "row", "col", columns, kernel, height), by, "col", "row", columns, kernel, width)
 
 
 # ------------------------------------------------------------------ masks

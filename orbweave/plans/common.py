@@ -7,7 +7,7 @@ from collections.abc import Callable
 from orbweave.sources import fixtures
 
 #: Common table expressions by the name that a query's SQL uses.
-TABLES = {"obs": fixtures.OBSERVATIONS, "scenes": fixtures.SCENES, "sites": fixtures.SITES, "ais": fixtures.POSITIONS, "pix": fixtures.PIXELS, "tracks": fixtures.TRACKS, "links": fixtures.LINKS, "ev": fixtures.SITE_EVENTS}
+TABLES = {"obs": fixtures.OBSERVATIONS, "scenes": fixtures.SCENES, "sites": fixtures.SITES, "ais": fixtures.POSITIONS, "pix": fixtures.PIXELS, "tracks": fixtures.TRACKS, "links": fixtures.LINKS, "ev": fixtures.SITE_EVENTS, "bandpix": fixtures.BAND_PIXELS}
 
 
 class Registry:

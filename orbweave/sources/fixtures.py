@@ -156,6 +156,46 @@ PIXELS = "pix AS (SELECT l_orderkey % 64 AS \"row\", l_partkey % 64 AS col, " +
 ) + " FROM lineitem)"
 
 
+def band_pixels(spark: SparkSession, sf_dir: str, side: int = 72) -> DataFrame:
+    """Images of four bands, one for every thousand orders: a rooftop, and an aircraft whose way follows from the customers."""
+    k, image = F.col("k"), F.col("image")
+    images = read(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 1000).alias("image")).agg(F.sum("o_custkey").alias("k"))
+    facts = images.select(image, (120 + k % 200).cast("double").alias("speed"), F.radians(((k * 37) % 360).cast("double")).alias("a"), F.when(k % 2 == 1, 3.5).otherwise(1.2).alias("sl"), F.when(k % 2 == 1, 1.0).otherwise(1.2).alias("sa"))
+    cells = F.sequence(F.lit(0).cast("long"), F.lit(side - 1).cast("long"))
+    rows = facts.withColumn("row", F.explode(cells)).withColumn("col", F.explode(cells))
+    r, c = F.col("row"), F.col("col")
+    roof = F.exp(-((r - 10) * (r - 10) + (c - 60) * (c - 60)).cast("double") / 2.88) * 0.25
+
+    def band(i: int, seconds: float) -> Column:
+        y = r - (F.lit(36.0) - F.cos("a") * F.col("speed") / 10.0 * seconds)
+        x = c - (F.lit(30.0) + F.sin("a") * F.col("speed") / 10.0 * seconds)
+        along, across = x * F.sin("a") - y * F.cos("a"), x * F.cos("a") + y * F.sin("a")
+        noise = _ratio((r * 131 + c * 71 + image * 17 + r * c * 7 + i * 13) % 101, 12500)
+        return noise + 0.2 + F.exp(-(along * along / (F.col("sl") * F.col("sl") * 2.0)) - across * across / (F.col("sa") * F.col("sa") * 2.0)) * 0.25 + roof
+
+    return rows.select("image", "row", "col", *[band(i, t).alias(b) for i, (b, t) in enumerate(BAND_TIMES.items())])
+
+
+#: Seconds of each band of ``band_pixels`` after the first.
+BAND_TIMES = {"blue": 0.0, "nir": 0.264, "green": 0.527, "red": 1.005}
+
+
+def _band_sql(i: int, t: float) -> str:
+    y, x = f'("row" - (36.0::DOUBLE - cos(a) * speed / 10.0::DOUBLE * {t}::DOUBLE))', f"(col - (30.0::DOUBLE + sin(a) * speed / 10.0::DOUBLE * {t}::DOUBLE))"
+    noise = f'CAST(("row" * 131 + col * 71 + image * 17 + "row" * col * 7 + {i} * 13) % 101 AS DOUBLE) / CAST(12500 AS DOUBLE)'
+    blob = f"exp(-(pow({x} * sin(a) - {y} * cos(a), 2) / (sl * sl * 2.0::DOUBLE)) - pow({x} * cos(a) + {y} * sin(a), 2) / (sa * sa * 2.0::DOUBLE)) * 0.25::DOUBLE"
+    return f'{noise} + 0.2::DOUBLE + {blob} + exp(-CAST(("row" - 10) * ("row" - 10) + (col - 60) * (col - 60) AS DOUBLE) / 2.88::DOUBLE) * 0.25::DOUBLE'
+
+
+BAND_PIXELS = (
+    """img AS (SELECT image, CAST(120 + k % 200 AS DOUBLE) AS speed, radians(CAST((k * 37) % 360 AS DOUBLE)) AS a, CASE k % 2 WHEN 1 THEN 3.5::DOUBLE ELSE 1.2::DOUBLE END AS sl, CASE k % 2 WHEN 1 THEN 1.0::DOUBLE ELSE 1.2::DOUBLE END AS sa
+ FROM (SELECT o_orderkey // 1000 AS image, CAST(sum(o_custkey) AS BIGINT) AS k FROM orders GROUP BY 1)),
+ bandpix AS MATERIALIZED (SELECT image, "row", col, """
+    + ", ".join(f"{_band_sql(i, t)} AS {b}" for i, (b, t) in enumerate(BAND_TIMES.items()))
+    + """ FROM img, range(72) x("row"), range(72) y(col))"""
+)
+
+
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per track of the observations, with a status by its number."""
     last = F.struct("time", "obs_id")
