@@ -19,14 +19,17 @@ CACHED_WORDS = 450_000
 
 #: Words of a-z and lower-case Latin-1 letters: no normaliser changes them and no pattern splits them.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
-_STOPS = b".,"
+#: Signs that part from a letter before them; not the apostrophe, nor those that special tokens end in.
+_STOPS = b'!"#$%&()*+,-./:;=?@[\\]^_`{}~'
+#: How a vocabulary marks the last piece of a word.
+_END_MARK = "</w>"
 
 
 class WordTokens(dict):
-    """word bytes -> code; ids of code c are ``flat[begin[c]:begin[c + 1]]``. Code 0 is ``end``.
+    """word bytes -> code; ids of code c are the ``length[c]`` ones of ``flat`` from ``begin[c]`` on. Code 0 is ``end``.
 
     For byte-level BPE that lower-cases, splits letters from other signs and normalises to NFC. Words
-    are looked up in lower case, a stop after a letter by itself, and plain words skip the normaliser.
+    are looked up in lower case, stops after a letter by themselves, and plain words skip the normaliser.
     """
 
     def __init__(self, path: str, end: int, splitter: str = "<|endoftext|>"):
@@ -40,34 +43,34 @@ class WordTokens(dict):
             [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         self.splitter, self.split_id, self.end = splitter, self.tokenizer.token_to_id(splitter), end
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(1 + max(vocabulary.values()), dtype=bool)
+        self.ends_word[[i for entry, i in vocabulary.items() if entry.endswith(_END_MARK)]] = True
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.fresh: list[bytes | tuple[int, int]] = []
-        self.begin = np.array([0, 1], dtype=np.int64)
+        self.begin, self.length = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
         self.flat = np.array([self.end], dtype=np.uint32)
 
     def __missing__(self, word: bytes) -> int:
         parts = None
-        if len(word) > 1 and word[-1] in _STOPS and 97 <= word[-2] <= 122:
-            parts = self[word[:-1]], self[word[-1:]]
+        if word[-1] in _STOPS and (stem := word.rstrip(_STOPS)) and 97 <= stem[-1] <= 122:
+            parts = self[stem], self[word[len(stem) :]]
         code = len(self) + 1
         self[word] = code
         self.fresh.append(parts or word)
         return code
 
-    def _encode_plain(self, words: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for at in range(0, len(words), 512):
-            part = words[at : at + 512]
-            found = self.plain.encode(b" ".join(part).decode(), add_special_tokens=False)
-            ids = np.array(found.ids, dtype=np.uint32)
-            cuts = np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1)).tolist()
-            out += [ids[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-        return out
+    def _encode_plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and the number of each; a word's last id is marked as such."""
+        texts = [b" ".join(words[at : at + 2048]).decode() for at in range(0, len(words), 2048)]
+        ids = [np.array(e.ids, dtype=np.uint32) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
+        return flat, np.diff(np.flatnonzero(self.ends_word[flat]), prepend=-1)
 
-    def _encode_any(self, words: list[bytes]) -> list[np.ndarray]:
+    def _encode_any(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         mark = self.splitter.encode()
         out: list[np.ndarray] = []
         for at in range(0, len(words), 512):
@@ -80,22 +83,32 @@ class WordTokens(dict):
             cuts = np.flatnonzero(ids == self.split_id)
             starts, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
             out += [ids[s:e] for s, e in zip(starts, ends, strict=True)]
-        return out
+        flat = np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
+        return flat, np.fromiter(map(len, out), dtype=np.int64, count=len(out))
 
     def _learn(self) -> None:
-        """Append the ids of the fresh words, in the order of their codes."""
+        """Append the ids of the fresh words; a word with a stop is those of its parts, which are known before it."""
         fresh, self.fresh = self.fresh, []
-        plain = [_PLAIN.fullmatch(w) is not None if isinstance(w, bytes) else None for w in fresh]
-        quick = iter(self._encode_plain([w for w, p in zip(fresh, plain, strict=True) if p]))
-        slow = iter(self._encode_any([w for w, p in zip(fresh, plain, strict=True) if p is False]))
-        old = len(self.begin) - 1
-        new: list[np.ndarray] = []
-        ids_of = lambda c: new[c - old] if c >= old else self.flat[self.begin[c] : self.begin[c + 1]]
-        for w, p in zip(fresh, plain, strict=True):
-            new.append(next(quick) if p else next(slow) if p is False else np.concatenate((ids_of(w[0]), ids_of(w[1]))))
-        lengths = np.fromiter((len(x) for x in new), dtype=np.int64, count=len(new))
-        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(lengths)))
-        self.flat = np.concatenate((self.flat, *new))
+        plain, other, joined = [], [], []
+        for k, w in enumerate(fresh):
+            (joined if type(w) is tuple else plain if _PLAIN.fullmatch(w) else other).append(k)
+        begin, length = np.zeros(len(fresh), dtype=np.int64), np.zeros(len(fresh), dtype=np.int64)
+        parts, at = [self.flat], len(self.flat)
+        for own, encode in ((plain, self._encode_plain), (other, self._encode_any)):
+            flat, n = encode([fresh[k] for k in own])
+            begin[own], length[own] = at + np.cumsum(n) - n, n
+            parts.append(flat)
+            at += len(flat)
+        self.flat = np.concatenate(parts)
+        self.begin, self.length = np.concatenate((self.begin, begin)), np.concatenate((self.length, length))
+        if joined:
+            pairs = np.array([fresh[k] for k in joined], dtype=np.int64)
+            code = len(self.begin) - len(fresh) + np.array(joined, dtype=np.int64)
+            each = self.length[pairs]
+            added = self.flat[np.repeat(self.begin[pairs].ravel(), each.ravel()) + ramp(each.ravel())]
+            n = each.sum(axis=1)
+            self.begin[code], self.length[code] = at + np.cumsum(n) - n, n
+            self.flat = np.concatenate((self.flat, added))
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``, and the offsets of the texts."""
@@ -111,7 +124,7 @@ class WordTokens(dict):
         if self.fresh:
             self._learn()
         code = np.array(codes, dtype=np.int64)
-        lengths = self.begin[code + 1] - self.begin[code]
+        lengths = self.length[code]
         out = self.flat[np.repeat(self.begin[code], lengths) + ramp(lengths)]
         sums = np.concatenate(([0], np.cumsum(lengths)))
         return out, sums[np.concatenate(([0], np.cumsum(count)))]
