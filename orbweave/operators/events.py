@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions import domain, geo
-from orbweave.operators.joins import nearest, range_join
+from orbweave.operators.joins import covering, nearest, range_join
 from orbweave.operators.windows import prefix_robust_z, with_rest
 from orbweave.sources.paths import cut
 
@@ -15,6 +15,8 @@ STS_LENGTH, STS_GAP, STS_AXIS, CROWDED = 60.0, 60.0, 25.0, 40
 BANDWIDTH = {"vessel": 300.0, "aircraft": 60.0, "vehicle": 25.0}
 UNUSUAL_RATE, MIN_LOOKS, MIN_HISTORY = 0.02, 6, 30
 INDIVIDUAL = 4
+#: Width of the cells that boxes of looks are cut into, in degrees.
+COVER_CELL_DEG = 0.05
 CLEAR = 0.85
 
 
@@ -42,7 +44,8 @@ def alongside_pairs(obs: DataFrame) -> DataFrame:
     Reach is that of the longest hull and widest beam at stake, so the cells of the range join are as wide.
     """
     vessels = obs.where((F.col("cls") == "vessel") & (F.coalesce("length_m", F.lit(0.0)) >= STS_LENGTH))
-    vessels = vessels.select("obs_id", "site", "scene_id", "lat", "lon", "length_m", "axis_deg", "underway", "source", domain.beam(F.col("length_m"), F.col("width_m")).alias("beam"))
+    track = F.col("track_id") if "track_id" in vessels.columns else F.lit(None).cast("string")
+    vessels = vessels.select("obs_id", track.alias("track_id"), "site", "scene_id", "lat", "lon", "length_m", "axis_deg", "underway", "source", domain.beam(F.col("length_m"), F.col("width_m")).alias("beam"))
     centre = vessels.groupBy("site").agg(F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0"))
     reach = vessels.agg(F.max(F.col("length_m") / 2), F.max("beam")).first()
     if reach[0] is None:
@@ -67,12 +70,21 @@ def alongside_pairs(obs: DataFrame) -> DataFrame:
 
 
 def sts_candidates(obs: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Rafted pairs as events; scenes give the clear share. Severity rises with size and falls in crowds and haze."""
+    """Rafted pairs as events; scenes give the clear share.
+
+    Severity rises with size and with the scenes in which the same two tracks lay together (two more
+    at most; sightings without a track count once), and falls in crowds and haze.
+    """
     crowd = obs.where("cls = 'vessel'").groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_vessels"))
     lesser = F.least("l_length_m", "r_length_m")
     pairs = alongside_pairs(obs).withColumnRenamed("l_scene_id", "scene_id").join(crowd, "scene_id").join(scenes.select("scene_id", "clear"), "scene_id", "left")
+    ends = {"_t1": F.least("l_track_id", "r_track_id"), "_t2": F.greatest("l_track_id", "r_track_id")}
+    pairs = cut(pairs.withColumns({k: F.when(F.col("l_track_id").isNotNull() & F.col("r_track_id").isNotNull(), v) for k, v in ends.items()}))
+    together = pairs.where("_t1 is not null").groupBy("_t1", "_t2").agg(F.count_distinct("scene_id").alias("repeats"))
+    pairs = pairs.join(together, ["_t1", "_t2"], "left")
     severity = (
         F.lit(0.45)
+        + F.least(F.coalesce("repeats", F.lit(1)) - 1, F.lit(2)) * 0.1
         + F.when(lesser >= 150, 0.15).otherwise(0.0)
         - F.when(F.col("n_vessels") > CROWDED, 0.2).otherwise(0.0)
         - F.when(clear_look(F.col("clear")), 0.0).otherwise(0.1)
@@ -108,10 +120,17 @@ def fat_hulls(obs: DataFrame) -> DataFrame:
 def unusual_locations(obs: DataFrame, scenes: DataFrame, recent: int = 3) -> DataFrame:
     """Objects not under way in the last clear looks, where the site's history has next to none.
 
-    Density is a Gaussian kernel over earlier clear looks within three bandwidths, per look.
+    Density is a Gaussian kernel over earlier clear looks within three bandwidths, per look that covered
+    the place: of a scene with a box (w, s, e, n_lat) only what lies inside was looked at, one without
+    a box covers everything. Fewer than ``MIN_LOOKS`` such looks tell nothing.
     """
     looks = scenes.where(clear_look(F.col("clear"))).withColumn("look", F.row_number().over(Window.partitionBy("site").orderBy("time", "scene_id")) - 1)
-    looks = looks.withColumn("looks", F.count(F.lit(1)).over(Window.partitionBy("site"))).select("site", "scene_id", "look", "looks")
+    looks = looks.withColumn("looks", F.count(F.lit(1)).over(Window.partitionBy("site")))
+    boxed = {"w", "s", "e", "n_lat"} <= set(scenes.columns)
+    sides = ["w", "s", "e", "n_lat"] if boxed else []
+    whole = F.greatest(*[F.col(c).isNull() for c in sides]) if boxed else F.lit(True)
+    boxes = cut(looks.select("site", F.col("look").alias("then"), *sides, whole.alias("whole")))
+    looks = looks.select("site", "scene_id", "look", "looks")
     centre = obs.groupBy("site").agg(F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0"))
     bandwidth = F.element_at(F.create_map(*[F.lit(v) for kv in BANDWIDTH.items() for v in kv]), F.col("family"))
     seen = (
@@ -122,7 +141,7 @@ def unusual_locations(obs: DataFrame, scenes: DataFrame, recent: int = 3) -> Dat
         .join(centre, "site")
         .withColumn("x", geo.local_x(F.col("lon"), F.col("lat0"), F.col("lon0")))
         .withColumn("y", geo.local_y(F.col("lat"), F.col("lat0")))
-        .select("obs_id", "site", "family", "h", "look", "looks", "x", "y", "length_m", "underway")
+        .select("obs_id", "site", "family", "h", "look", "looks", "lat", "lon", "x", "y", "length_m", "underway")
     )
     new = seen.where((F.col("looks") > MIN_LOOKS) & (F.col("look") >= F.greatest(F.lit(MIN_LOOKS), F.col("looks") - recent)) & ~F.coalesce("underway", F.lit(False)))
     per_look = seen.groupBy("site", "family", "look").agg(F.count(F.lit(1)).alias("n"))
@@ -139,8 +158,15 @@ def unusual_locations(obs: DataFrame, scenes: DataFrame, recent: int = 3) -> Dat
     reach = F.col("h") * 3
     weight = F.when(F.col("d2") <= reach * reach, F.exp(-F.col("d2") / (F.col("h") * F.col("h") * 2))).otherwise(0.0)
     density = pairs.groupBy("obs_id").agg(F.sum(weight).alias("density"))
-    rare = new.join(density, "obs_id", "left").withColumn("rate", F.coalesce("density", F.lit(0.0)) / F.col("look")).where(F.col("rate") < UNUSUAL_RATE)
-    rare = cut(rare.select("obs_id", "site", "family", "h", "look", "length_m", "underway", "x", "y", "rate"))
+    # Looks that cover everything, up to each look, and those whose box holds the place.
+    always = boxes.groupBy("site").agg(F.array_sort(F.collect_list(F.when(F.col("whole"), F.col("then")))).alias("_always"))
+    looked = new.join(always, "site").select("obs_id", F.size(F.filter("_always", lambda k: k < F.col("look"))).alias("_n"))
+    if boxed:
+        held = covering(new.select("obs_id", "site", "look", "lat", "lon"), boxes.where(~F.col("whole")), ["site"], "lon", "lat", COVER_CELL_DEG).where("b_then < look")
+        looked = looked.unionByName(held.groupBy("obs_id").agg(F.count(F.lit(1)).cast("int").alias("_n")))
+    looked = looked.groupBy("obs_id").agg(F.sum("_n").alias("looked")).where(F.col("looked") >= MIN_LOOKS)
+    rare = new.join(looked, "obs_id").join(density, "obs_id", "left").withColumn("rate", F.coalesce("density", F.lit(0.0)) / F.col("looked")).where(F.col("rate") < UNUSUAL_RATE)
+    rare = cut(rare.select("obs_id", "site", "family", "h", "look", "looked", "length_m", "underway", "x", "y", "rate"))
     gap = nearest(rare.select("obs_id", "site", "family", "look", "x", "y"), seen.select("site", "family", "x", "y", "look"), ["site", "family"], "x", "y", ["obs_id"], F.col("r_look") < F.col("look"))
     found = rare.join(gap, "obs_id")
     severity = (
@@ -152,7 +178,7 @@ def unusual_locations(obs: DataFrame, scenes: DataFrame, recent: int = 3) -> Dat
     )
     return found.select(
         domain.record_key(F.lit("unusual"), F.col("obs_id").cast("string")).alias("event_id"),
-        "obs_id", "site", "family", F.col("look").cast("long").alias("looks"),
+        "obs_id", "site", "family", F.col("looked").alias("looks"),
         F.round("rate", 4).alias("expected_per_look"), F.round("nearest", 0).alias("nearest_past_m"),
         F.round(F.least(severity, F.lit(0.85)), 2).alias("severity"),
     )

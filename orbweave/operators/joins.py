@@ -35,6 +35,23 @@ def range_join(left: DataFrame, right: DataFrame, on: list[str], x: str, y: str,
     return (found.where(condition) if condition is not None else found).drop("_cell", "_own")
 
 
+def covering(points: DataFrame, boxes: DataFrame, on: list[str], x: str, y: str, width: float) -> DataFrame:
+    """Pairs of a point and a box (w, s, e, n_lat; sides included) that holds it, with equal ``on`` columns; box columns get ``b_``.
+
+    Boxes are cut into square cells of ``width`` degrees and a point looks into its own cell, so each pair
+    meets once. Boxes with a null side meet nothing here; callers say what they cover.
+    """
+    cell = lambda v: F.floor(v / F.lit(width))
+    span = lambda a, b: F.sequence(cell(F.col(a)), cell(F.col(b)))
+    known = boxes.where("w <= e and s <= n_lat")
+    cut_up = known.withColumn("_cx", F.explode(span("w", "e"))).withColumn("_cy", F.explode(span("s", "n_lat")))
+    rhs = cut_up.select([F.col(c).alias(f"b_{c}") for c in boxes.columns] + ["_cx", "_cy"])
+    lhs = points.withColumn("_px", cell(F.col(x))).withColumn("_py", cell(F.col(y)))
+    keys = [F.col(c) == F.col(f"b_{c}") for c in on] + [F.col("_px") == F.col("_cx"), F.col("_py") == F.col("_cy")]
+    inside = F.col(x).between(F.col("b_w"), F.col("b_e")) & F.col(y).between(F.col("b_s"), F.col("b_n_lat"))
+    return lhs.join(rhs, keys).where(inside).drop("_px", "_py", "_cx", "_cy")
+
+
 def nearest(left: DataFrame, right: DataFrame, on: list[str], x: str, y: str, key: list[str], condition: Column | None = None) -> DataFrame:
     """Distance of the nearest right point with equal ``on`` columns, per left ``key``; null without one.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.functions import geo
-from orbweave.operators import ais, desk, events, tracking
+from orbweave.operators import ais, desk, events, store, tracking
 from orbweave.sources import catalogs
 from orbweave.sources.paths import cut
 
@@ -18,16 +18,19 @@ from orbweave.sources.paths import cut
 def refresh_sites(obs: DataFrame, scenes: DataFrame, reports: DataFrame | None, area_m2: float) -> dict[str, DataFrame]:
     """Everything that follows from the stored sightings, rebuilt: ``matches``, ``links``, ``tracks`` and ``events``.
 
-    All sites at once: what is per site is keyed by it. Sightings without reports near them are
-    neither matched nor dark.
+    All sites at once: what is per site is keyed by it, distances are in the plane of the site's centre, and the scenes'
+    boxes say what an image could not have missed. Sightings without reports near them are neither
+    matched nor dark. ``replaced`` takes the result into the stored tables.
     """
-    links = cut(tracking.build_tracks(obs, area_m2))
+    boxed = {"w", "s", "e", "n_lat"} <= set(scenes.columns)
+    links = cut(tracking.build_tracks(obs, area_m2, scenes.select("scene_id", "w", "s", "e", "n_lat") if boxed else None))
     chosen = links.where("chosen = 1").select(F.col("obs_id").alias("_obs"), "track_id", "prob")
     seen = cut(obs.drop("track_id").join(chosen, F.col("obs_id").cast("string") == F.col("_obs")).drop("_obs"))
     status = links.where("chosen = 1").select("site", "track_id", "status").distinct()
     summary = tracking.track_summary(seen, ["site", "track_id"]).join(status, ["site", "track_id"])
     tracks = cut(summary)
-    local = seen.withColumn("x", geo.local_x(F.col("lon"), F.lit(0.0), F.lit(0.0)) * F.cos(F.radians("lat"))).withColumn("y", geo.local_y(F.col("lat"), F.lit(0.0)))
+    centre = seen.groupBy("site").agg(F.avg("lat").alias("_lat0"), F.avg("lon").alias("_lon0"))
+    local = seen.join(centre, "site").withColumn("x", geo.local_x(F.col("lon"), F.col("_lat0"), F.col("_lon0"))).withColumn("y", geo.local_y(F.col("lat"), F.col("_lat0"))).drop("_lat0", "_lon0")
     families = [
         events.turnover(seen, tracks, scenes),
         events.track_events(tracks),
@@ -44,6 +47,36 @@ def refresh_sites(obs: DataFrame, scenes: DataFrame, reports: DataFrame | None,
     return out | {"events": cut(events.all_events(*families))}
 
 
+def replaced(spark: SparkSession, root: str, out: dict[str, DataFrame]) -> DataFrame:
+    """Take a refresh into the stored ``links``, ``tracks`` and ``events`` below ``root``; returns the events that are new.
+
+    Whole site partitions are replaced, of the sites that the refresh has rows of, so a crash between
+    the writes is mended by the next run and a second run changes nothing. Of a site's old events those
+    that did not come again go, but for changes of the ground; survivors keep their rows.
+    """
+    for name in ("links", "tracks"):
+        store.write_site(out[name], f"{root}/{name}")
+    new = out["events"].dropDuplicates(["event_id"])
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/events")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        store.write_site(new, f"{root}/events")
+        return new
+    table = spark.read.schema(new.schema).parquet(f"{root}/events")
+    sites = out["tracks"].select("site").distinct()
+    old = table.join(sites, "site", "left_semi")
+    stay = old.join(new.select("event_id"), "event_id", "left_semi").unionByName(old.join(new.select("event_id"), "event_id", "left_anti").where(F.startswith("kind", F.lit("change_"))))
+    fresh = cut(store.insert_ignore(table, new, ["event_id"]))
+    rows = cut(stay.unionByName(fresh))
+    # A site that is left without events writes no partition, so its old folder goes; there is one a site.
+    placed = table.select("site", F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).distinct()
+    bare = placed.join(sites, "site", "left_semi").join(rows.select("site").distinct(), "site", "left_anti").collect()
+    store.write_site(rows, f"{root}/events")
+    for r in bare:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(r["folder"]))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return fresh
+
+
 def process(spark: SparkSession, root: str, scenes: DataFrame, detect: Callable[[DataFrame], DataFrame], error: str | None = None) -> DataFrame:
     """Detect in the scenes that no run has ended well for, store the new sightings and record the runs; returns those scenes.
 

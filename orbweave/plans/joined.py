@@ -100,23 +100,25 @@ _STS = """c AS (SELECT site, avg(lat) AS lat0, avg(lon) AS lon0 FROM obs WHERE c
 v AS (SELECT o.*, CASE WHEN width_m < length_m THEN width_m ELSE length_m / 6 END AS beam, (lon - lon0) * 111320.0::DOUBLE * cos(radians(lat0)) AS x, (lat - lat0) * 110540.0::DOUBLE AS y FROM obs o JOIN c ON o.site = c.site WHERE cls = 'vessel' AND length_m >= 60),
 r AS (SELECT scene_id, max(length_m) / 2 + 2 * max(beam) + 60 AS reach FROM v GROUP BY scene_id),
 n AS (SELECT scene_id, count(*) AS n FROM obs WHERE cls = 'vessel' GROUP BY scene_id),
-p AS (SELECT a.obs_id AS obs_a, b.obs_id AS obs_b, a.scene_id, b.x - a.x AS dx, b.y - a.y AS dy, radians(a.axis_deg) AS th, a.length_m AS la, b.length_m AS lb, a.beam AS ba, b.beam AS bb,
+p AS (SELECT a.obs_id AS obs_a, b.obs_id AS obs_b, a.scene_id, least(a.track_id, b.track_id) AS t1, greatest(a.track_id, b.track_id) AS t2, b.x - a.x AS dx, b.y - a.y AS dy, radians(a.axis_deg) AS th, a.length_m AS la, b.length_m AS lb, a.beam AS ba, b.beam AS bb,
  least(fmod(abs(a.axis_deg - b.axis_deg), 180), 180 - fmod(abs(a.axis_deg - b.axis_deg), 180)) AS diff FROM v a JOIN v b ON a.scene_id = b.scene_id AND a.obs_id < b.obs_id JOIN r ON r.scene_id = a.scene_id
  WHERE sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) <= reach AND NOT coalesce(a.underway <> b.underway, false)),
-q AS (SELECT *, abs(dx * cos(th) - dy * sin(th)) - (ba + bb) / 2 AS gap FROM p WHERE diff <= 25 AND abs(dx * sin(th) + dy * cos(th)) <= greatest(la, lb) / 2)"""
+q AS (SELECT *, abs(dx * cos(th) - dy * sin(th)) - (ba + bb) / 2 AS gap FROM p WHERE diff <= 25 AND abs(dx * sin(th) + dy * cos(th)) <= greatest(la, lb) / 2),
+tg AS (SELECT t1, t2, count(DISTINCT scene_id) AS repeats FROM q WHERE gap <= 60 GROUP BY 1, 2)"""
 
 
-@R.add("e8_sts_candidates", f"WITH {_STS} SELECT substr(sha1(concat('sts|', least(CAST(obs_a AS VARCHAR), CAST(obs_b AS VARCHAR)), '|', greatest(CAST(obs_a AS VARCHAR), CAST(obs_b AS VARCHAR)))), 1, 16) AS event_id, q.scene_id, obs_a, obs_b, round(sqrt(dx * dx + dy * dy), 1) AS separation_m, round(greatest(gap, 0), 1) AS gap_m, round(diff, 1) AS axis_diff_deg, round(CAST(least(greatest(0.45::DOUBLE + CASE WHEN least(la, lb) >= 150 THEN 0.15::DOUBLE ELSE 0 END - CASE WHEN n.n > 40 THEN 0.2::DOUBLE ELSE 0 END - CASE WHEN coalesce(s.clear, 1.0) >= 0.85 THEN 0 ELSE 0.1::DOUBLE END, 0.15), 0.9) AS DOUBLE), 2) AS severity FROM q JOIN n ON n.scene_id = q.scene_id JOIN scenes s ON s.scene_id = q.scene_id WHERE gap <= 60", "scenes")
+@R.add("e8_sts_candidates", f"WITH {_STS} SELECT substr(sha1(concat('sts|', least(CAST(obs_a AS VARCHAR), CAST(obs_b AS VARCHAR)), '|', greatest(CAST(obs_a AS VARCHAR), CAST(obs_b AS VARCHAR)))), 1, 16) AS event_id, q.scene_id, obs_a, obs_b, round(sqrt(dx * dx + dy * dy), 1) AS separation_m, round(greatest(gap, 0), 1) AS gap_m, round(diff, 1) AS axis_diff_deg, round(CAST(least(greatest(0.45::DOUBLE + 0.1::DOUBLE * least(repeats - 1, 2) + CASE WHEN least(la, lb) >= 150 THEN 0.15::DOUBLE ELSE 0 END - CASE WHEN n.n > 40 THEN 0.2::DOUBLE ELSE 0 END - CASE WHEN coalesce(s.clear, 1.0) >= 0.85 THEN 0 ELSE 0.1::DOUBLE END, 0.15), 0.9) AS DOUBLE), 2) AS severity FROM q JOIN n ON n.scene_id = q.scene_id JOIN scenes s ON s.scene_id = q.scene_id JOIN tg ON tg.t1 = q.t1 AND tg.t2 = q.t2 WHERE gap <= 60", "scenes")
 def e8(spark, d):
     return events.sts_candidates(fx.observations(spark, d), fx.scenes(spark, d))
 
 
-_UNUSUAL = """k AS (SELECT scene_id, site, row_number() OVER (PARTITION BY site ORDER BY time, scene_id) - 1 AS look, count(*) OVER (PARTITION BY site) AS looks FROM scenes WHERE coalesce(clear, 1.0) >= 0.85),
+_UNUSUAL = """k AS (SELECT scene_id, site, row_number() OVER (PARTITION BY site ORDER BY time, scene_id) - 1 AS look, count(*) OVER (PARTITION BY site) AS looks, w, s, e, n_lat FROM scenes WHERE coalesce(clear, 1.0) >= 0.85),
 c AS (SELECT site, avg(lat) AS lat0, avg(lon) AS lon0 FROM obs GROUP BY site),
-v AS (SELECT obs_id, o.site, look, looks, length_m, underway, CASE cls WHEN 'storage-tank' THEN 'tank' ELSE cls END AS family, CASE cls WHEN 'vessel' THEN 300.0::DOUBLE WHEN 'aircraft' THEN 60.0::DOUBLE WHEN 'vehicle' THEN 25.0::DOUBLE END AS h,
+v AS (SELECT obs_id, o.site, look, looks, length_m, underway, lat, lon, CASE cls WHEN 'storage-tank' THEN 'tank' ELSE cls END AS family, CASE cls WHEN 'vessel' THEN 300.0::DOUBLE WHEN 'aircraft' THEN 60.0::DOUBLE WHEN 'vehicle' THEN 25.0::DOUBLE END AS h,
  (lon - lon0) * 111320.0::DOUBLE * cos(radians(lat0)) AS x, (lat - lat0) * 110540.0::DOUBLE AS y FROM obs o JOIN k ON o.scene_id = k.scene_id JOIN c ON o.site = c.site WHERE cls <> 'storage-tank'),
-f AS (SELECT a.obs_id, a.site, a.family, a.look AS looks, a.h, a.length_m, a.underway, count(*) AS history, min(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS d2, sum(CASE WHEN pow(b.x - a.x, 2) + pow(b.y - a.y, 2) <= 9 * a.h * a.h THEN exp(-(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) / (2 * a.h * a.h)) ELSE 0 END) / a.look AS rate
- FROM v a JOIN v b ON a.site = b.site AND a.family = b.family AND b.look < a.look WHERE a.looks > 6 AND a.look >= greatest(6, a.looks - 3) AND NOT coalesce(a.underway, false) GROUP BY a.obs_id, a.site, a.family, a.look, a.h, a.length_m, a.underway)"""
+lk AS (SELECT a.obs_id, count(*) AS looked FROM v a JOIN k ON k.site = a.site AND k.look < a.look AND a.lon BETWEEN k.w AND k.e AND a.lat BETWEEN k.s AND k.n_lat GROUP BY 1),
+f AS (SELECT a.obs_id, a.site, a.family, any_value(looked) AS looks, a.h, a.length_m, a.underway, count(*) AS history, min(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS d2, sum(CASE WHEN pow(b.x - a.x, 2) + pow(b.y - a.y, 2) <= 9 * a.h * a.h THEN exp(-(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) / (2 * a.h * a.h)) ELSE 0 END) / any_value(looked) AS rate
+ FROM v a JOIN lk ON lk.obs_id = a.obs_id AND looked >= 6 JOIN v b ON a.site = b.site AND a.family = b.family AND b.look < a.look WHERE a.looks > 6 AND a.look >= greatest(6, a.looks - 3) AND NOT coalesce(a.underway, false) GROUP BY a.obs_id, a.site, a.family, a.look, a.h, a.length_m, a.underway)"""
 
 
 @R.add("e9_unusual_locations", f"WITH {_UNUSUAL} SELECT substr(sha1(concat('unusual|', CAST(obs_id AS VARCHAR))), 1, 16) AS event_id, obs_id, site, family, looks, round(rate, 4) AS expected_per_look, round(sqrt(d2), 0) AS nearest_past_m, round(least(0.35::DOUBLE + 0.15::DOUBLE * least(sqrt(d2) / (10 * h), 1) + CASE WHEN family = 'vessel' AND length_m >= 150 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN family = 'aircraft' THEN 0.1::DOUBLE ELSE 0 END - CASE WHEN underway IS NULL AND family = 'vessel' THEN 0.1::DOUBLE ELSE 0 END, 0.85), 2) AS severity FROM f WHERE history >= 30 AND rate < 0.02", "scenes")
