@@ -165,8 +165,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     Returns ``id``, ``n_links`` (other vectors linked directly), ``component`` (smallest id reachable)
     and ``kept``; one row per input row. Null and zero vectors and those with null or non-finite
     components link with nothing; vectors of different lengths never link. Equal vectors are one
-    class and are joined once. Rows of one id with different vectors are one vertex. Empty input,
-    empty result; no other column is read.
+    class and are joined once. Rows of one id with different vectors are one vertex, and rows that
+    repeat are one vector: none is its own neighbour and others count it once. A row without an id
+    links with nothing, has no component and is kept. Empty input, empty result; no other column is
+    read.
 
     Slabs are counted first. A slab beyond ``tile`` vectors is compared in tiles, two at a time, so
     a task holds at most two tiles however the vectors cluster. Where vectors fill space evenly and
@@ -178,7 +180,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     element = "array<float>" if dtype == "<f4" else "array<double>"
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(element).alias("v"))
     packed = cut(source.mapInArrow(_packed(dtype), "id long, vector binary"))
-    classes = cut(packed.where("vector is not null and id is not null").groupBy("vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    named = packed.where("vector is not null and id is not null")
+    classes = cut(named.distinct().groupBy("vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
     slabs = cut(classes.select(F.col("rep").alias("id"), "vector").mapInArrow(_slabs(dtype, threshold), "id long, dims int, block int, slab int"))
     # At most 2 / reach + 2 slabs a block.
     tiles = slabs.groupBy("dims", "block", "slab").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("t"))
@@ -208,15 +211,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     linked = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("id").agg(F.sum("n").alias("more"))
     reps = classes.select("vector", "rep", "n").join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    return (
-        packed.join(reps, "vector", "left")
-        .select(
-            "id",
-            F.coalesce(F.col("n") - 1 + F.coalesce("more", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
-            F.coalesce("component", "rep", "id").alias("component"),
-        )
-        .withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
-    )
+    linked_rows = named.join(reps, "vector").select("id", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    # Rows that can link with nothing pass by the join, where they would all share the key null.
+    alone = packed.where("vector is null or id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    return linked_rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

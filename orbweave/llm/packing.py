@@ -2,7 +2,7 @@
 
 Every partition packs its own pieces best-fit decreasing and passes bins that are full, or nearly
 so, straight on. The underfull bins meet in ever fewer partitions, where they are the items of the
-next best-fit round, until a round over all that is left gains next to nothing.
+next best-fit round, until a round over all that is left gains nothing.
 """
 
 from __future__ import annotations
@@ -136,6 +136,7 @@ def pack(
     capacity: int = CAPACITY,
     end_id: int = 1,
     slack: int = SLACK,
+    least_gain: float = 0.0,
 ) -> DataFrame:
     """Pieces of all documents and their places in sequences of at most ``capacity`` tokens.
 
@@ -147,7 +148,8 @@ def pack(
     A best-fit call holds bounded numbers of bins and bytes whatever the input, and only the packed
     numbers of pieces (48 bytes each) move, never ids or texts. A bin that has no room for the
     smallest open one leaves the rounds. Rounds use ever fewer tasks, down to one for every
-    ``TURN_BINS`` open bins, and end when one at that width gains less than a hundredth.
+    ``TURN_BINS`` open bins, and end when one at that width saves no bin; ``least_gain`` ends them
+    at a share of the open bins instead.
     """
     ready(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -161,7 +163,7 @@ def pack(
         done, open_ = done.union(level.where(full)), level.where(~full)
         n = open_.count()
         fewest = max(1, -(-n // TURN_BINS))
-        if n < 2 or (tasks is not None and tasks <= fewest and n > 0.99 * before):
+        if n < 2 or (tasks is not None and tasks <= fewest and n >= (1 - least_gain) * before):
             break
         wide = max(fewest, -(-n // BINS_PER_TASK))
         tasks, before = wide if tasks is None else max(fewest, min(wide, tasks // FAN_IN)), n

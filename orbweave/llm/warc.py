@@ -222,7 +222,7 @@ def derivatives(source_id: str | None, uri: str | None, date: str | None, http:
     }
     for kind, (content_type, block) in made.items():
         data = block.encode("utf-8", "replace")
-        own = record_id(kind, source_id or "")
+        own = record_id(kind, "|".join((source_id or "", uri or "", date or "", source["payload"], source["block"])))
         values = {"content_type": content_type, "content_length": len(data), "block_digest": digest(data), **source}
         yield kind, own, header_of(
             [
@@ -271,6 +271,9 @@ def derive(responses: DataFrame) -> DataFrame:
     none), ``payload`` (null: empty) and may have ``warc_header``, the source record's own header lines:
     its digests are preserved and its fields, like the HTTP header's, become fields of the metadata
     record. Two rows per row come back, repeats included; null values leave their header lines out.
+    A record's id is made from the kind, the source's id, URI and date and its digests, so responses
+    without an id, or two of one id, have records of their own; rows that are equal in all of these
+    are the same response twice and give the same records twice.
     Other columns are not read. Nothing is shuffled and an empty table gives an empty result.
     """
     ready(responses.sparkSession)

@@ -172,3 +172,13 @@ def test_vectors_match_brute_force(spark, tile):
         assert found[i] == (0, i, True)
     assert near
     assert embedding_dedup.near_vectors(frame.limit(0)).count() == 0
+
+
+def test_repeated_and_nameless_vectors(spark):
+    """Rows of one id are one vector; without an id nothing is linked."""
+    e = [1.0, 0.0, 0.2]
+    rows = [(5, e), (5, e), (7, e), (9, [0.99, 0.01, 0.2]), (None, e), (None, None), (11, None), (11, None), (12, [0.0, 1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted((repr(r["id"]), r["n_links"], r["component"], r["kept"]) for r in embedding_dedup.near_vectors(frame, 0.95).collect())
+    want = [(5, 2, 5, True)] * 2 + [(7, 2, 5, False), (9, 2, 5, False), (11, 0, 11, True), (11, 0, 11, True), (12, 0, 12, True)]
+    assert found == sorted([(repr(a), b, c, d) for a, b, c, d in want] + [("None", 0, None, True)] * 2)

@@ -432,3 +432,14 @@ def test_pipeline_stages_do_their_work(spark, docs):
 
     tokenizer = Tokenizer.from_file(packing.tokenizer_file())
     assert sum(p["length"] for p in packed) == sum(len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1 for r in mixed)
+
+
+def test_every_response_has_record_ids_of_its_own(spark):
+    rows = [(1, None, "http://a", "d", "<p>one"), (2, None, "http://a", "d", "<p>two"), (3, None, "http://b", "d", "<p>one"), (4, "<urn:x>", "http://a", "d", "<p>one"), (5, "<urn:x>", "http://a", "d", "<p>two"), (6, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "id long, record_id string, target_uri string, warc_date string, payload string").selectExpr("*", "cast(null as string) AS http_header")
+    heads = [next(iter(warc.parse(warc.serialise(r["header"], r["block"].encode()))))[0] for r in warc.derive(frame).collect()]
+    assert len({h["WARC-Record-ID"] for h in heads}) == 12
+    again = [r["header"] for r in warc.derive(frame).collect()]
+    assert sorted(again) == sorted(r["header"] for r in warc.derive(frame.repartition(3)).collect())
+    pages = spark.createDataFrame([(1, "http://a", "<p>one"), (1, "http://a", "<p>two")], "page_id long, url string, html string")
+    assert len({r["header"].split("WARC-Record-ID: ")[1].split("\r\n")[0] for r in warc.derive(warc.responses_of(pages)).collect()}) == 4
