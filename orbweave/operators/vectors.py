@@ -45,8 +45,8 @@ def similar(rows: DataFrame, vector: str, example: DataFrame, top: int) -> DataF
     return scored.orderBy(F.col("score").desc(), *[c for c in ("vec_id", "id") if c in rows.columns]).limit(top)
 
 
-def whitener(rows: DataFrame, vector: str, dims: int, ridge: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and whitening matrix. Partitions sum their own products, the sums meet by position, dims^2 numbers come back."""
+def moments(rows: DataFrame, vector: str, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance. Partitions sum their own products, the sums meet by position, dims^2 numbers come back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 + dims + dims * dims)
@@ -57,8 +57,16 @@ def whitener(rows: DataFrame, vector: str, dims: int, ridge: float = 0.02) -> tu
 
     parts = rows.where(F.col(vector).isNotNull()).select(vector).mapInArrow(run, "place long, v double")
     sums = np.array([r["v"] for r in parts.groupBy("place").agg(F.sum("v").alias("v")).orderBy("place").collect()])
+    if not len(sums) or not sums[0]:
+        raise ValueError("no vectors")
     n, mean = sums[0], sums[1 : dims + 1] / sums[0]
-    value, axis = np.linalg.eigh(sums[dims + 1 :].reshape(dims, dims) / n - np.outer(mean, mean))
+    return mean, sums[dims + 1 :].reshape(dims, dims) / n - np.outer(mean, mean)
+
+
+def whitener(rows: DataFrame, vector: str, dims: int, ridge: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and whitening matrix of all vectors."""
+    mean, spread = moments(rows, vector, dims)
+    value, axis = np.linalg.eigh(spread)
     sd = np.sqrt(np.maximum(value, 0))
     return mean, axis / (sd + sd.max() * ridge)
 

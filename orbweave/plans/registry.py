@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scans", "aggregates", "scalars", "sequences", "joined", "analysis", "imagery", "stream", "desk", "parsing", "site", "changed", "shipping", "flying")
+MODULES = ("scans", "aggregates", "scalars", "sequences", "joined", "analysis", "imagery", "stream", "desk", "parsing", "site", "changed", "shipping", "flying", "areas")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

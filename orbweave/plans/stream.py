@@ -49,8 +49,8 @@ def st4(spark, d):
 def st5(spark, d):
     """The tracker on a stream, a day's scenes a batch; its links are those of the batch tracker, which a test holds."""
     root = _root(spark)
-    o = fx.observations(spark, d).where("cls = 'aircraft'").withColumn("day", F.date_format("time", "yyyy-MM-dd"))
-    for i, day in enumerate(sorted(r["day"] for r in o.select("day").distinct().collect())):
+    o = fx.observations(spark, d).withColumn("day", F.date_format("time", "yyyy-MM-dd"))
+    for i, day in enumerate(sorted(r["day"] for r in o.select("day").distinct().collect())):  # a feed's days arrive one after the other
         o.where(F.col("day") == day).drop("day").coalesce(1).write.parquet(f"{root}/in/{i:04d}")
     stream = spark.readStream.schema(o.drop("day").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{root}/in")
     told = sweep.stream_tracks(stream, 4e8).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
