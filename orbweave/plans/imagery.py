@@ -141,8 +141,8 @@ def j16(spark, d):
     return raster.suppress(b, ["scene_id", "cls"], 500.0).select("obs_id", "scene_id", "cls")
 
 
-_PASSES = """s(sat, family, phase) AS (VALUES ('A', 'sentinel-2', 0.0::DOUBLE), ('B', 'sentinel-1', 40.0::DOUBLE), ('C', 'landsat', 95.0::DOUBLE)),
-a AS (SELECT sat, family, phase, k * 20.0::DOUBLE AS t, radians(k * 20.0::DOUBLE / 5900 * 360 + phase) AS arc FROM range(17280) r(k), s),
+_PASSES = """s AS (SELECT n_name AS sat, CASE n_nationkey % 3 WHEN 0 THEN 'sentinel-2' WHEN 1 THEN 'sentinel-1' ELSE 'landsat' END AS family, CAST(n_nationkey * 37 % 360 AS DOUBLE) AS phase FROM nation),
+a AS (SELECT sat, family, phase, o_orderkey * 20.0::DOUBLE AS t, radians(o_orderkey * 20.0::DOUBLE / 5900 * 360 + phase) AS arc FROM orders, s),
 e AS (SELECT sat, family, t + 1.7e9::DOUBLE AS t, degrees(asin(sin(arc) * 0.99::DOUBLE)) AS lat, fmod(fmod(degrees(atan2(sin(arc) * -0.14::DOUBLE, cos(arc))) - t / 240 + phase + 540, 360) + 360, 360) - 180 AS lon, CASE WHEN cos(arc) < 0 THEN 192.0::DOUBLE ELSE 348.0::DOUBLE END AS heading FROM a),
 d AS (SELECT *, 2 * 6371.0::DOUBLE * asin(sqrt(least(pow(sin(radians(26.1::DOUBLE - lat) / 2), 2) + cos(radians(lat)) * cos(radians(26.1::DOUBLE)) * pow(sin(radians(56.1::DOUBLE - lon) / 2), 2), 1))) AS km FROM e),
 w AS (SELECT *, lag(km) OVER (PARTITION BY sat ORDER BY t) AS p, lead(km) OVER (PARTITION BY sat ORDER BY t) AS n FROM d),
@@ -155,12 +155,13 @@ f AS (SELECT sat, family, t, round(km, 1) AS distance_km, side, CASE WHEN down T
  CASE WHEN family = 'sentinel-1' THEN side = 'right' AND km BETWEEN 100 AND 500 ELSE km <= CASE family WHEN 'sentinel-2' THEN 145 ELSE 92.5 END AND down AND sun > 10 END AS likely FROM x)"""
 
 
-def _passes(spark):
-    """Overpasses of a made ephemeris on a time grid."""
-    t = F.col("id") * 20.0
-    sats = spark.createDataFrame([("A", "sentinel-2", 0.0), ("B", "sentinel-1", 40.0), ("C", "landsat", 95.0)], "sat string, family string, phase double")
+def _passes(spark, d):
+    """Overpasses of an ephemeris with a satellite for every nation and a moment for every order."""
+    t, k = F.col("o_orderkey") * 20.0, F.col("n_nationkey")
+    family = F.when(k % 3 == 0, "sentinel-2").when(k % 3 == 1, "sentinel-1").otherwise("landsat")
+    sats = fx.read(spark, d, "nation").select(F.col("n_name").alias("sat"), family.alias("family"), (k * 37 % 360).cast("double").alias("phase"))
     arc = F.radians(t / 5900 * 360 + F.col("phase"))
-    eph = spark.range(0, 4 * 86400 // 20).crossJoin(F.broadcast(sats)).select(
+    eph = fx.read(spark, d, "orders").crossJoin(F.broadcast(sats)).select(  # twenty-five satellites
         "sat", "family", (t + 1.7e9).alias("t"), F.degrees(F.asin(F.sin(arc) * 0.99)).alias("lat"),
         (F.pmod(F.degrees(F.atan2(F.sin(arc) * -0.14, F.cos(arc))) - t / 240 + F.col("phase") + 540, F.lit(360.0)) - 180).alias("lon"),
         F.when(F.cos(arc) < 0, 192.0).otherwise(348.0).alias("heading"),
@@ -170,12 +171,12 @@ def _passes(spark):
 
 @R.add("g1_next_passes", f"WITH {_PASSES} SELECT * FROM f ORDER BY t", "")
 def g1(spark, d):
-    return _passes(spark).orderBy("t", "sat")
+    return _passes(spark, d).orderBy("t", "sat")
 
 
 @R.add("g2_next_looks", f"WITH {_PASSES} SELECT family, arg_min(sat, (t, sat)) AS sat, min(t) AS t FROM f WHERE likely GROUP BY family", "")
 def g2(spark, d):
-    return orbits.next_looks(_passes(spark)).select("family", "sat", "t")
+    return orbits.next_looks(_passes(spark, d)).select("family", "sat", "t")
 
 
 _SOLVE = """o AS (SELECT obs_id, value * 3 AS e, value - 40 AS n, axis_deg, sin(radians(193.0::DOUBLE)) AS te, cos(radians(193.0::DOUBLE)) AS tn FROM obs WHERE cls = 'aircraft'),

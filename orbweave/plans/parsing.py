@@ -97,9 +97,10 @@ def f25(spark, d):
     return fx.observations(spark, d).where("cls = 'vessel'").select("obs_id", F.round(domain.knots(F.col("value")), 4).alias("kn"))
 
 
-@R.add("f39_family_table", "SELECT * FROM (VALUES ('vessel', 0.4, 18.0, 5.0), ('aircraft', 0.7, 300.0, 20.0), ('vehicle', 0.4, 40.0, 1.0), ('tank', 0.99, 0.0, 3650.0), ('other', 0.95, 0.0, 365.0)) t(family, stay, top_speed, persistence_days)", "")
+@R.add("f39_family_table", "SELECT obs_id, family, stay, top_speed, persistence_days FROM (SELECT obs_id, CASE cls WHEN 'storage-tank' THEN 'tank' ELSE cls END AS family FROM obs) JOIN (VALUES ('vessel', 0.4, 18.0, 5.0), ('aircraft', 0.7, 300.0, 20.0), ('vehicle', 0.4, 40.0, 1.0), ('tank', 0.99, 0.0, 3650.0), ('other', 0.95, 0.0, 365.0)) t(family, stay, top_speed, persistence_days) USING (family)")
 def f39(spark, d):
-    return domain.family_table(spark).select("family", "stay", "top_speed", "persistence_days")
+    o = fx.observations(spark, d).select("obs_id", domain.family(F.col("cls")).alias("family"))
+    return o.join(F.broadcast(domain.family_table(spark)), "family").select("obs_id", "family", "stay", "top_speed", "persistence_days")  # five rows
 
 
 @R.add("r36_pass_scales", "SELECT scene_id, CASE WHEN gsd <= 0.7 THEN '0.30,0.75' ELSE printf('%.2f', gsd) END AS scales FROM scenes", "scenes")

@@ -67,10 +67,10 @@ def f13(spark, d):
     return _obs(spark, d).select("obs_id", col.alias("col"), row.alias("row"))
 
 
-@R.add("f13_tile_boxes", "SELECT n, round(n / 64.0::DOUBLE * 360 - 180, 9) AS w, round(degrees(atan(sinh(pi() * (1 - 2 * (n + 1) / 64.0::DOUBLE)))), 9) AS s, round((n + 1) / 64.0::DOUBLE * 360 - 180, 9) AS e, round(degrees(atan(sinh(pi() * (1 - 2 * n / 64.0::DOUBLE)))), 9) AS n_lat FROM range(64) t(n)", "")
+@R.add("f13_tile_boxes", "SELECT l_orderkey, l_linenumber, round(x / 64.0::DOUBLE * 360 - 180, 9) AS w, round(degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / 64.0::DOUBLE)))), 9) AS s, round((x + 1) / 64.0::DOUBLE * 360 - 180, 9) AS e, round(degrees(atan(sinh(pi() * (1 - 2 * y / 64.0::DOUBLE)))), 9) AS n_lat FROM (SELECT l_orderkey, l_linenumber, l_orderkey % 64 AS x, l_partkey % 64 AS y FROM lineitem)", "")
 def f13b(spark, d):
-    w, s, e, n = geo.tile_box(F.col("id"), F.col("id"), 6)
-    return spark.range(64).select(F.col("id").alias("n"), *[F.round(v, 9).alias(c) for v, c in ((w, "w"), (s, "s"), (e, "e"), (n, "n_lat"))])
+    w, s, e, n = geo.tile_box(F.col("l_orderkey") % 64, F.col("l_partkey") % 64, 6)
+    return fx.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(v, 9).alias(c) for v, c in ((w, "w"), (s, "s"), (e, "e"), (n, "n_lat"))])
 
 
 @R.add("f16_family", "SELECT obs_id, CASE cls WHEN 'storage-tank' THEN 'tank' ELSE cls END AS family FROM obs")
@@ -126,9 +126,9 @@ def f28(spark, d):
     return fx.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(domain.decibel(c("l_discount")), 6).alias("db"), F.round(domain.normalised_difference(c("l_tax"), c("l_discount")), 6).alias("nd"))
 
 
-@R.add("f30_dequantise", "SELECT n, CASE WHEN n <> -128 THEN round(sign(n) * pow(n / 127.5::DOUBLE, 2), 9) END AS v FROM (SELECT i - 128 AS n FROM range(256) t(i))", "")
+@R.add("f30_dequantise", "SELECT l_orderkey, l_linenumber, CASE WHEN n <> -128 THEN round(sign(n) * pow(n / 127.5::DOUBLE, 2), 9) END AS v FROM (SELECT l_orderkey, l_linenumber, l_partkey % 256 - 128 AS n FROM lineitem)", "")
 def f30(spark, d):
-    return spark.range(256).select((F.col("id") - 128).alias("n")).select("n", F.round(domain.dequantised(F.col("n")), 9).alias("v"))
+    return fx.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(domain.dequantised(F.col("l_partkey") % 256 - 128), 9).alias("v"))
 
 
 @R.add("f31_unit_vectors", "SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS norm, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first, round(e[64] / sqrt(list_dot_product(e, e)), 6) AS last FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)", "")

@@ -1,9 +1,7 @@
-"""Queries of the ship detector's steps on the pixel table; a session computes the masks they share once."""
+"""Queries of the ship detector's steps on the pixel table."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from orbweave.operators import ships
@@ -25,7 +23,6 @@ def _image(spark, d):
     return cut(g.select("row", "col", *[F.col(f"{b}_b").alias(b) for b in ("nir", "green", "red", "blue")], scl.alias("scl")))
 
 
-@lru_cache(maxsize=2)
 def _masks(spark, d):
     return cut(ships.optical_masks(_image(spark, d), SIDE, SIDE, 0.2, 8, 2, 40))
 
@@ -65,7 +62,6 @@ w3 AS (SELECT r, unnest([c, -c - 1, 127 - c]) AS p, w, v, vv FROM w2), w4 AS MAT
 ct AS MATERIALIZED (SELECT mk.*, coalesce(nir - s.v / (s.w + 1e-6::DOUBLE), 0) AS excess, sqrt(greatest(s.vv / (s.w + 1e-6::DOUBLE) - pow(s.v / (s.w + 1e-6::DOUBLE), 2), pow(0.5::DOUBLE * mad, 2))) AS std FROM mk JOIN w4 s ON s.r = mk.r AND s.c = mk.c, sp)"""
 
 
-@lru_cache(maxsize=2)
 def _contrast(spark, d):
     return ships.contrasted(_masks(spark, d), "nir", 60.0, RES, SIDE, SIDE)
 

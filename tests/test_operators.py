@@ -186,7 +186,7 @@ def test_streamed_tracks_are_those_of_the_batch(spark):
 
     data = "/root/testdata/sf0.001"
     told = sorted(tuple(r) for r in registry.QUERIES["st5_streamed_tracks"](spark, data).collect())
-    batch = tracking.build_tracks(fx.observations(spark, data).where("cls = 'aircraft'"), 4e8)
+    batch = tracking.build_tracks(fx.observations(spark, data), 4e8)
     assert told == sorted(tuple(r) for r in batch.select("site", "obs_id", "track_id", "prob", "chosen").collect())
 
 
