@@ -355,4 +355,4 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op13_alignment": op13}
-ORACLES: dict[str, str] = {}
+SQL: dict[str, str] = {}

@@ -486,4 +486,4 @@ SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN
 """
 
 QUERIES = {"op11_collocations": op11}
-ORACLES = {"op11_collocations": OP11_SQL}
+SQL = {"op11_collocations": OP11_SQL}

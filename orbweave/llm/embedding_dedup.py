@@ -235,4 +235,4 @@ FROM v JOIN c ON v.vec_id = c.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 
 QUERIES = {"op10_embedding_dedup": op10}
-ORACLES = {"op10_embedding_dedup": OP10_SQL}
+SQL = {"op10_embedding_dedup": OP10_SQL}

@@ -374,4 +374,4 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_language": op1}
-ORACLES: dict[str, str] = {}
+SQL: dict[str, str] = {}

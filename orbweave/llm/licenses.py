@@ -240,4 +240,4 @@ FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
 
 
 QUERIES = {"op7_licenses": op7}
-ORACLES = {"op7_licenses": _sql()}
+SQL = {"op7_licenses": _sql()}

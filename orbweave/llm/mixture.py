@@ -323,4 +323,4 @@ SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least
 """
 
 QUERIES = {"op3_mixture": op3}
-ORACLES = {"op3_mixture": OP3_SQL}
+SQL = {"op3_mixture": OP3_SQL}

@@ -356,4 +356,4 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_near_dedup": op6}
-ORACLES: dict[str, str] = {}
+SQL: dict[str, str] = {}

@@ -187,4 +187,4 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_packing": op8}
-ORACLES: dict[str, str] = {}
+SQL: dict[str, str] = {}

@@ -200,4 +200,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 QUERIES = {"op4_quality": op4}
-ORACLES = {"op4_quality": OP4_SQL}
+SQL = {"op4_quality": OP4_SQL}

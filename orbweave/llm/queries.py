@@ -7,8 +7,8 @@ import importlib
 MODULES = ("language", "near_dedup", "substring_dedup", "mixture", "quality", "licenses", "packing", "embedding_dedup", "tokencount", "warc", "tokenfiles", "alignment", "collocations")
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+SQL: dict[str, str] = {}
 for _name in MODULES:
     _module = importlib.import_module(f"orbweave.llm.{_name}")
     QUERIES |= _module.QUERIES
-    ORACLES |= _module.ORACLES
+    SQL |= _module.SQL

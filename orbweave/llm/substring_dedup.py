@@ -353,4 +353,4 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_substring_dedup": op2}
-ORACLES: dict[str, str] = {}
+SQL: dict[str, str] = {}

@@ -127,4 +127,4 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_token_counts": op5}
-ORACLES: dict[str, str] = {}
+SQL: dict[str, str] = {}

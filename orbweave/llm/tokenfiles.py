@@ -300,4 +300,4 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op12_token_files": op12}
-ORACLES: dict[str, str] = {}
+SQL: dict[str, str] = {}

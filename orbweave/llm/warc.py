@@ -297,4 +297,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_warc": op9}
-ORACLES: dict[str, str] = {}
+SQL: dict[str, str] = {}
