@@ -11,7 +11,7 @@ from orbweave.plans.common import Registry
 from orbweave.sources import fixtures as fx
 
 R = Registry()
-QUERIES, ORACLES = R.queries, R.oracles
+QUERIES, SQL = R.queries, R.sql
 def count_rows():
     return F.count(F.lit(1)).alias("n")
 

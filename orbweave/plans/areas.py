@@ -12,7 +12,7 @@ from orbweave.plans.imagery import _GRID, _grid
 from orbweave.sources import fixtures as fx
 
 R = Registry()
-QUERIES, ORACLES = R.queries, R.oracles
+QUERIES, SQL = R.queries, R.sql
 DIMS, COLS = 64, 40
 #: A given basis, so that SQL can state what eigenvectors would otherwise decide.
 BASIS = (np.full(DIMS, 0.02), np.diag([1 + i / DIMS for i in range(DIMS)]))

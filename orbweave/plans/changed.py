@@ -11,7 +11,7 @@ from orbweave.plans.imagery import _GRID, _grid
 from orbweave.sources import fixtures as fx
 
 R = Registry()
-QUERIES, ORACLES = R.queries, R.oracles
+QUERIES, SQL = R.queries, R.sql
 
 _DIAMOND = lambda n: f"(SELECT i, j FROM range(-{n}, {n + 1}) a(i), range(-{n}, {n + 1}) b(j) WHERE abs(i) + abs(j) <= {n})"
 _CASE = "CASE WHEN red_b > 0.2 AND \"row\" < 16 THEN 'water_loss' WHEN red_b > 0.2 THEN 'vegetation_loss' WHEN red_b < 0.16 THEN 'burn' END"

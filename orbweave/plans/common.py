@@ -13,7 +13,7 @@ TABLES = {"obs": fixtures.OBSERVATIONS, "scenes": fixtures.SCENES, "sites": fixt
 class Registry:
     def __init__(self) -> None:
         self.queries: dict[str, Callable] = {}
-        self.oracles: dict[str, str] = {}
+        self.sql: dict[str, str] = {}
 
     def add(self, name: str, sql: str | None = None, uses: str = "obs", recursive: bool = False) -> Callable:
         """Register a query; its SQL sees the fixtures named in ``uses`` and may go on with more CTEs."""
@@ -29,11 +29,11 @@ class Registry:
                 more = body.startswith("WITH ")
                 word = "WITH RECURSIVE " if recursive else "WITH "
                 if not head:
-                    self.oracles[name] = body
+                    self.sql[name] = body
                 elif more:
-                    self.oracles[name] = f"{word}{head},\n{body[5:]}"
+                    self.sql[name] = f"{word}{head},\n{body[5:]}"
                 else:
-                    self.oracles[name] = f"{word}{head}\n{body}"
+                    self.sql[name] = f"{word}{head}\n{body}"
             return f
 
         return wrap

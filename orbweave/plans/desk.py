@@ -10,7 +10,7 @@ from orbweave.plans.common import Registry
 from orbweave.sources import fixtures as fx
 
 R = Registry()
-QUERIES, ORACLES = R.queries, R.oracles
+QUERIES, SQL = R.queries, R.sql
 BOX = (56.05, 26.02, 56.15, 26.12)
 _IN = "lon BETWEEN 56.05 AND 56.15 AND lat BETWEEN 26.02 AND 26.12"
 _MINUTE = "yyyy-MM-dd HH:mm"

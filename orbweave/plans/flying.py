@@ -10,7 +10,7 @@ from orbweave.plans.common import Registry
 from orbweave.sources import fixtures as fx
 
 R = Registry()
-QUERIES, ORACLES = R.queries, R.oracles
+QUERIES, SQL = R.queries, R.sql
 SIDE, RES, BY = 72, 10.0, ["image"]
 BANDS = list(movers.BAND_SECONDS)
 

@@ -10,7 +10,7 @@ from orbweave.plans.common import Registry
 from orbweave.sources import fixtures as fx
 
 R = Registry()
-QUERIES, ORACLES = R.queries, R.oracles
+QUERIES, SQL = R.queries, R.sql
 
 _GRID = "g AS (SELECT \"row\", col, " + ", ".join(f"median({b}_{s}) AS {b}_{s}" for s in "ba" for b in ("blue", "green", "red", "nir", "swir16", "swir22")) + " FROM pix GROUP BY 1, 2)"
 

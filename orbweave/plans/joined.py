@@ -11,7 +11,7 @@ from orbweave.plans.common import Registry
 from orbweave.sources import fixtures as fx
 
 R = Registry()
-QUERIES, ORACLES = R.queries, R.oracles
+QUERIES, SQL = R.queries, R.sql
 
 
 @R.add("j4_semi_links", "SELECT track_id, count(*) AS n FROM obs WHERE track_id IN (SELECT track_id FROM obs WHERE scene_id = 'S1-2024-01-09') GROUP BY track_id")

@@ -14,7 +14,7 @@ from orbweave.sources import fixtures as fx
 from orbweave.sources.paths import shared_folder
 
 R = Registry()
-QUERIES, ORACLES = R.queries, R.oracles
+QUERIES, SQL = R.queries, R.sql
 
 
 def _place(spark, what: str) -> str:

@@ -7,8 +7,8 @@ import importlib
 MODULES = ("scans", "aggregates", "scalars", "sequences", "joined", "analysis", "imagery", "stream", "desk", "parsing", "site", "changed", "shipping", "flying", "areas")
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+SQL: dict[str, str] = {}
 for _name in MODULES:
     _module = importlib.import_module(f"orbweave.plans.{_name}")
     QUERIES |= _module.QUERIES
-    ORACLES |= _module.ORACLES
+    SQL |= _module.SQL

@@ -11,7 +11,7 @@ from orbweave.plans.common import Registry
 from orbweave.sources import fixtures as fx
 
 R = Registry()
-QUERIES, ORACLES = R.queries, R.oracles
+QUERIES, SQL = R.queries, R.sql
 
 _SERIES = """c AS (SELECT site, CASE cls WHEN 'storage-tank' THEN 'tank' ELSE cls END AS family, source, scene_id, count(*) AS n, min(time) AS time FROM obs GROUP BY 1, 2, 3, 4),
 h AS (SELECT *, list(CAST(n AS DOUBLE)) OVER (PARTITION BY site, family, source ORDER BY time, scene_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM c),

@@ -12,7 +12,7 @@ from orbweave.sources import fixtures as fx
 from orbweave.sources.paths import cut
 
 R = Registry()
-QUERIES, ORACLES = R.queries, R.oracles
+QUERIES, SQL = R.queries, R.sql
 SIDE, RES = 64, 10.0
 _SCL = "CASE WHEN swir16_b > 0.197 THEN 6 WHEN swir16_b < 0.17 THEN 9 ELSE 5 END"
 

@@ -13,7 +13,7 @@ from orbweave.sources.paths import shared_folder
 from orbweave.streaming import sweep
 
 R = Registry()
-QUERIES, ORACLES = R.queries, R.oracles
+QUERIES, SQL = R.queries, R.sql
 
 
 def _root(spark) -> str:

@@ -31,10 +31,10 @@ def rows(records, columns):
     return sorted((tuple(plain(r[columns.index(c)]) for c in sorted(columns)) for r in records), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_matches_sql(spark, con, name):
     frame = registry.QUERIES[name](spark, DATA)
-    want = con.sql(registry.ORACLES[name])
+    want = con.sql(registry.SQL[name])
     assert sorted(frame.columns) == sorted(want.columns)
     assert rows([tuple(r) for r in frame.collect()], frame.columns) == rows(want.fetchall(), want.columns)
 
@@ -42,5 +42,5 @@ def test_matches_sql(spark, con, name):
 def test_entry(spark):
     import __spark_entry__ as entry
 
-    assert set(registry.ORACLES) <= set(entry.oracle_sql()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(registry.SQL) <= set(entry.oracle_sql()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["day", "source", "cls", "n"]
