@@ -121,7 +121,9 @@ def test_refresh_keeps_distances_and_replaces_what_it_stores(spark, tmp_path):
     assert refresh.replaced(spark, root, refresh.refresh_sites(obs, scenes, None, 4e8)).count() == 0 and stored() == first
     alone = refresh.refresh_sites(obs.where("length_m = 300"), scenes, None, 4e8)
     refresh.replaced(spark, root, alone)
-    assert "possible_task_group" not in {r["kind"] for r in spark.read.parquet(f"{root}/events").collect()}
+    left = spark.read.schema(out["events"].schema).parquet(f"{root}/events")
+    assert sorted(r["event_id"] for r in left.collect()) == sorted(r["event_id"] for r in alone["events"].collect())
+    assert refresh.replaced(spark, root, out).count() == len(kinds)  # a store without events is one all the same
 
 
 def test_alongside_pairs(spark):
