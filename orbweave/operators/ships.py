@@ -55,12 +55,16 @@ def _smoothed_lines(rows: DataFrame, by: list[str], along: str, across: str, col
     return spread.groupBy(*by, across, "_k").applyInArrow(run, ", ".join(kinds))
 
 
-def smoothed(pixels: DataFrame, columns: list[str], sigma: float, height: int, width: int, by: list[str] = ()) -> DataFrame:
-    """Gaussian means of the columns (cut at four deviations, edges mirrored) at every pixel of the lines that have any; absent pixels count as 0. ``by`` separates images."""
-    by = list(by)
+def gaussian(sigma: float) -> np.ndarray:
+    """Weights of a Gaussian mean, cut at four deviations."""
     reach = int(4 * sigma + 0.5)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    kernel /= kernel.sum()
+    return kernel / kernel.sum()
+
+
+def smoothed(pixels: DataFrame, columns: list[str], sigma: float, height: int, width: int, by: list[str] = ()) -> DataFrame:
+    """Gaussian means of the columns (cut at four deviations, edges mirrored) at every pixel of the lines that have any; absent pixels count as 0. ``by`` separates images."""
+    by, kernel = list(by), gaussian(sigma)
     rows = pixels.select(*by, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), *[F.col(c).cast("double").alias(c) for c in columns])
     return _smoothed_lines(_smoothed_lines(rows, by, "row", "col", columns, kernel, height), by, "col", "row", columns, kernel, width)
 

@@ -8,6 +8,7 @@ from orbweave.operators import movers
 from orbweave.operators.windows import MAD
 from orbweave.plans.common import Registry
 from orbweave.sources import fixtures as fx
+from orbweave.sources.paths import cut
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -50,7 +51,7 @@ mv AS MATERIALIZED (SELECT * FROM (SELECT li.*, sw.* EXCLUDE (image, first, last
 
 
 def _z(spark, d):
-    return movers.strengths(fx.band_pixels(spark, d), BY, SIDE, SIDE)
+    return movers.strengths(fx.band_pixels(spark, d), BY, SIDE, SIDE, near=movers.PEAK)
 
 
 @R.add("r26_local_peaks", f'WITH {_PEAKS} SELECT image, band, "row", col, round(r, 5) AS r, round(c, 5) AS c, round(strength, 4) AS strength FROM pk', "bandpix")
@@ -78,8 +79,9 @@ def r27(spark, d):
 @R.add("w15_one_to_one", f"WITH {_MOVING} SELECT image, min(first) AS first, min(last) AS last FROM mv GROUP BY image HAVING count(*) = 1", "bandpix")
 def w15(spark, d):
     """Pairs of images that have but one (the forced case); a test holds all others against the plain walk."""
-    found = movers.one_to_one(_moving(spark, d), BY)
-    alone = _moving(spark, d).groupBy("image").count().where("count = 1")
+    moving = cut(_moving(spark, d))
+    found = movers.one_to_one(moving, BY)
+    alone = moving.groupBy("image").count().where("count = 1")
     return found.join(alone, "image", "left_semi").select("image", "first", "last")
 
 

@@ -160,7 +160,8 @@ def band_pixels(spark: SparkSession, sf_dir: str, side: int = 72) -> DataFrame:
     """Images of four bands, one for every thousand orders: a rooftop, and an aircraft whose way follows from the customers."""
     k, image = F.col("k"), F.col("image")
     images = read(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 1000).alias("image")).agg(F.sum("o_custkey").alias("k"))
-    facts = images.select(image, (120 + k % 200).cast("double").alias("speed"), F.radians(((k * 37) % 360).cast("double")).alias("a"), F.when(k % 2 == 1, 3.5).otherwise(1.2).alias("sl"), F.when(k % 2 == 1, 1.0).otherwise(1.2).alias("sa"))
+    # One image makes side x side rows, so tasks are told by images and not by the few bytes they come from.
+    facts = images.repartition(max(64, spark.sparkContext.defaultParallelism), image).select(image, (120 + k % 200).cast("double").alias("speed"), F.radians(((k * 37) % 360).cast("double")).alias("a"), F.when(k % 2 == 1, 3.5).otherwise(1.2).alias("sl"), F.when(k % 2 == 1, 1.0).otherwise(1.2).alias("sa"))
     cells = F.sequence(F.lit(0).cast("long"), F.lit(side - 1).cast("long"))
     rows = facts.withColumn("row", F.explode(cells)).withColumn("col", F.explode(cells))
     r, c = F.col("row"), F.col("col")

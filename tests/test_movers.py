@@ -138,3 +138,20 @@ def test_quantiles_are_exact(spark, n):
                 assert found[k, name, s] == pytest.approx(want, rel=1e-12)
     whole = medians(rows, {"v": F.col("v"), "none": F.lit(None), "nan": F.lit(float("nan"))})
     assert whole["v"][1] == n and whole["v"][0] == pytest.approx(float(np.median(v))) and whole["none"] == whole["nan"] == (None, 0)
+
+
+def test_strengths_near_strong_pixels_are_all_that_is_looked_at(spark, monkeypatch):
+    """Images as groups, as strips of lines, and cut down to what is near strong pixels give the same peaks and strengths."""
+    images = {"a": scene(), "b": scene(heading=300.0, seed=5)}
+    images["b"]["green"][30:34, 10:60] = np.nan
+    images["a"]["blue"][0, 0] = 0.9
+    rows = lambda z: {(r["image"], r["row"], r["col"]): [round(r[f"z_{b}"], 6) for b in movers.BAND_SECONDS] for r in z.collect()}
+    pixels = frame(spark, images)
+    whole = movers.strengths(pixels, ["image"], N, N)
+    near = movers.strengths(pixels, ["image"], N, N, near=movers.PEAK)
+    every, few = rows(whole), rows(near)
+    strong = [k for k, v in every.items() if max(map(abs, v)) > movers.PEAK]
+    assert few == {k: v for k, v in every.items() if any(k[0] == i and abs(k[1] - r) <= 2 and abs(k[2] - c) <= 2 for i, r, c in strong)} and len(few) * 5 < len(every)
+    assert sorted(map(tuple, movers.peaks(near, ["image"]).collect())) == sorted(map(tuple, movers.peaks(whole, ["image"]).collect()))
+    monkeypatch.setattr(movers, "GROUP_PX", 0)
+    assert rows(movers.strengths(pixels, ["image"], N, N)) == every and rows(movers.strengths(pixels, ["image"], N, N, near=movers.PEAK)) == few
