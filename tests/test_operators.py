@@ -287,3 +287,29 @@ def test_hull_corners_against_a_plain_search():
         # A corner begins an edge that has no point on its right, and no farther one straight on.
         edges = {(a, b) for a, b in permutations(set(points), 2) if all(side(a, b, p) > 0 or (side(a, b, p) == 0 and np.hypot(p[0] - a[0], p[1] - a[1]) + np.hypot(p[0] - b[0], p[1] - b[1]) <= np.hypot(b[0] - a[0], b[1] - a[1]) + 1e-9) for p in points)}
         assert set(hull(points)) == {a for a, _ in edges}
+
+
+def test_reports_are_matched_where_they_are_found(spark):
+    """Pairs are neither written nor shuffled, whatever their number; two lengths of a ship and equal seconds count as in a plain walk."""
+    from datetime import datetime, timedelta
+
+    from orbweave.operators import ais
+
+    t0 = datetime(2024, 1, 1)
+    obs = spark.createDataFrame([(i, "vessel", t0 + timedelta(seconds=500 * i), 26.0, 56.0 + i / 1000, 100.0) for i in range(12)], "obs_id long, cls string, time timestamp, lat double, lon double, length_m double")
+    said = [(k % 3 if k % 7 else None, t0 + timedelta(seconds=300 * (k // 2)), 26.0 + (k % 5) / 10, 56.0 + (k % 4) / 10, 5.0, 90.0, 100.0 if k % 11 else 120.0) for k in range(60)]
+    reports = spark.createDataFrame(said, "mmsi long, time timestamp, lat double, lon double, sog double, cog double, length_m double")
+    near = {(i, k) for i in range(12) for k, r in enumerate(said) if abs((r[1] - t0).total_seconds() - 500 * i) <= 3600 and r[2] <= 26.25 and abs(r[3] - 56.0 - i / 1000) <= 0.25}
+    found = ais.reports_near(obs, reports)
+    assert {r["obs_id"]: (r["n"], r["ships"]) for r in found.collect()} == {i: (len(own), len({said[k][0] for k in own} - {None})) for i in range(12) if (own := [k for o, k in near if o == i])}
+    sides = {(r["obs_id"], r["mmsi"]): (r["before"], r["after"]) for r in ais.reports_around(obs, reports).collect()}
+    want = {}
+    for i, k in near:
+        want.setdefault((i, said[k][0]), []).append(int((said[k][1] - datetime(1970, 1, 1)).total_seconds()))
+    at = lambda i: int((t0 - datetime(1970, 1, 1)).total_seconds()) + 500 * i
+    assert sides == {(i, m): (max((t for t in v if t <= at(i)), default=None), min((t for t in v if t > at(i)), default=None)) for (i, m), v in want.items()}
+    ships = {(i, said[k][0], max(said[q][6] for o, q in near if o == i and said[q][:2] == said[k][:2])) for i, k in near}
+    assert {(r["obs_id"], r["mmsi"], r["ship_length"]) for r in ais.interpolated(obs, reports).collect()} == ships
+    for rows in (found, ais.match(obs, reports)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "SortMergeJoin" not in plan and "CoGroup" in plan
