@@ -12,6 +12,8 @@ from orbweave.operators.windows import first_per_group, local_minima
 SWATH_KM = {"sentinel-2": 290.0, "landsat": 185.0}
 RADAR_KM = (100.0, 500.0)
 REACH_KM = 800.0
+#: Seconds of the buckets of which only those with a moment within reach are sorted.
+BUCKET_S = 600.0
 
 
 def next_passes(ephemeris: DataFrame, lat: float, lon: float) -> DataFrame:
@@ -21,7 +23,7 @@ def next_passes(ephemeris: DataFrame, lat: float, lon: float) -> DataFrame:
     """
     here = (F.lit(lat), F.lit(lon))
     rows = ephemeris.withColumn("distance_km", geo.haversine_km(F.col("lat"), F.col("lon"), *here))
-    near = local_minima(rows, ["sat"], "t", "distance_km", REACH_KM)
+    near = local_minima(rows, ["sat"], "t", "distance_km", REACH_KM, BUCKET_S)
     turn = F.pmod(geo.bearing(F.col("lat"), F.col("lon"), *here) - F.col("heading") + 360, F.lit(360.0))
     side = F.when(turn < 180, "right").otherwise("left")
     down = F.cos(F.radians("heading")) < 0

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbweave.sources.paths import cut
+
 #: Scales a median absolute deviation to a standard deviation.
 MAD = 1.4826
 
@@ -116,10 +118,27 @@ def anchored_groups(rows: DataFrame, by: list[str], time: str, limit_s: float) -
     return with_group_start(rows.select(*by, F.col(time).cast("double").alias(time)), by, time, limit_s).groupBy(*by, "group_start").agg(F.count(F.lit(1)).alias("n"))
 
 
-def local_minima(rows: DataFrame, by: list[str], order: str, value: str, below: float) -> DataFrame:
-    """Rows lower than the one before, not higher than the one after, and under ``below``."""
+def local_minima(rows: DataFrame, by: list[str], order: str, value: str, below: float, bucket: float | None = None) -> DataFrame:
+    """Rows lower than the one before, not higher than the one after, and under ``below``.
+
+    With ``bucket``, a width of ``order``, only rows of buckets that hold one under ``below`` are shuffled and sorted; every other
+    bucket is one row, which like all of its rows is higher than what it is compared with. ``rows`` is then read twice.
+    """
     w = Window.partitionBy(*by).orderBy(order)
     v = F.col(value)
+    if bucket is not None:
+        keyed = rows.where(F.col(order).isNotNull()).withColumn("_k", F.floor(F.col(order) / F.lit(float(bucket))))
+        held = cut(keyed.groupBy(*by, "_k").agg(F.min(order).alias(order), F.count_if(v < below).alias("_c"), F.count(F.lit(1)).alias("_all"), F.count_if(v >= below).alias("_over")))
+        # A bucket of which a value is unknown stays whole, as nothing is higher or lower than null.
+        near = (F.col("_c") > 0) | (F.col("_over") < F.col("_all"))
+        # Sixty-four buckets are a bit each of one number, so the marks are small enough to go to every task.
+        at = F.pmod(F.col("_k"), F.lit(64)).cast("int")
+        marks = held.where(near).groupBy(*[F.col(c).alias(f"_h_{c}") for c in by], F.floor(F.col("_k") / 64).alias("_h_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at)).alias("_m"))
+        met = [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in by] + [F.floor(F.col("_k") / 64) == F.col("_h_w")]
+        kept = keyed.join(F.broadcast(marks), met).where(F.bit_get(F.col("_m"), at) == 1).select(*rows.columns)
+        kinds = dict(rows.dtypes)
+        far = held.where(~near).select(*[F.col(c) if c in (*by, order) else F.lit(float("inf")).cast(kinds[c]).alias(c) if c == value else F.lit(None).cast(kinds[c]).alias(c) for c in rows.columns])
+        rows = kept.unionByName(far)
     return rows.withColumn("_p", F.lag(v).over(w)).withColumn("_n", F.lead(v).over(w)).where((v < F.col("_p")) & (v <= F.col("_n")) & (v < below)).drop("_p", "_n")
 
 

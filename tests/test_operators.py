@@ -313,3 +313,15 @@ def test_reports_are_matched_where_they_are_found(spark):
     for rows in (found, ais.match(obs, reports)):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan and "SortMergeJoin" not in plan and "CoGroup" in plan
+
+
+def test_local_minima_by_buckets_are_those_of_the_whole_series(spark):
+    import numpy as np
+    from orbweave.operators.windows import local_minima
+
+    rng = np.random.default_rng(4)
+    data = [(s, float(t), None if rng.random() < 0.02 else float(rng.integers(0, 40) + (30 if (t // 40) % 3 else 0))) for s in ("a", "b", None) for t in rng.permutation(900)[:700]]
+    rows = spark.createDataFrame(data, "s string, t double, v double")
+    whole = sorted(map(repr, local_minima(rows, ["s"], "t", "v", 25.0).collect()))
+    for width in (3.0, 25.0, 1000.0):
+        assert sorted(map(repr, local_minima(rows, ["s"], "t", "v", 25.0, width).collect())) == whole
