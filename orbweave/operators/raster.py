@@ -204,8 +204,15 @@ def suppress(boxes: DataFrame, by: list[str], reach_m: float) -> DataFrame:
     """Greedy suppression: going down in confidence (ties by id), a detection within reach of a kept one goes.
 
     In rounds: who has no better undecided neighbour stays, its neighbours go. That gives the greedy
-    result, and neighbours come from a grid join, so no task holds a scene.
+    result, and neighbours come from a grid join, so no task holds a scene. Of detections at one place only the
+    best takes part: it stays or what it goes for is as near and better to all others there, so they go.
     """
+    known = F.lit(True)
+    for c in (*by, "x", "y", "confidence"):
+        known = known & F.col(c).isNotNull()
+    known = known & ~F.isnan(F.col("x") + F.col("y"))
+    place = Window.partitionBy(*by, "x", "y").orderBy(F.col("confidence").desc(), "obs_id")
+    boxes = cut(boxes.withColumn("_n", F.row_number().over(place)).where((F.col("_n") == 1) | ~known).drop("_n"))
     near = range_join(boxes, boxes, by, "x", "y", reach_m, (F.col("l_confidence") < F.col("r_confidence")) | ((F.col("l_confidence") == F.col("r_confidence")) & (F.col("l_obs_id") > F.col("r_obs_id"))))
     edges = cut(near.select(F.col("l_obs_id").alias("worse"), F.col("r_obs_id").alias("better")).distinct())
     undecided, kept = cut(boxes.select("obs_id")), None

@@ -206,3 +206,15 @@ def test_boxes_hold_their_bent_sides(spark):
     assert x0 == min(xs) and x1 == max(xs) and y1 == max(ys) and y0 < min(ys) - 100  # a parallel sags between its corners
     g = t.select(projection.grid_for(F.col("w"), F.col("s"), F.col("e"), F.col("n"), F.col("epsg"), 10.0, 1000).alias("g")).first()["g"]
     assert g["res"] == pytest.approx(max(x1 - x0, y1 - y0) / 1000) and 999 <= max(g["width"], g["height"]) <= 1001
+
+
+def test_suppression_looks_at_one_detection_a_place(spark, monkeypatch):
+    from orbweave.operators import raster
+
+    met = []
+    join = raster.range_join
+    monkeypatch.setattr(raster, "range_join", lambda left, *more: met.append(left.count()) or join(left, *more))
+    rows = [(i, "s", 1000.0 * (i % 3), 0.0, float(i * 7 % 40)) for i in range(40)] + [(90, "s", None, 0.0, 1.0), (91, "s", None, 0.0, 2.0), (92, "s", 0.0, 0.0, None)]
+    boxes = spark.createDataFrame(rows, "obs_id long, scene_id string, x double, y double, confidence double")
+    best = {max((r for r in rows[:40] if r[0] % 3 == k), key=lambda r: (r[4], -r[0]))[0] for k in range(3)}
+    assert {r["obs_id"] for r in raster.suppress(boxes, ["scene_id"], 500.0).collect()} == best | {90, 91, 92} and met == [6]
