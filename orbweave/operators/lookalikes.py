@@ -33,7 +33,7 @@ def score_regions(cells: DataFrame, by: list[str], score: str, keep: Column, lea
     first. ``by`` separates images, each with its own ``top``.
     """
     hot = cut(cells.where(keep).select(*by, "row", "col", F.col(score).cast("double").alias("_s")))
-    return ranked_regions(regions(hot.select(*by, "row", "col"), by).join(hot, [*by, "row", "col"]), by, least_px, top)
+    return ranked_regions(regions(hot.select(*by, "row", "col"), by).join(hot.hint("merge"), [*by, "row", "col"]), by, least_px, top)
 
 
 def ranked_regions(labelled: DataFrame, by: list[str], least_px: int, top: int) -> DataFrame:
@@ -103,7 +103,7 @@ def find_similar(
         score, limit, method = cut(scored(cells, vector, mean, axes, middle / max(np.linalg.norm(middle), 1e-9))), ALIKE, "cosine"
     limit = limit if threshold is None else threshold
     hot = cut(score.where(F.col("score") >= limit))
-    labelled = cut(regions(hot.select("row", "col"), []).join(hot, ["row", "col"]).withColumnRenamed("score", "_s"))
+    labelled = cut(regions(hot.select("row", "col"), []).join(hot.hint("merge"), ["row", "col"]).withColumnRenamed("score", "_s"))
     reach = max(1, int(OWN_M / res))
     near = F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long"))
     around = examples.where("row is not null and col is not null").select(F.col("row").cast("long").alias("_r"), F.col("col").cast("long").alias("_c"))
@@ -126,7 +126,7 @@ def semantic_change(before: DataFrame, after: DataFrame, vector: str, res: float
     rows = cut(vectors.changed(cell(before), cell(after), "cell", vector, k, CHANGE_LEAST).select("cell.row", "cell.col", F.col("distance").alias("_s"), "changed"))
     hot = rows.where("changed").select("row", "col")
     hot = cut(opened(hot, []).select("row", "col") if res <= FINE_RES else hot)
-    labelled = regions(hot, []).join(rows.drop("changed"), ["row", "col"])
+    labelled = regions(hot, []).join(rows.drop("changed").hint("merge"), ["row", "col"])
     n, turned = rows.count(), hot.count()
     middle = medians(rows, {"d": F.col("_s")})["d"][0]
     facts = {"median_distance": middle, "changed_km2": turned * res * res / 1e6, "share_changed": turned / max(n, 1)}

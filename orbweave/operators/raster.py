@@ -125,21 +125,21 @@ def regions(cells: DataFrame, by: list[str], diagonal: bool = False) -> DataFram
 
     Edges between neighbouring cells are found once by equi-joins on shifted cells; rounds then spread minimal
     labels over them and follow each label to what its own cell has become, so an image need not
-    fit one task. ``by`` separates images. Cells carry ``row`` and ``col``.
+    fit one task; every join is by a shuffle, as broadcasts would bring each round's cells to the driver. ``by`` separates images. Cells carry ``row`` and ``col``.
     """
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
     ids = cut(cells.select(*by, "row", "col").distinct())
     shifted = ids.select(*by, F.col("row").alias("_r"), F.col("col").alias("_c"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])).alias("_d"))
-    half = shifted.select(*by, "_r", "_c", (F.col("_r") + F.col("_d.i")).alias("row"), (F.col("_c") + F.col("_d.j")).alias("col")).join(ids, [*by, "row", "col"])
+    half = shifted.select(*by, "_r", "_c", (F.col("_r") + F.col("_d.i")).alias("row"), (F.col("_c") + F.col("_d.j")).alias("col")).join(ids.hint("merge"), [*by, "row", "col"])
     back = half.select(*by, F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("_r").alias("row"), F.col("_c").alias("col"))
     edges = cut(half.select(*by, "_r", "_c", "row", "col").unionByName(back))
     labels = ids.withColumn("label", F.struct("row", "col"))
     while True:
         sent = labels.select(*by, F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("label").alias("_low"))
-        least = edges.join(sent, [*by, "_r", "_c"]).groupBy(*by, "row", "col").agg(F.min("_low").alias("_low"))
-        step = cut(labels.join(least, [*by, "row", "col"], "left").select(*by, "row", "col", "label", F.least("label", "_low").alias("low")))
+        least = edges.join(sent.hint("merge"), [*by, "_r", "_c"]).groupBy(*by, "row", "col").agg(F.min("_low").alias("_low"))
+        step = cut(labels.join(least.hint("merge"), [*by, "row", "col"], "left").select(*by, "row", "col", "label", F.least("label", "_low").alias("low")))
         jump = step.select(*by, F.struct("row", "col").alias("low"), F.col("low").alias("_jump"))
-        moved = cut(step.join(jump, [*by, "low"], "left").select(*by, "row", "col", "label", F.least("low", "_jump").alias("next")))
+        moved = cut(step.join(jump.hint("merge"), [*by, "low"], "left").select(*by, "row", "col", "label", F.least("low", "_jump").alias("next")))
         changed = moved.where(F.col("next") != F.col("label")).limit(1).count()
         labels = moved.select(*by, "row", "col", F.col("next").alias("label"))
         if not changed:
