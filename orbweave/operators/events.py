@@ -154,7 +154,8 @@ def unusual_locations(obs: DataFrame, scenes: DataFrame, recent: int = 3) -> Dat
     cells = F.flatten(F.transform(around, lambda i: F.transform(around, lambda j: F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")))))
     new = cut(new)
     d2 = F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2)
-    pairs = new.withColumn("_cell", F.explode(cells)).join(past, ["site", "family"]).where((F.col("_cell") == F.col("_own")) & (F.col("past") < F.col("look"))).withColumn("d2", d2)
+    # Pairs are many though both sides are small files: dealt out by cell, not made in the few tasks that read a broadcast's other side.
+    pairs = new.withColumn("_cell", F.explode(cells)).join(past.hint("merge"), ["site", "family"]).where((F.col("_cell") == F.col("_own")) & (F.col("past") < F.col("look"))).withColumn("d2", d2)
     reach = F.col("h") * 3
     weight = F.when(F.col("d2") <= reach * reach, F.exp(-F.col("d2") / (F.col("h") * F.col("h") * 2))).otherwise(0.0)
     density = pairs.groupBy("obs_id").agg(F.sum(weight).alias("density"))
