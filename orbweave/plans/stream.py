@@ -49,10 +49,20 @@ def st4(spark, d):
 def st5(spark, d):
     """The tracker on a stream, a day's scenes a batch; its links are those of the batch tracker, which a test holds."""
     root = _root(spark)
-    o = fx.observations(spark, d).withColumn("day", F.date_format("time", "yyyy-MM-dd"))
-    for i, day in enumerate(sorted(r["day"] for r in o.select("day").distinct().collect())):  # a feed's days arrive one after the other
-        o.where(F.col("day") == day).drop("day").coalesce(1).write.parquet(f"{root}/in/{i:04d}")
-    stream = spark.readStream.schema(o.drop("day").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{root}/in")
+    o = fx.observations(spark, d)
+    # The table is read once and laid out by day; then a feed's days arrive one after the other, each from its own folder.
+    o.withColumn("day", F.date_format("time", "yyyy-MM-dd")).repartition("day").write.partitionBy("day").parquet(f"{root}/days")
+    days = spark.read.schema(f"{o.schema.toDDL()}, day string").parquet(f"{root}/days")
+    for i, day in enumerate(sorted((r["day"] for r in days.select("day").distinct().collect()), key=lambda day: (day is not None, day))):
+        days.where(F.col("day").eqNullSafe(F.lit(day))).drop("day").coalesce(1).write.parquet(f"{root}/in/{i:04d}")
+    stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{root}/in")
     told = sweep.stream_tracks(stream, 4e8).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
-    told.trigger(availableNow=True).start().awaitTermination()
+    # A stream's state keeps its number of partitions, each a task and a store in every batch; groups are few, so two for each core.
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(usual), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        running = told.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    running.awaitTermination()
     return spark.read.parquet(f"{root}/out").where("what = 'link'").select("site", "obs_id", "track_id", "prob", "chosen")
